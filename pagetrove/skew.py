@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 NUMBERING_BUCKETS = 64
 
@@ -41,7 +42,11 @@ def order_bucket(df: DataFrame, order_col, buckets=NUMBERING_BUCKETS):
     The cut points are a fixed-size list of quantiles computed once, so every later evaluation
     of the plan, retries included, assigns a row to the same range.
     """
-    value = F.col(order_col).cast("double")
+    kind = df.schema[order_col].dataType
+    value = F.col(order_col)
+    if isinstance(kind, TimestampNTZType):
+        value = value.cast("timestamp")
+    value = value.cast("double")
     qs = [i / buckets for i in range(1, buckets)]
     cuts = df.agg(F.percentile_approx(value, qs, 10000)).first()[0] or []
     if not cuts:
@@ -74,3 +79,32 @@ def running_per_key(df: DataFrame, keys, order_col, tie_cols=(), totals=None,
         reduce(lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in part]))
     return joined.select(*[f"s.{c}" for c in df.columns], *[
         (F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in totals])
+
+
+def neighbours_per_key(df: DataFrame, keys, order_col, value_col, tie_cols=(),
+                       buckets=NUMBERING_BUCKETS) -> DataFrame:
+    """Adds ``prev_value`` and ``next_value`` of ``value_col`` per key in order.
+
+    lag/lead over (key, order range); only the edge rows of a range look at the neighbouring
+    ranges' first and last values, one small row per (key, range).
+    """
+    ranged = df.withColumn("_range", order_bucket(df, order_col, buckets))
+    part = [*keys, "_range"]
+    order = [order_col, *tie_cols]
+    local = Window.partitionBy(*part).orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy("_range")
+    edge = F.struct(*order)
+    ends = ranged.groupBy(*part).agg(F.min_by(value_col, edge).alias("_first"),
+                                     F.max_by(value_col, edge).alias("_last"))
+    ends = ends.select(*part, F.lead("_first").over(across).alias("_after"),
+                       F.lag("_last").over(across).alias("_before"))
+    scanned = ranged.withColumn("_lag", F.lag(value_col).over(local)).withColumn(
+        "_lead", F.lead(value_col).over(local)).withColumn("_is_first", F.row_number().over(local) == 1)
+    scanned = scanned.withColumn("_is_last", F.lead(F.lit(True)).over(local).isNull())
+    joined = scanned.alias("s").join(
+        ends.alias("o"),
+        reduce(lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in part]))
+    return joined.select(
+        *[f"s.{c}" for c in df.columns],
+        F.when(F.col("_is_first"), F.col("_before")).otherwise(F.col("_lag")).alias("prev_value"),
+        F.when(F.col("_is_last"), F.col("_after")).otherwise(F.col("_lead")).alias("next_value"))
