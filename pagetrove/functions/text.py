@@ -14,6 +14,11 @@ LINE_BREAKS = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
 # ----------------------------------------------------------------------------------------------
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also when lambdas inside refer to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Unicode-aware trim at both ends."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -25,9 +30,8 @@ def blank_to_null(x: Column) -> Column:
 
 def lines(x: Column) -> Column:
     """Split on every line boundary; a break at the end adds no empty line."""
-    parts = F.split(x, LINE_BREAKS, -1)
-    last = F.element_at(parts, -1)
-    return F.when(last == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(x, LINE_BREAKS, -1), lambda parts: F.when(
+        F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def slug(x: Column, max_len=None, default=None) -> Column:
@@ -170,16 +174,18 @@ def humanise(value: Column) -> Column:
 def paragraphs(text: Column, per=4) -> Column:
     """Whitespace-folded text cut after sentence ends, ``per`` sentences to a paragraph."""
     flat = strip(F.regexp_replace(text, r"(?U)\s+", " "))
-    sents = F.filter(F.split(flat, r"(?<=[.!?])\s+"), lambda s: s != "")
-    n = F.ceil(F.size(sents) / per).cast("int")
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-        lambda i: F.array_join(F.slice(sents, i * per + 1, F.lit(per)), " ")))
+
+    def group(sents):
+        n = F.ceil(F.size(sents) / per).cast("int")
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(
+            F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+            lambda i: F.array_join(F.slice(sents, i * per + 1, F.lit(per)), " ")))
+    return let(F.filter(F.split(flat, r"(?<=[.!?])\s+"), lambda s: s != ""), group)
 
 
 def drop_repeats(arr: Column) -> Column:
     """Remove elements equal to the one right before them."""
-    return F.filter(arr, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(arr, i - 1)))
+    return let(arr, lambda a: F.filter(a, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(a, i - 1))))
 
 
 def vtt_text(raw: Column) -> Column:
@@ -204,10 +210,13 @@ def hashtags(x: Column) -> Column:
 def caption_from_lines(contents: Column) -> Column:
     """Caption text from its authored lines; null unless it is a real multi-line caption."""
     raw = F.transform(contents, lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+$", ""))
-    filled = F.filter(F.transform(raw, lambda x, i: F.when(x != "", i + 1)), lambda i: i.isNotNull())
-    first, last = F.get(filled, F.lit(0)), F.get(filled, F.size(filled) - 1)
-    text = F.array_join(F.slice(raw, first, last - first + 1), "\n")
-    return F.when((F.size(contents) >= 2) & (F.size(filled) >= 2) & (F.char_length(text) >= 30), text)
+
+    def assemble(filled):
+        first, last = F.get(filled, F.lit(0)), F.get(filled, F.size(filled) - 1)
+        text = F.array_join(F.slice(raw, first, last - first + 1), "\n")
+        return F.when((F.size(contents) >= 2) & (F.size(filled) >= 2) & (F.char_length(text) >= 30), text)
+    return let(F.filter(F.transform(raw, lambda x, i: F.when(x != "", i + 1)),
+                        lambda i: i.isNotNull()), assemble)
 
 
 def restore_breaks(text: Column) -> Column:

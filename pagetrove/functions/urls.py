@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagetrove.functions.text import let, slug
+
 # --- fixed values -----------------------------------------------------------------------------
 LEDGER_TRACKING_KEYS = ["igsh", "igshid", "fbclid", "ref", "share_id"]
 LINK_TRACKING_KEYS = [
@@ -105,18 +107,20 @@ def query_pairs(url: Column) -> Column:
 def _with_query(url, pairs):
     q = F.array_join(F.transform(
         pairs, lambda p: F.concat(form_encode(p["k"]), F.lit("="), form_encode(p["v"]))), "&")
-    frag = fragment(url)
-    return F.concat(head(url), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""),
-                    F.when(frag != "", F.concat(F.lit("#"), frag)).otherwise(""))
+    return let(q, lambda x: F.concat(
+        head(url), F.when(x != "", F.concat(F.lit("?"), x)).otherwise(""),
+        F.regexp_extract(url, "(#.+)$", 1)))
 
 
 def canonical_url(url: Column) -> Column:
     """Ledger key: tracking parameters gone, repeated keys grouped at their first position."""
     kept = F.filter(query_pairs(url), lambda p: ~(
         p["k"].startswith("utm_") | p["k"].isin(*LEDGER_TRACKING_KEYS)))
-    keys = F.array_distinct(F.transform(kept, lambda p: p["k"]))
-    grouped = F.flatten(F.transform(keys, lambda k: F.filter(kept, lambda p: p["k"] == k)))
-    return _with_query(url, grouped)
+    grouped = let(kept, lambda ps: F.flatten(F.transform(
+        F.array_distinct(F.transform(ps, lambda p: p["k"])),
+        lambda k: F.filter(ps, lambda p: p["k"] == k))))
+    plain = F.regexp_replace(F.concat(head(url), F.regexp_extract(url, "(#.*)$", 1)), "#$", "")
+    return F.when(url.contains("?"), _with_query(url, grouped)).otherwise(plain)
 
 
 def clean_url(url: Column) -> Column:
@@ -137,17 +141,16 @@ def unwrap_redirect(url: Column) -> Column:
     wrapper = (_any([h.startswith(p) for p in
                      ("l.instagram.com", "l.facebook.com", "lm.facebook.com", "out.reddit.com")])
                | h.endswith("l.tiktok.com") | path(url).contains("/redirect"))
-    pairs = query_pairs(url)
 
-    def inner(name):
+    def inner(pairs, name):
         first = F.get(F.filter(pairs, lambda p: (p["k"] == name) & (p["v"] != "")), F.lit(0))["v"]
         target = F.coalesce(F.try_url_decode(F.replace(F.regexp_replace(
             first, r"%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))), first)
         ok = target.startswith("http")
         return F.when(ok if name in REDIRECT_PARAMS_ANY_HOST else ok & wrapper, target)
 
-    return F.when(query(url) == "", url).otherwise(
-        F.coalesce(*[inner(n) for n in REDIRECT_PARAMS], url))
+    return F.when(query(url) == "", url).otherwise(let(query_pairs(url), lambda pairs: F.coalesce(
+        *[inner(pairs, n) for n in REDIRECT_PARAMS], url)))
 
 
 def _on(h, site):
@@ -276,7 +279,6 @@ def spelled_links(text: Column) -> Column:
 
 
 def source_subdir(author: Column, title: Column, url: Column) -> Column:
-    from pagetrove.functions.text import slug
     digest = F.substring(F.md5(F.coalesce(F.nullif(url, F.lit("")), title, F.lit(""))), 1, 10)
     named = F.coalesce(author, F.lit("")) != ""
     base = F.when(named & (F.lower(author) != "unknown"), slug(author, 24, "media"))
