@@ -36,6 +36,8 @@ def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
     if name not in INPUTS:
         return table(spark, sf, name)
     template, uses = INPUTS[name]
+    # spark.sql formats the text once more, so literal braces are doubled for it.
+    template = template.replace("{{", "{{{{").replace("}}", "}}}}")
     return spark.sql(template.format(**{u: "{%s}" % u for u in uses}, **_SPARK_WORDS),
                      **{u: source(spark, sf, u) for u in uses})
 
