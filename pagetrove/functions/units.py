@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagetrove.functions.text import let
+
 # --- fixed values -----------------------------------------------------------------------------
 G_PER_OZ = 28.349523
 G_PER_LB = 453.59237
@@ -73,10 +75,14 @@ def annotate(text: Column) -> Column:
     Each rule cuts the text at its matches and puts the pieces back with the notes between.
     """
     for rule in RULES:
-        text = _annotate_rule(text, rule)
+        text = _bound_rule(text, rule)
     return text
 
 
+def _bound_rule(text, rule):
+    return let(text, lambda t: _annotate_rule(t, rule))
+
+
 def _annotate_rule(text, rule):
     pat = _pattern(rule)
     notes = F.transform(

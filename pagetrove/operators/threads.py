@@ -35,7 +35,7 @@ def ancestor_ids(comments: DataFrame) -> DataFrame:
 
 
 def _comment(prefix=""):
-    return F.struct(*[F.col(prefix + c).alias(c) for c in ("id", "author", "score", "text")],
+    return F.struct(*[F.col(prefix + c).alias(c) for c in ("id", "author", "score", "text", "permalink")],
                     F.col(prefix + "is_op").alias("is_op"))
 
 
@@ -46,10 +46,12 @@ def top_comments(comments: DataFrame, posts: DataFrame, n=5, op_nested=5, includ
     author, by score. Section 1: the author's first ``op_nested`` replies in reading order, each
     with its ancestors. ``posts(post_id, op)``; ranks are pruned before the shuffle.
     """
+    if "permalink" not in comments.columns:
+        comments = comments.withColumn("permalink", F.lit(""))
     df = comments.join(posts.select("post_id", "op"), "post_id").withColumn(
         "is_op", F.coalesce((F.col("op") != "") & (F.col("author") == F.col("op")), F.lit(False))).drop("op")
     top = df.filter("parent_id IS NULL")
-    cols = ["post_id", "id", "pos", "author", "score", "text", "is_op"]
+    cols = ["post_id", "id", "pos", "author", "score", "text", "permalink", "is_op"]
     ranked = top_n_per_key(top, ["post_id"], [F.desc("score"), "pos"], n).select(*cols)
     if include_op:
         # A ranked comment of the author is in both sets, with the same row.
@@ -75,7 +77,8 @@ def comment_arrays(ranked: DataFrame, limit=None) -> DataFrame:
     return df.groupBy("post_id").agg(F.transform(
         F.array_sort(F.collect_list(entry)),
         lambda e: F.struct(e["c"]["id"].alias("id"), e["c"]["author"].alias("author"), e["c"]["score"].alias("score"),
-                           e["c"]["text"].alias("text"), e["c"]["is_op"].alias("is_op"),
+                           e["c"]["text"].alias("text"), e["c"]["permalink"].alias("permalink"),
+                           e["c"]["is_op"].alias("is_op"),
                            e["thread_context"].alias("thread_context"))).alias("top_comments"))
 
 
