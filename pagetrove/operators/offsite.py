@@ -49,7 +49,10 @@ def _keyed(df, column):
 
 
 def bio_links(pointing: DataFrame, links: DataFrame) -> DataFrame:
-    """``links(_key, pos, url, anchor)`` are page edges by canonical source URL. Links of each post: those its caption names, else the external ones of its profile page."""
+    """Links of each post: those its caption names, else the external ones of its profile page.
+
+    ``links(_key, pos, url, anchor)`` are page edges by canonical source URL.
+    """
     direct = pointing.select("post_id", F.posexplode("direct").alias("pos", "url")).withColumn("anchor", F.lit(""))
     rest = pointing.filter(F.size("direct") == 0).withColumn("profile", U.profile_url(F.col("platform"), F.col("handle")))
     found = _keyed(rest.filter("profile IS NOT NULL").select("post_id", "profile"), "profile").join(links, "_key")
