@@ -157,12 +157,11 @@ def edit_fold(spark, sf):
 
 
 @query("n12_label_insertion", """
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '---' || chr(10) || 'a: 1' || chr(10) || '---' || chr(10) || chr(10) || '> ' || lang || chr(10) || text ELSE '> ' || lang || chr(10) || text END AS note
-FROM documents WHERE text <> '' AND NOT starts_with(text, chr(10))""")
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '---' || chr(10) || 'a: 1' || chr(10) || '---' || chr(10) || chr(10) || '> ' || lang || chr(10) || ltrim(text, chr(10)) ELSE '> ' || lang || chr(10) || text END AS note
+FROM documents""")
 def label_insertion(spark, sf):
     note = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("---\na: 1\n---\n\n\n"), "text")).otherwise(F.col("text"))
-    df = table(spark, sf, "documents").filter("text <> ''").filter(~F.col("text").startswith("\n"))
-    return df.select("doc_id", N.label_after_header(note, F.concat(F.lit("> "), "lang", F.lit("\n"))).alias("note"))
+    return table(spark, sf, "documents").select("doc_id", N.label_after_header(note, F.concat(F.lit("> "), "lang", F.lit("\n"))).alias("note"))
 
 
 @query("n13_second_pass", with_inputs("checks") + """

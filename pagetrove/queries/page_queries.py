@@ -152,13 +152,12 @@ def html_to_markdown(spark, sf):
 
 
 @query("c12_extractor_choice", """
-SELECT doc_id, CASE WHEN a >= 400 AND NOT n_chars > a * 1.8 THEN 'main' ELSE 'whole' END AS chosen FROM (
-  SELECT doc_id, length(text) AS n_chars, CAST(floor(length(text) * (1 + doc_id % 3) / 3) AS BIGINT) AS a FROM documents) t WHERE n_chars > 0 AND NOT (a = n_chars)""")
+SELECT doc_id, CASE WHEN a >= 400 AND NOT n > a * 1.8 THEN a WHEN n > 0 THEN n END AS chosen FROM (
+  SELECT doc_id, length(text) AS n, CAST(floor(length(text) * (1 + doc_id % 3) / 3) AS BIGINT) AS a FROM documents) t""")
 def extractor_choice(spark, sf):
     df = table(spark, sf, "documents").select("doc_id", "text", F.substr(
         "text", F.lit(1), F.floor(F.char_length("text") * (1 + F.col("doc_id") % 3) / 3).cast("int")).alias("a"))
-    return df.filter("a <> text").select("doc_id", F.when(
-        P.choose_markdown(F.col("a"), F.col("text")) == F.col("a"), "main").otherwise("whole").alias("chosen"))
+    return df.select("doc_id", F.char_length(P.choose_markdown(F.col("a"), F.col("text"))).alias("chosen"))
 
 
 @query("c13_normalise_markdown", with_inputs("md_docs") + """

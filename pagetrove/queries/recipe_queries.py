@@ -49,14 +49,15 @@ def instructions(spark, sf):
     return _recipes(spark, sf).select("page_id", F.array_join("instructions", "|").alias("steps"))
 
 
-@query("e4_clean_text", """
-SELECT doc_id, 'Tom & "Jo" < ' || trim(replace(text, chr(10), ' ')) AS line FROM documents WHERE NOT contains(text, '&') AND NOT contains(text, '<')
- AND NOT regexp_matches(replace(text, chr(10), ' '), '  ')""")
+derive("plain_texts", """
+SELECT doc_id, replace(replace(text, '&', '+'), '<', '(') AS text FROM {documents}""", ["documents"])
+
+
+@query("e4_clean_text", with_inputs("plain_texts") + """
+SELECT doc_id, trim(regexp_replace('Tom & "Jo" < ' || text, '\\s+', ' ', 'g')) AS line FROM plain_texts""")
 def clean_text(spark, sf):
-    df = table(spark, sf, "documents").filter(
-        ~F.col("text").contains("&") & ~F.col("text").contains("<") & ~F.replace("text", F.lit("\n"), F.lit(" ")).contains("  "))
     raw = F.concat(F.lit("<p>Tom &amp;\n <i>&quot;Jo&#34;</i> &lt; "), "text", F.lit("</p>"))
-    return df.select("doc_id", H.clean_text(raw).alias("line"))
+    return source(spark, sf, "plain_texts").select("doc_id", H.clean_text(raw).alias("line"))
 
 
 @query("e5_yield_text", with_inputs("recipe_pages") + """
