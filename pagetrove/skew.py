@@ -54,31 +54,37 @@ def order_bucket(df: DataFrame, order_col, buckets=NUMBERING_BUCKETS):
     return F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < value))
 
 
-def running_per_key(df: DataFrame, keys, order_col, tie_cols=(), totals=None,
-                    buckets=NUMBERING_BUCKETS) -> DataFrame:
-    """Running sums per key in ``order_col`` order, without one task per key.
-
-    ``totals`` maps an output name to the expression summed up to and including the row. Rows
-    are cut into order ranges; each (key, range) is scanned on its own and shifted by the sums
-    of the key's earlier ranges, which are at most ``buckets`` small rows per key.
+def running_per_key(df: DataFrame, keys, order_col, tie_cols=(), totals=None, maxima=None,
+                    include_current=True, ranges=None) -> DataFrame:
+    """Running sums and maxima per key in ``order_col`` order, without one task per key.
+
+    ``totals`` and ``maxima`` map an output name to the expression accumulated up to the row
+    (without the row itself when ``include_current`` is off). Rows are cut into order ranges;
+    each (key, range) is scanned on its own and combined with the key's earlier ranges, which
+    are at most ``NUMBERING_BUCKETS`` small rows per key. ``ranges`` reuses an order_bucket
+    column. The input is read twice; settle long plans first.
     """
-    totals = totals or {"row_no": F.lit(1)}
-    ranged = df.withColumn("_range", order_bucket(df, order_col, buckets))
+    maxima = maxima or {}
+    totals = totals or ({} if maxima else {"row_no": F.lit(1)})
+    ranged = df.withColumn("_range", order_bucket(df, order_col) if ranges is None else ranges)
     part = [*keys, "_range"]
     local = Window.partitionBy(*part).orderBy(order_col, *tie_cols).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1)
-    sums = ranged.groupBy(*part).agg(*[F.sum(e).alias(f"_s_{n}") for n, e in totals.items()])
-    offsets = sums.select(*part, *[
-        F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals])
-    scanned = reduce(lambda d, kv: d.withColumn(f"_l_{kv[0]}", F.sum(kv[1]).over(local)),
-                     totals.items(), ranged)
-    joined = scanned.alias("s").join(
-        offsets.alias("o"),
-        reduce(lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in part]))
-    return joined.select(*[f"s.{c}" for c in df.columns], *[
-        (F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in totals])
+        Window.unboundedPreceding, Window.currentRow if include_current else -1)
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    per_range = ranged.groupBy(*part).agg(*[F.sum(e).alias(f"_a_{n}") for n, e in totals.items()],
+                                          *[F.max(e).alias(f"_a_{n}") for n, e in maxima.items()])
+    earlier = per_range.select(*part, *[F.sum(f"_a_{n}").over(before).alias(f"_o_{n}") for n in totals],
+                               *[F.max(f"_a_{n}").over(before).alias(f"_o_{n}") for n in maxima])
+    scanned = ranged.withColumns({
+        **{f"_l_{n}": F.sum(e).over(local) for n, e in totals.items()},
+        **{f"_l_{n}": F.max(e).over(local) for n, e in maxima.items()}})
+    joined = scanned.alias("s").join(earlier.alias("o"), reduce(
+        lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in part]))
+    zero = F.lit(0)
+    return joined.select(
+        *[f"s.{c}" for c in df.columns],
+        *[(F.coalesce(f"_l_{n}", zero) + F.coalesce(f"_o_{n}", zero)).alias(n) for n in totals],
+        *[F.greatest(f"_l_{n}", f"_o_{n}").alias(n) for n in maxima])
 
 
 def neighbours_per_key(df: DataFrame, keys, order_col, value_col, tie_cols=(),
