@@ -13,11 +13,11 @@ ML_PER_TBSP = 14.786765
 ML_PER_CUP = 236.588236
 CM_PER_IN = 2.54
 MM_PER_IN = 25.4
-NUMBER = r"(\d+(?:\.\d+)?)\s*"
+NUMBER = r"([0-9]+(?:\.[0-9]+)?)\s*"
 NOT_CONVERTED = r"(?!\s*[()])"
 RULES = {
     "celsius": NUMBER + r"(?:°\s*[Cc]elsius\b|°\s*[Cc]\b|degrees?\s*[Cc](?:elsius)?\b|[Cc]elsius\b)",
-    "oven": r"(?<!\d)(\d{3})\s*C\b",
+    "oven": r"(?<!\d)([0-9]{3})\s*C\b",
     "kg": NUMBER + r"(?:kg|kilograms?|kilos?)\b",
     "g": NUMBER + r"(?:g|grams?)\b",
     "ml": NUMBER + r"(?:ml|millilit(?:er|re)s?)\b",
@@ -25,9 +25,21 @@ RULES = {
     "cm": NUMBER + r"(?:cm|centimet(?:er|re)s?)\b",
     "mm": NUMBER + r"(?:mm|millimet(?:er|re)s?)\b",
 }
+HINTS = {
+    "celsius": ["°", "elsius", "egree"], "oven": ["C"], "kg": ["kg", "kilo"], "g": ["g"],
+    "ml": ["ml", "milli"], "l": ["L", "lit"], "cm": ["cm", "centi"], "mm": ["mm", "milli"],
+}
 # ----------------------------------------------------------------------------------------------
 
 
+def _hinted(text, rule):
+    """Cheap test that the rule's unit can occur, ahead of its regex."""
+    out = F.lit(False)
+    for h in HINTS[rule]:
+        out = out | text.contains(h)
+    return out
+
+
 def number_text(x: Column) -> Column:
     """One decimal, dropped when zero; halves round to even."""
     return F.regexp_replace(F.format_string("%.1f", F.bround(x, 1)), r"\.0$", "")
@@ -61,10 +73,11 @@ def _pattern(rule):
 def measurements(docs: DataFrame, id_cols, text_col) -> DataFrame:
     """One row per metric quantity: ``(ids, unit, value, imperial)``. One pass over the text."""
     def by_rule(rule):
-        return F.transform(
-            F.regexp_extract_all(F.col(text_col), F.lit(_pattern(rule)), 1),
-            lambda v: F.struct(F.lit(rule).alias("unit"), v.cast("double").alias("value"),
-                               imperial(v.cast("double"), rule).alias("imperial")))
+        values = F.regexp_extract_all(F.col(text_col), F.lit(_pattern(rule)), 1)
+        values = F.when(_hinted(F.col(text_col), rule), values).otherwise(F.array().cast("array<string>"))
+        return F.transform(values, lambda v: F.struct(
+            F.lit(rule).alias("unit"), v.cast("double").alias("value"),
+            imperial(v.cast("double"), rule).alias("imperial")))
     found = F.flatten(F.array(*[by_rule(r) for r in RULES]))
     return docs.select(*id_cols, F.explode(found).alias("m")).select(*id_cols, "m.unit", "m.value", "m.imperial")
 
@@ -90,7 +103,7 @@ def _annotate_rule(text, rule):
                      F.regexp_extract_all(text, F.lit(pat), 1).alias("v")),
         lambda z: F.concat(z["m"], F.lit(" (≈"), imperial(z["v"].cast("double"), rule), F.lit(")")))
     pieces = F.zip_with(F.split(text, pat, -1), notes, lambda p, n: F.concat(p, F.coalesce(n, F.lit(""))))
-    return F.when(text.rlike(pat), F.array_join(pieces, "")).otherwise(text)
+    return F.when(_hinted(text, rule) & text.rlike(pat), F.array_join(pieces, "")).otherwise(text)
 
 
 def annotate_column(df: DataFrame, column: str, out: str = None) -> DataFrame:

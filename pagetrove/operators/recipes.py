@@ -82,16 +82,9 @@ def _list(c):
     return F.coalesce(c, F.array().cast("array<string>"))
 
 
-def clean_all(xs: Column) -> Column:
-    """``clean_text`` over an array; blanks dropped."""
-    plain = H.unescape_all(F.transform(_list(xs), lambda x: F.regexp_replace(x, r"<[^>]+>", " ")))
-    return F.filter(F.transform(plain, lambda x: X.strip(F.regexp_replace(x, r"(?U)\s+", " "))),
-                    lambda x: x != "")
-
-
 def yield_text(yields: Column) -> Column:
-    """Longest entry with letters, else the first; a bare number becomes ``Serves n``."""
-    best = F.aggregate(clean_all(yields), F.lit(""), lambda acc, s: F.when(
+    """Of cleaned entries the longest with letters, else the first; a bare number becomes ``Serves n``."""
+    best = F.aggregate(_list(yields), F.lit(""), lambda acc, s: F.when(
         (s.rlike(r"\p{L}") & (F.char_length(s) > F.char_length(acc))) | (acc == ""), s).otherwise(acc))
     return F.when(best.rlike(r"(?U)^\d+$"), F.concat(F.lit("Serves "), best)).otherwise(
         F.nullif(best, F.lit("")))
@@ -116,7 +109,7 @@ def _lookup(key, table):
 
 def nutrition_amount(raw: Column, key: str) -> Column:
     """``<n> <unit>``: calories in kcal, bare numbers in the nutrient's usual unit."""
-    s = F.replace(H.clean_text(raw), F.lit(","), F.lit(""))
+    s = F.replace(raw, F.lit(","), F.lit(""))
     num = F.regexp_replace(F.regexp_extract(s, r"^([\d.]+)\s*([a-zA-Zµ]*)", 1), r"^\.+|\.+$", "")
     if key == "calories":
         unit = F.lit("kcal")
@@ -130,7 +123,7 @@ def nutrition_map(raw: Column) -> Column:
     """Schema.org nutrition fields under our names; null when nothing usable is there."""
     entries = [F.struct(F.lit(ours).alias("k"), nutrition_amount(F.try_element_at(raw, F.lit(theirs)), ours).alias("v"))
                for theirs, ours in NUTRITION_FIELDS.items()]
-    size = F.nullif(H.clean_text(F.try_element_at(raw, F.lit("servingSize"))), F.lit(""))
+    size = F.nullif(F.try_element_at(raw, F.lit("servingSize")), F.lit(""))
     entries.append(F.struct(F.lit("serving_size").alias("k"), size.alias("v")))
     kept = F.filter(F.array(*entries), lambda e: e["v"].isNotNull())
     return F.when(F.size(kept) > 0, F.map_from_entries(kept))
@@ -152,9 +145,9 @@ def extract_recipes(captures: DataFrame, clip_col=None) -> DataFrame:
     r = df.withColumn("r", raw_recipe("blocks")).drop("blocks")
     flat = lambda g: F.flatten(F.transform(g, lambda x: x["items"]))
     r = r.select(
-        "page_id", "url", F.nullif(H.clean_text(F.col("r.name")), F.lit("")).alias("name"),
-        F.when(F.size("ig") > 0, flat(F.col("ig"))).otherwise(clean_all(F.col("r.ingredients"))).alias("ingredients"),
-        F.when(F.size("sg") > 0, flat(F.col("sg"))).otherwise(clean_all(F.col("r.instructions"))).alias("instructions"),
+        "page_id", "url", F.col("r.name").alias("name"),
+        F.when(F.size("ig") > 0, flat(F.col("ig"))).otherwise(_list(F.col("r.ingredients"))).alias("ingredients"),
+        F.when(F.size("sg") > 0, flat(F.col("sg"))).otherwise(_list(F.col("r.instructions"))).alias("instructions"),
         F.when(F.size("ig") > 0, F.col("ig")).alias("ingredient_groups"),
         F.when(F.size("sg") > 0, F.col("sg")).alias("instruction_groups"),
         yield_text(F.col("r.yields")).alias("yield"), duration_text(F.col("r.prep")).alias("prep_time"),

@@ -14,7 +14,7 @@ def _rows(spark, sf):
     """One note row per document, all note types in turn."""
     n = F.col("doc_id")
     kind = F.get(F.array(*[F.lit(t) for t in TYPES]), (n % len(TYPES)).cast("int"))
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", True).select(
         "doc_id", "lang", "source", "text", F.concat(F.lit("https://www.x.example/p/"), n).alias("url"),
         F.when(kind.startswith("web"), "generic").otherwise(F.substring_index(kind, "_", 1)).alias("platform"),
         F.concat(F.lit("u/"), "source").alias("author"), F.concat(F.lit('T "'), "lang", F.lit('"')).alias("title"),

@@ -67,7 +67,7 @@ sc AS (SELECT page_id AS post_id, url, i, CASE WHEN contains(hay, 'the') THEN 1
   FROM (SELECT *, lower(anchor) || ' ' || lower(regexp_replace({S.path('url')}, '[-_/]+', ' ', 'g')) AS hay FROM links) x WHERE NOT regexp_matches(lower(url), {NEG}))
 SELECT post_id, arg_min(url, {{'s': -score, 'i': i}}) AS url, max(score) AS score FROM sc GROUP BY post_id HAVING max(score) >= 1""".replace("{{", "{").replace("}}", "}"))
 def best_link(spark, sf):
-    c = pages.links(table(spark, sf, "pages")).select(
+    c = pages.links(table(spark, sf, "pages", True)).select(
         F.col("page_id").alias("post_id"), "pos", "url", "anchor", F.array(F.lit("the"), F.lit("en")).alias("keywords"))
     return offsite.best_link(c)
 
@@ -81,7 +81,7 @@ def _graph(spark, sf):
     lists = p.filter("k = 2").select(F.concat(F.lit("https://linktr.ee/u"), n).alias("url"), F.when(
         F.col("post_id") % 2 == 0, F.concat(F.lit('<a href="https://shop.example/merch">shop</a><a href="'), "url", F.lit('">Bread recipe</a>')))
         .otherwise("nothing").alias("html"))
-    raw = table(spark, sf, "pages").select("url", "html").unionByName(profile).unionByName(lists)
+    raw = table(spark, sf, "pages", True).select("url", "html").unionByName(profile).unionByName(lists)
     captures = raw.select("url", H.to_text(H.without_code(F.col("html"))).alias("content"), H.title(F.col("html")).alias("title"))
     links = pages.links(raw.withColumn("page_id", F.lit(0))).drop("page_id")
     return p.withColumn("title", F.lit("")), captures, links

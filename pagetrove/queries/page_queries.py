@@ -35,14 +35,14 @@ def page_title(spark, sf):
 SELECT page_id, 'OG ' || source AS title, lang AS author, 'https://img.example/h' || CAST(page_id AS STRING) || '.jpg' AS hero,
   'Doc ' || CAST(page_id AS STRING) AS doc_title FROM rich_pages""")
 def page_metadata(spark, sf):
-    return P.page_metadata(P.clipped(source(spark, sf, "rich_pages").select("page_id", "url", "html"))).select(
+    return P.page_metadata(P.clipped(source(spark, sf, "rich_pages", True).select("page_id", "url", "html"))).select(
         "page_id", "title", "author", "hero", "doc_title")
 
 
 @query("c2_title_choice", with_inputs("rich_pages") + """
 SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'OG ' || source ELSE 'Doc ' || CAST(page_id AS STRING) END AS title FROM rich_pages""")
 def title_choice(spark, sf):
-    df = source(spark, sf, "rich_pages").select("page_id", "url", F.when(
+    df = source(spark, sf, "rich_pages", True).select("page_id", "url", F.when(
         F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.replace("html", F.lit("og:title"), F.lit("x:title"))).alias("html"))
     return P.page_metadata(P.clipped(df)).select("page_id", "title")
 
@@ -59,7 +59,7 @@ links AS (SELECT page_id, any_value(src_url) AS src_url, url, arg_min(anchor, i)
 @query("c3_page_links", LINKS + """
 SELECT page_id, src_url, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, url, anchor FROM links""")
 def page_links(spark, sf):
-    return P.links(table(spark, sf, "pages"))
+    return P.links(table(spark, sf, "pages", True))
 
 
 @query("c3_relative_links", """
@@ -77,7 +77,7 @@ def relative_links(spark, sf):
 SELECT page_id, item, min(pos) AS pos FROM (SELECT page_id, regexp_extract(url,'^https?://[^/]+/([A-Za-z]{3,})$',1) AS item,
   row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos FROM links) t WHERE item <> '' GROUP BY 1, 2""")
 def discovered_ids(spark, sf):
-    return P.discover_ids(table(spark, sf, "pages"), r"^https?://[^/]+/([A-Za-z]{3,})$", "([0-9]+) recipes")
+    return P.discover_ids(table(spark, sf, "pages", True), r"^https?://[^/]+/([A-Za-z]{3,})$", "([0-9]+) recipes")
 
 
 @query("c4_discovery_check", LINKS + """
@@ -92,7 +92,7 @@ def discovery_check(spark, sf):
 @query("c5_images", with_inputs("rich_pages") + """
 SELECT page_id, 'https://img.example/' || CAST(page_id AS STRING) || '.png' AS src, 'a b' AS alt FROM rich_pages""")
 def images(spark, sf):
-    return P.clipped(source(spark, sf, "rich_pages").select("page_id", "url", "html")).select(
+    return P.clipped(source(spark, sf, "rich_pages", True).select("page_id", "url", "html")).select(
         "page_id", F.explode("clip.images").alias("i")).select("page_id", "i.src", "i.alt")
 
 
@@ -102,14 +102,14 @@ def capture_images(spark, sf):
     i = F.concat(F.lit("https://img.example/"), "page_id")
     html = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<p><img src="data:x" srcset="'), i, F.lit("-small.png 1x, "), i, F.lit('-large.png 2x">'))) \
             .otherwise(F.concat(F.lit('<p><img src="data:y"><noscript><img src="'), i, F.lit('-noscript.png"></noscript>')))
-    df = source(spark, sf, "rich_pages").select("page_id", "url", html.alias("html"))
+    df = source(spark, sf, "rich_pages", True).select("page_id", "url", html.alias("html"))
     return P.clipped(df, image_mode="capture").select("page_id", F.explode("clip.images").alias("i")).select("page_id", "i.src")
 
 
 @query("c7_image_stats", with_inputs("rich_pages") + """
 SELECT page_id, 1 AS images, 1 AS http_images FROM rich_pages UNION ALL SELECT -1 - page_id, 0, 0 FROM pages""")
 def image_stats(spark, sf):
-    df = source(spark, sf, "rich_pages").select("page_id", "html").unionByName(
+    df = source(spark, sf, "rich_pages", True).select("page_id", "html").unionByName(
         table(spark, sf, "pages").select((-1 - F.col("page_id")).alias("page_id"), "html"))
     return df.select("page_id", H.image_count(F.col("html")).alias("images"),
                      H.http_image_count(F.col("html")).alias("http_images"))
@@ -118,7 +118,7 @@ def image_stats(spark, sf):
 @query("c8_embedded_videos", with_inputs("rich_pages") + """
 SELECT page_id, 'https://v.example/' || CAST(page_id AS STRING) || '.mp4' AS video FROM rich_pages""")
 def embedded_videos(spark, sf):
-    return P.clipped(source(spark, sf, "rich_pages").select("page_id", "url", "html")).select(
+    return P.clipped(source(spark, sf, "rich_pages", True).select("page_id", "url", "html")).select(
         "page_id", F.explode("clip.videos").alias("video"))
 
 
@@ -136,7 +136,7 @@ def ingredient_icons(spark, sf):
 SELECT page_id, regexp_extract(html,'<article><h1>(.*?)</h1>',1) <> '' AS has_article, true AS chrome_gone FROM pages""")
 def main_content(spark, sf):
     md = M.join_blocks(P.isolate(F.col("clip.blocks")))
-    return P.clipped(table(spark, sf, "pages")).select(
+    return P.clipped(table(spark, sf, "pages", True)).select(
         "page_id", md.startswith("# ").alias("has_article"),
         (~md.contains("track(") & ~md.contains("margin:0")).alias("chrome_gone"))
 
@@ -147,7 +147,7 @@ SELECT page_id, '## ' || source || ' head' || chr(10) || chr(10) || '**Lead.** M
  '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || lang || ' | a\\|b |' AS tail FROM rich_pages""")
 def html_to_markdown(spark, sf):
     md = M.join_blocks(P.isolate(F.col("clip.blocks")))
-    return P.clipped(source(spark, sf, "rich_pages").select("page_id", "url", "html")).select("page_id", md.alias("md")).select(
+    return P.clipped(source(spark, sf, "rich_pages", True).select("page_id", "url", "html")).select("page_id", md.alias("md")).select(
         "page_id", F.regexp_extract("md", r"(?s)^(.*?\.png\))", 1).alias("head"), F.regexp_extract("md", r"(?s)(\| k \| v \|.*)$", 1).alias("tail"))
 
 
@@ -254,5 +254,5 @@ def photo_embeds(spark, sf):
 @query("clip_pages")
 def clip_pages(spark, sf):
     """Whole clip of every captured page from one parse."""
-    return P.clip_pages(table(spark, sf, "pages")).select(
+    return P.clip_pages(table(spark, sf, "pages", True)).select(
         "page_id", "url", "title", "author", "domain", "markdown", "text", "possible_paywall", "has_video")

@@ -30,13 +30,13 @@ SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 3 ELSE 2 END + CASE page_id % 4 W
   CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END AS recipes FROM recipe_pages""")
 def jsonld_nodes(spark, sf):
     t = R.node_types(H.json_ld_blocks(F.col("html")))
-    return source(spark, sf, "recipe_pages").select("page_id", t.alias("t")).select(
+    return source(spark, sf, "recipe_pages", True).select("page_id", t.alias("t")).select(
         "page_id", F.size("t").cast("bigint").alias("n_nodes"),
         F.size(F.filter("t", lambda x: F.array_contains(x, "Recipe"))).cast("bigint").alias("recipes"))
 
 
 def _recipes(spark, sf):
-    return R.extract_recipes(source(spark, sf, "recipe_pages"))
+    return R.extract_recipes(source(spark, sf, "recipe_pages", True))
 
 
 @query("e2_recipe_node", with_inputs("recipe_pages") + "SELECT page_id, p_name || ' & co' AS name FROM recipe_pages")
@@ -116,7 +116,7 @@ def structured_merge(spark, sf):
     k = F.col("page_id") % 5
     none = F.lit(None)
     groups = F.array(F.struct(F.lit("g").alias("name"), F.array(F.lit("model")).alias("items")))
-    analysis = source(spark, sf, "recipe_pages").select(
+    analysis = source(spark, sf, "recipe_pages", True).select(
         "page_id", F.when(k == 0, "French").when(k == 2, "en").otherwise(none).alias("source_language"),
         F.array(F.lit("model")).alias("recipe_ingredients"), F.when(k == 1, groups).alias("recipe_ingredient_groups"),
         F.array(F.lit("s")).alias("recipe_instructions"), none.cast(ANALYSIS_COLS).alias("recipe_instruction_groups"),
@@ -182,7 +182,7 @@ IMPERIAL = f"""CASE kind WHEN 0 THEN CASE WHEN v >= 1000 THEN {_num('v / 453.592
 SELECT l_orderkey, l_linenumber, CASE kind WHEN 0 THEN 'g' WHEN 1 THEN 'ml' WHEN 2 THEN 'cm' ELSE 'celsius' END AS unit, v AS value, {IMPERIAL} AS imperial
 FROM (SELECT *, CAST(q * 25 AS DOUBLE) AS v FROM measure_lines) t""")
 def measurements(spark, sf):
-    return units.measurements(source(spark, sf, "measure_lines"), ["l_orderkey", "l_linenumber"], "line")
+    return units.measurements(source(spark, sf, "measure_lines", True), ["l_orderkey", "l_linenumber"], "line")
 
 
 @query("e16_annotated_text", with_inputs("measure_lines") + f"""
@@ -190,7 +190,7 @@ SELECT l_orderkey, l_linenumber, 'Add ' || CAST(q * 25 AS STRING) || CASE kind W
  || CASE kind WHEN 0 THEN 'flour' WHEN 1 THEN 'milk' WHEN 2 THEN 'rope' ELSE 'oven' END || ' and 3 kg (6 lb) rice' AS line
 FROM (SELECT *, CAST(q * 25 AS DOUBLE) AS v FROM measure_lines) t""")
 def annotated_text(spark, sf):
-    return units.annotate_column(source(spark, sf, "measure_lines"), "line").select("l_orderkey", "l_linenumber", "line")
+    return units.annotate_column(source(spark, sf, "measure_lines", True), "line").select("l_orderkey", "l_linenumber", "line")
 
 
 STOP = "('" + "','".join(R.CAPTION_STOPWORDS) + "')"
@@ -223,6 +223,6 @@ def icon_matches(spark, sf):
 def recipes_on_pages(spark, sf):
     """Recipe rows of the captured pages and of pages built from part, card groups included."""
     pages = table(spark, sf, "pages").select("page_id", "url", "html").unionByName(
-        source(spark, sf, "recipe_pages").select((-1 - F.col("page_id")).alias("page_id"), "url", "html"))
+        source(spark, sf, "recipe_pages", True).select((-1 - F.col("page_id")).alias("page_id"), "url", "html"))
     clipped = pages.withColumn("clip", P.clip_column()(F.col("html")))
     return R.extract_recipes(clipped, "clip").select("page_id", "name", "yield", "time_str")

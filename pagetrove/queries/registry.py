@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagetrove.sources.readers import spread
+
 QUERIES = {}
 ORACLES = {}
 INPUTS = {}
@@ -28,18 +30,20 @@ def derive(name, template, uses):
     INPUTS[name] = (template, uses)
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, spread_out=False) -> DataFrame:
+    """A given table; ``spread_out`` for work that is heavy per row."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if spread_out else df
 
 
-def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def source(spark: SparkSession, sf: str, name: str, spread_out=False) -> DataFrame:
     if name not in INPUTS:
-        return table(spark, sf, name)
+        return table(spark, sf, name, spread_out)
     template, uses = INPUTS[name]
     # spark.sql formats the text once more, so literal braces are doubled for it.
     template = template.replace("{{", "{{{{").replace("}}", "}}}}")
     return spark.sql(template.format(**{u: "{%s}" % u for u in uses}, **_SPARK_WORDS),
-                     **{u: source(spark, sf, u) for u in uses})
+                     **{u: source(spark, sf, u, spread_out) for u in uses})
 
 
 def with_inputs(*names):

@@ -24,7 +24,7 @@ SELECT DISTINCT note_id, tag FROM (SELECT doc_id AS note_id, w1 AS tag FROM {not
 
 
 def _counts(spark, sf):
-    return T.tag_counts(T.tag_rows(source(spark, sf, "tag_notes")))
+    return T.tag_counts(T.tag_rows(source(spark, sf, "tag_notes", True)))
 
 
 COUNTS = "(SELECT tag, count(*) AS n FROM note_tag_rows GROUP BY tag)"
@@ -32,7 +32,7 @@ COUNTS = "(SELECT tag, count(*) AS n FROM note_tag_rows GROUP BY tag)"
 
 @query("f4_note_tags", with_inputs("note_tag_rows") + "SELECT note_id, tag FROM note_tag_rows")
 def note_tags(spark, sf):
-    return T.tag_rows(source(spark, sf, "tag_notes"))
+    return T.tag_rows(source(spark, sf, "tag_notes", True))
 
 
 @query("k1_tag_counts", with_inputs("note_tag_rows") + f"SELECT tag, n FROM {COUNTS}")

@@ -26,6 +26,16 @@ def read_inbox(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "file STRING, value STRING")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a plain scan that has fewer splits than the cluster has cores.
+
+    For work that costs far more per row than moving the row (page parsing, rendering). Tables
+    with enough splits pass through untouched, so large inputs are never shuffled by this.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
     """Page captures ``(page_id, url, html)``; select what you need, Parquet prunes the rest."""
     return spark.read.parquet(path).select("page_id", "url", "html")
