@@ -29,69 +29,95 @@ def with_target_name(notes: DataFrame, folder="folder_path", name="file_name") -
         "base_name", X.safe_filename(F.col(name), X.name_budget(F.col("folder"))))
 
 
-def name_notes(notes: DataFrame, existing: DataFrame, order_col, tie_cols=()) -> DataFrame:
+NUMBERED_NAME = r"^(.*)-([1-9][0-9]{0,8})$"
+KEY = ["folder", "base_name"]
+
+
+def name_notes(notes: DataFrame, existing: DataFrame, order_col) -> DataFrame:
     """Unique ``file_name`` per folder: each note, in order, takes the first free of ``name``,
     ``name-2``, ``name-3`` ... counting files already there.
 
-    ``notes`` carries ``folder`` and ``base_name``; ``existing(folder, base_name)`` lists the
-    files. Notes are numbered per name with distributed running counts that step over taken
-    numbers. Two different names can still meet (``x`` with number 2 and a note named ``x-2``):
-    the earlier note keeps the name, the number counts as taken for the other, and the numbers
-    are worked out again until no clash is left.
+    ``notes`` carries ``folder``, ``base_name`` and the unique number ``order_col``;
+    ``existing(folder, base_name)`` lists the files. Notes are numbered per name by distributed
+    running counts that step over taken numbers.
     """
-    numbered = settle(running_per_key(notes, ["folder", "base_name"], order_col, tie_cols))
-    names = numbered.select("folder", "base_name").distinct()
-    blocks = _taken_numbers(names, existing)
-    while True:
-        named = _number_past(numbered, blocks, order_col)
-        lost = settle(_clashes(named, [order_col, *tie_cols, "base_name"]))
-        if lost.isEmpty():
-            return named.drop("row_no", "n")
-        blocks = blocks.unionByName(lost)
+    numbered = settle(running_per_key(notes, KEY, order_col))
+    taken = settle(_numbers_on_disk(numbered.select(*KEY).distinct(), existing))
+    return _number_past(numbered, _settle_contests(numbered, taken, order_col))
 
 
-NUMBERED_NAME = r"^(.*)-([1-9][0-9]{0,8})$"
+def _split_name():
+    return [F.regexp_extract("base_name", NUMBERED_NAME, 1).alias("base_name"),
+            F.regexp_extract("base_name", NUMBERED_NAME, 2).cast("bigint").alias("n")]
 
 
-def _taken_numbers(names: DataFrame, existing: DataFrame) -> DataFrame:
+def _numbers_on_disk(names: DataFrame, existing: DataFrame) -> DataFrame:
     """Numbers of each name that files on disk hold (1 is the bare name)."""
     bare = existing.select("folder", "base_name", F.lit(1).cast("bigint").alias("n"))
-    split = existing.filter(F.col("base_name").rlike(NUMBERED_NAME)).select(
-        "folder", F.regexp_extract("base_name", NUMBERED_NAME, 1).alias("base_name"),
-        F.regexp_extract("base_name", NUMBERED_NAME, 2).cast("bigint").alias("n"))
-    both = bare.unionByName(split.filter("n >= 2")).distinct()
-    return both.join(names, ["folder", "base_name"], "left_semi")
+    split = existing.filter(F.col("base_name").rlike(NUMBERED_NAME)).select("folder", *_split_name())
+    return bare.unionByName(split.filter("n >= 2")).distinct().join(names, KEY, "left_semi")
 
 
-def _number_past(numbered: DataFrame, blocks: DataFrame, order_col) -> DataFrame:
+def _settle_contests(numbered: DataFrame, taken: DataFrame, order_col) -> DataFrame:
+    """Taken numbers once names that can meet are told apart: ``x`` with number 2 and notes named
+    ``x-2`` want the same file, and the earlier note gets it.
+
+    The note of ``x`` that comes to number b has rank k = b minus the taken numbers below b, and
+    r notes of ``x`` come before the first note named ``x-b``. That first note keeps its name if
+    k > r; otherwise ``x-b`` loses its bare name. While u numbers below b are open, k can still
+    fall by u, so b is decided when k <= r or k - u > r; the lowest open number always is. Only
+    the small table of contested numbers goes through the rounds.
+    """
+    first = numbered.groupBy(*KEY).agg(F.min(order_col).alias("first"))
+    rivals = first.filter(F.col("base_name").rlike(NUMBERED_NAME)).select(
+        "folder", F.col("base_name").alias("child"), "first", *_split_name()).filter("n >= 2")
+    rivals = rivals.join(first.select(*KEY), KEY, "left_semi")
+    rivals = settle(rivals.join(taken.select(*KEY, "n"), [*KEY, "n"], "left_anti"))
+    if rivals.isEmpty():
+        return taken
+    marks = rivals.select(*KEY, F.col("first").alias(order_col), F.lit(0).alias("step"), "child", "n")
+    rows = numbered.join(rivals.select(*KEY).distinct(), KEY, "left_semi").select(
+        *KEY, order_col, F.lit(1).alias("step"))
+    lined = running_per_key(settle(rows.unionByName(marks, allowMissingColumns=True)), KEY, order_col,
+                            totals={"before": F.col("step")})
+    left = settle(lined.filter("step = 0").select(*KEY, "child", "n", "before"))
+    while not left.isEmpty():
+        waiting = left.select("folder", F.col("child").alias("base_name")).distinct()
+        ready = left.join(waiting, KEY, "left_anti")
+        axis = taken.join(ready.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "n", F.lit(1).alias("held")) \
+            .unionByName(ready.withColumn("held", F.lit(0)), allowMissingColumns=True)
+        below = running_per_key(settle(axis), KEY, "n", totals={
+            "held_below": F.col("held"), "open_below": 1 - F.col("held")}, include_current=False).filter("held = 0")
+        k = F.col("n") - F.col("held_below")
+        verdict = F.when(k <= F.col("before"), "lost").when(k - F.col("open_below") > F.col("before"), "kept")
+        told = settle(below.select(*KEY, "child", "n", verdict.alias("verdict")))
+        kept = told.filter("verdict = 'kept'").select(*KEY, "n")
+        lost = told.filter("verdict = 'lost'").select("folder", F.col("child").alias("base_name"),
+                                                      F.lit(1).cast("bigint").alias("n"))
+        taken = settle(taken.select(*KEY, "n").unionByName(kept).unionByName(lost))
+        left = settle(left.join(told.filter("verdict IS NOT NULL").select(*KEY, "n"), [*KEY, "n"], "left_anti"))
+    return taken
+
+
+def _number_past(numbered: DataFrame, taken: DataFrame) -> DataFrame:
     """k-th free number per name.
 
     With the taken numbers b1 < b2 < ... of a name there are b_i - i free ones below b_i, so
     rank k moves up by the count of i with b_i - i < k: a running sum over ranks and taken
     numbers lined up on one axis.
     """
-    key = ["folder", "base_name"]
-    ranked = running_per_key(blocks, key, "n", totals={"i": F.lit(1)})
-    marks = ranked.select(*key, (F.col("n") - F.col("i") + 0.5).alias("at"), F.lit(1).alias("step"))
-    hit = blocks.select(*key).distinct().withColumn("_hit", F.lit(True))
-    tagged = numbered.join(hit, key, "left")
+    ranked = running_per_key(taken, KEY, "n", totals={"i": F.lit(1)})
+    marks = ranked.select(*KEY, (F.col("n") - F.col("i") + 0.5).alias("at"), F.lit(1).alias("step"))
+    hit = taken.select(*KEY).distinct().withColumn("_hit", F.lit(True))
+    tagged = numbered.join(hit, KEY, "left")
     free = tagged.filter("_hit IS NULL").withColumn("n", F.col("row_no"))
     held = tagged.filter("_hit").withColumn("at", F.col("row_no").cast("double")).withColumn("step", F.lit(0))
-    axis = held.unionByName(marks, allowMissingColumns=True)
-    moved = running_per_key(axis, key, "at", totals={"shift": F.col("step")}).filter("step = 0")
+    axis = settle(held.unionByName(marks, allowMissingColumns=True))
+    moved = running_per_key(axis, KEY, "at", totals={"shift": F.col("step")}).filter("step = 0")
     moved = moved.withColumn("n", F.col("row_no") + F.col("shift"))
     out = free.drop("_hit").unionByName(moved.drop("_hit", "at", "step", "shift"))
     return out.withColumn("file_name", F.when(F.col("n") == 1, F.col("base_name")).otherwise(
-        F.concat("base_name", F.lit("-"), F.col("n").cast("string"))))
-
-
-def _clashes(named: DataFrame, priority) -> DataFrame:
-    """Numbers lost to an earlier note that took the same file name under another base name."""
-    claim = F.struct(*priority)
-    per_name = named.groupBy("folder", "file_name").agg(
-        F.count("*").alias("claims"), F.min(claim).alias("winner")).filter("claims > 1")
-    return named.join(per_name, ["folder", "file_name"]).filter(
-        F.col("winner") != claim).select("folder", "base_name", F.col("n").cast("bigint").alias("n"))
+        F.concat("base_name", F.lit("-"), F.col("n").cast("string")))).drop("row_no", "n")
 
 
 def folder_inventory(paths: DataFrame, path="path", max_depth=5, limit=400) -> DataFrame:

@@ -126,7 +126,7 @@ def nutrition_map(raw: Column) -> Column:
     size = F.nullif(F.try_element_at(raw, F.lit("servingSize")), F.lit(""))
     entries.append(F.struct(F.lit("serving_size").alias("k"), size.alias("v")))
     kept = F.filter(F.array(*entries), lambda e: e["v"].isNotNull())
-    return F.when(F.size(kept) > 0, F.map_from_entries(kept))
+    return X.let(kept, lambda k: F.when(F.size(k) > 0, F.map_from_entries(k)))
 
 
 def extract_recipes(captures: DataFrame, clip_col=None) -> DataFrame:
