@@ -79,7 +79,7 @@ def measurements(docs: DataFrame, id_cols, text_col) -> DataFrame:
             F.lit(rule).alias("unit"), v.cast("double").alias("value"),
             imperial(v.cast("double"), rule).alias("imperial")))
     found = F.flatten(F.array(*[by_rule(r) for r in RULES]))
-    return docs.select(*id_cols, F.explode(found).alias("m")).select(*id_cols, "m.unit", "m.value", "m.imperial")
+    return docs.select(*id_cols, F.explode_outer(found).alias("m")).filter("m IS NOT NULL").select(*id_cols, "m.unit", "m.value", "m.imperial")
 
 
 def annotate(text: Column) -> Column:

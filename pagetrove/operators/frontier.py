@@ -11,8 +11,8 @@ SETTLED = ["done", "pending", "failed_permanent"]
 
 def inbox_urls(lines: DataFrame) -> DataFrame:
     """One row per URL in inbox lines ``(line_no, value)``: adds ``pos`` in line, raw and key."""
-    return lines.select("*", F.posexplode(U.urls_in_line(F.col("value"))).alias("pos", "url")) \
-                .withColumn("canonical_url", U.canonical_url(F.col("url")))
+    return lines.select("*", F.posexplode_outer(U.urls_in_line(F.col("value"))).alias("pos", "url")) \
+                .filter("url IS NOT NULL").withColumn("canonical_url", U.canonical_url(F.col("url")))
 
 
 def first_occurrence(urls: DataFrame, order, key="canonical_url") -> DataFrame:

@@ -45,7 +45,8 @@ def clip_column(drop_cards=True, image_mode="render"):
                 "icons": htmltree.ingredient_icons(root),
                 "ingredient_groups": ingredients, "instruction_groups": steps})
         return pd.DataFrame(rows, columns=CLIP.names)
-    return clip
+    # A filter on its result must not be pushed below it, which would parse every page twice.
+    return clip.asNondeterministic()
 
 
 def clipped(captures: DataFrame, drop_cards=True, image_mode="render") -> DataFrame:
@@ -129,8 +130,9 @@ def clip_pages(captures: DataFrame) -> DataFrame:
 def links(captures: DataFrame, id_col="page_id") -> DataFrame:
     """Link edges ``(page_id, src_url, pos, url, anchor)`` of captures."""
     found = H.page_links(F.col("html"), F.col("url"))
+    # The outer form keeps Spark from adding a size(found) > 0 filter that reads the links twice.
     return captures.select(id_col, F.col("url").alias("src_url"), found.alias("found")).select(
-        id_col, "src_url", F.posexplode("found").alias("pos", "l")).select(
+        id_col, "src_url", F.posexplode_outer("found").alias("pos", "l")).filter("l IS NOT NULL").select(
         id_col, "src_url", "pos", "l.url", "l.anchor")
 
 

@@ -336,4 +336,5 @@ def listing_comments(listings: pd.Series) -> pd.Series:
 def reddit_comments(raw: DataFrame) -> DataFrame:
     """Comment rows ``(post_id, id, parent_id, pos, author, score, text, permalink)``."""
     tree = listing_comments(F.get_json_object("raw", "$[1]"))
-    return raw.select(F.col("url").alias("post_id"), F.posexplode(tree).alias("pos", "c")).select("post_id", "pos", "c.*")
+    return raw.select(F.col("url").alias("post_id"), F.posexplode_outer(tree).alias("pos", "c")).filter(
+        "c IS NOT NULL").select("post_id", "pos", "c.*")

@@ -73,6 +73,9 @@ def raw_recipe(blocks: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([[r.get(c) for c in RAW_RECIPE.names] for r in rows], columns=RAW_RECIPE.names)
 
 
+raw_recipe = raw_recipe.asNondeterministic()  # evaluate once, ahead of filters on its fields
+
+
 @pandas_udf(ArrayType(ArrayType(S)))
 def node_types(blocks: pd.Series) -> pd.Series:
     return blocks.map(lambda b: [jsonld.types(n) for n in jsonld.nodes(b)] if b is not None else [])

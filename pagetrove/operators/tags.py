@@ -54,7 +54,8 @@ def note_tags(text: Column) -> Column:
 
 
 def tag_rows(notes: DataFrame, id_col="note_id", text_col="text") -> DataFrame:
-    return notes.select(id_col, F.explode(note_tags(F.col(text_col))).alias("tag"))
+    # The outer form keeps Spark from adding a size filter that extracts the tags twice.
+    return notes.select(id_col, F.explode_outer(note_tags(F.col(text_col))).alias("tag")).filter("tag IS NOT NULL")
 
 
 def tag_counts(rows: DataFrame) -> DataFrame:

@@ -34,46 +34,48 @@ def ancestor_ids(comments: DataFrame) -> DataFrame:
     raise ValueError("comment parents form a cycle")
 
 
-def _comment(prefix=""):
-    return F.struct(*[F.col(prefix + c).alias(c) for c in ("id", "author", "score", "text", "permalink")],
-                    F.col(prefix + "is_op").alias("is_op"))
-
-
 def top_comments(comments: DataFrame, posts: DataFrame, n=5, op_nested=5, include_op=True) -> DataFrame:
     """Comments a note shows, as rows with ``(section, score, pos)`` giving their order.
 
     Section 0: the ``n`` best top-level comments and every top-level comment of the post's
     author, by score. Section 1: the author's first ``op_nested`` replies in reading order, each
-    with its ancestors. ``posts(post_id, op)``; ranks are pruned before the shuffle.
+    with its ancestors. ``posts(post_id, op)``. Ranking runs on narrow rows and is pruned before
+    the shuffle; texts are joined once, for the chosen comments and their ancestors only.
     """
     if "permalink" not in comments.columns:
         comments = comments.withColumn("permalink", F.lit(""))
-    df = comments.join(posts.select("post_id", "op"), "post_id").withColumn(
-        "is_op", F.coalesce((F.col("op") != "") & (F.col("author") == F.col("op")), F.lit(False))).drop("op")
-    top = df.filter("parent_id IS NULL")
-    cols = ["post_id", "id", "pos", "author", "score", "text", "permalink", "is_op"]
-    ranked = top_n_per_key(top, ["post_id"], [F.desc("score"), "pos"], n).select(*cols)
+    narrow = settle(comments.select("post_id", "id", "parent_id", "pos", "score", "author").join(
+        posts.select("post_id", "op"), "post_id").select(
+        "post_id", "id", "parent_id", "pos", "score",
+        F.coalesce((F.col("op") != "") & (F.col("author") == F.col("op")), F.lit(False)).alias("is_op")))
+    cols = ["post_id", "id", "pos", "score", "is_op"]
+    top = narrow.filter("parent_id IS NULL")
+    shown = top_n_per_key(top, ["post_id"], [F.desc("score"), "pos"], n).select(*cols)
     if include_op:
-        # A ranked comment of the author is in both sets, with the same row.
-        ranked = ranked.unionByName(top.filter("is_op").select(*cols)).distinct()
-    nested = top_n_per_key(df.filter("parent_id IS NOT NULL AND is_op"), ["post_id"], ["pos"], op_nested).select(*cols)
-    chains = ancestor_ids(comments)
-    up = nested.select("post_id", "id").join(chains, ["post_id", "id"]).select(
-        "post_id", "id", F.posexplode("ancestors").alias("depth", "up"))
-    detail = df.select("post_id", F.col("id").alias("up"), _comment().alias("c"))
-    context = up.join(detail, ["post_id", "up"]).groupBy("post_id", "id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("depth", "c"))), lambda s: s["c"]).alias("thread_context"))
-    replies = nested.join(context, ["post_id", "id"], "left").withColumn("section", F.lit(1))
-    flat = ranked.withColumn("thread_context", F.lit(None).cast(replies.schema["thread_context"].dataType)) \
-                 .withColumn("section", F.lit(0))
-    return flat.unionByName(replies)
+        shown = shown.unionByName(top.filter("is_op").select(*cols)).distinct()
+    nested = top_n_per_key(narrow.filter("parent_id IS NOT NULL AND is_op"), ["post_id"], ["pos"], op_nested).select(*cols)
+    chosen = settle(shown.withColumn("section", F.lit(0)).unionByName(nested.withColumn("section", F.lit(1))))
+    up = chosen.filter("section = 1").select("post_id", "id").join(ancestor_ids(narrow), ["post_id", "id"]).select(
+        "post_id", "id", F.posexplode("ancestors").alias("depth", "ref"))
+    refs = chosen.select("post_id", "id", F.lit(-1).alias("depth"), F.col("id").alias("ref")).unionByName(up)
+    detail = comments.select("post_id", F.col("id").alias("ref"), "author", "text", "permalink").join(
+        narrow.select("post_id", F.col("id").alias("ref"), "score", "is_op"), ["post_id", "ref"])
+    entry = F.struct(F.col("ref").alias("id"), "author", "score", "text", "permalink", "is_op")
+    full = refs.join(detail, ["post_id", "ref"]).groupBy("post_id", "id").agg(
+        F.max(F.when(F.col("depth") < 0, F.struct("author", "text", "permalink"))).alias("own"),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("depth") >= 0, F.struct("depth", entry.alias("c"))))),
+                    lambda s: s["c"]).alias("above"))
+    return chosen.join(full, ["post_id", "id"]).select(
+        *cols, "section", "own.author", "own.text", "own.permalink",
+        F.when(F.col("section") == 1, F.col("above")).alias("thread_context"))
 
 
 def comment_arrays(ranked: DataFrame, limit=None) -> DataFrame:
     """Comments per post as one ordered array, for note rows; ``limit`` when a prompt shows few."""
     order = [F.col("section"), F.when(F.col("section") == 0, -F.col("score")).otherwise(0), F.col("pos")]
     df = top_n_per_key(ranked, ["post_id"], order, limit).drop("rank") if limit else ranked
-    entry = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)], _comment().alias("c"), "thread_context")
+    entry = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)],
+                     F.struct("id", "author", "score", "text", "permalink", "is_op").alias("c"), "thread_context")
     return df.groupBy("post_id").agg(F.transform(
         F.array_sort(F.collect_list(entry)),
         lambda e: F.struct(e["c"]["id"].alias("id"), e["c"]["author"].alias("author"), e["c"]["score"].alias("score"),

@@ -133,12 +133,14 @@ def ingredient_icons(spark, sf):
 
 
 @query("c10_main_content", r"""
-SELECT page_id, regexp_extract(html,'<article><h1>(.*?)</h1>',1) <> '' AS has_article, true AS chrome_gone FROM pages""")
+SELECT page_id, regexp_extract(html,'<article><h1>(.*?)</h1>',1) <> '' AS has_article, true AS chrome_gone,
+  md5(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html,'(?s)<article>(.*)</article>',1),'<[^>]*>',' ','g'),'&[a-z]+;',' ','g'),'[^a-zA-Zà-ÿ]','','g')) AS letters FROM pages""")
 def main_content(spark, sf):
     md = M.join_blocks(P.isolate(F.col("clip.blocks")))
     return P.clipped(table(spark, sf, "pages", True)).select(
         "page_id", md.startswith("# ").alias("has_article"),
-        (~md.contains("track(") & ~md.contains("margin:0")).alias("chrome_gone"))
+        (~md.contains("track(") & ~md.contains("margin:0")).alias("chrome_gone"),
+        F.md5(F.regexp_replace(F.regexp_replace(md, "&[a-z]+;", " "), "[^a-zA-Zà-ÿ]", "")).alias("letters"))
 
 
 @query("c11_html_to_markdown", with_inputs("rich_pages") + """

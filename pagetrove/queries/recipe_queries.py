@@ -219,7 +219,9 @@ def icon_matches(spark, sf):
         F.transform(picks, lambda p: F.coalesce(p, F.lit("-"))), ",").alias("icons"))
 
 
-@query("e8_recipes_on_pages")
+@query("e8_recipes_on_pages", with_inputs("recipe_pages") + """
+SELECT -1 - page_id AS page_id, p_name || ' & co' AS name, CASE WHEN page_id % 2 = 0 THEN 'Serves ' || p_size ELSE p_size || ' big servings' END AS yield,
+  'Prep: ' || p_size || ' min · Total: 2 hr' AS time_str FROM recipe_pages""")
 def recipes_on_pages(spark, sf):
     """Recipe rows of the captured pages and of pages built from part, card groups included."""
     pages = table(spark, sf, "pages").select("page_id", "url", "html").unionByName(
