@@ -1,12 +1,15 @@
 """Keyed reductions and numbering that hold when one key owns a large share of the rows."""
 
+import json
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
-NUMBERING_BUCKETS = 64
+ROWS_PER_RANGE = 1_000_000
+MAX_RANGES = 16_384
 
 
 def _others(df, keys):
@@ -36,40 +39,52 @@ def top_n_per_key(df: DataFrame, keys, order, n, rank_col="rank") -> DataFrame:
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
 
 
-def order_bucket(df: DataFrame, order_col, buckets=NUMBERING_BUCKETS):
-    """Column that cuts ``order_col`` (number or timestamp) into at most ``buckets`` ranges.
+def order_bucket(df: DataFrame, order_col):
+    """Column that cuts ``order_col`` (number or timestamp) into ranges of about ROWS_PER_RANGE.
 
-    The cut points are a fixed-size list of quantiles computed once, so every later evaluation
-    of the plan, retries included, assigns a row to the same range.
+    The cut points are quantiles computed once and kept as a literal, so every later evaluation
+    of the plan, retries included, assigns a row to the same range. A row finds its range in two
+    steps over about sqrt(ranges) cut points each. Null for a table that fits one range.
     """
-    kind = df.schema[order_col].dataType
     value = F.col(order_col)
-    if isinstance(kind, TimestampNTZType):
+    if isinstance(df.schema[order_col].dataType, TimestampNTZType):
         value = value.cast("timestamp")
     value = value.cast("double")
-    qs = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(value, qs, 10000)).first()[0] or []
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < value))
+    ranges = min(MAX_RANGES, -(-df.count() // ROWS_PER_RANGE))
+    if ranges < 2:
+        return None
+    qs = [i / ranges for i in range(1, ranges)]
+    cuts = sorted(set(df.agg(F.percentile_approx(value, qs, 10 * MAX_RANGES)).first()[0] or []))
+    width = max(1, math.isqrt(len(cuts)))
+    chunks = [cuts[i:i + width] for i in range(0, len(cuts), width)]
+    ends = F.from_json(F.lit(json.dumps([c[-1] for c in chunks])), "array<double>")
+    inner = F.from_json(F.lit(json.dumps(chunks)), "array<array<double>>")
+    chunk = F.size(F.filter(ends, lambda c: c < value))
+    return chunk * width + F.greatest(F.size(F.filter(F.get(inner, chunk), lambda c: c < value)), F.lit(0))
 
 
 def running_per_key(df: DataFrame, keys, order_col, tie_cols=(), totals=None, maxima=None,
-                    include_current=True, ranges=None) -> DataFrame:
+                    include_current=True, ranges="auto") -> DataFrame:
     """Running sums and maxima per key in ``order_col`` order, without one task per key.
 
     ``totals`` and ``maxima`` map an output name to the expression accumulated up to the row
     (without the row itself when ``include_current`` is off). Rows are cut into order ranges;
-    each (key, range) is scanned on its own and combined with the key's earlier ranges, which
-    are at most ``NUMBERING_BUCKETS`` small rows per key. ``ranges`` reuses an order_bucket
-    column. The input is read twice; settle long plans first.
+    each (key, range) is scanned on its own and combined with the key's earlier ranges, one
+    small row each. ``ranges`` reuses an order_bucket column. The input is read more than once;
+    settle long plans first.
     """
     maxima = maxima or {}
     totals = totals or ({} if maxima else {"row_no": F.lit(1)})
-    ranged = df.withColumn("_range", order_bucket(df, order_col) if ranges is None else ranges)
+    if isinstance(ranges, str):
+        ranges = order_bucket(df, order_col)
+    frame = (Window.unboundedPreceding, Window.currentRow if include_current else -1)
+    if ranges is None:
+        w = Window.partitionBy(*keys).orderBy(order_col, *tie_cols).rowsBetween(*frame)
+        return df.select("*", *[F.coalesce(F.sum(e).over(w), F.lit(0)).alias(n) for n, e in totals.items()],
+                         *[F.max(e).over(w).alias(n) for n, e in maxima.items()])
+    ranged = df.withColumn("_range", ranges)
     part = [*keys, "_range"]
-    local = Window.partitionBy(*part).orderBy(order_col, *tie_cols).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow if include_current else -1)
+    local = Window.partitionBy(*part).orderBy(order_col, *tie_cols).rowsBetween(*frame)
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     per_range = ranged.groupBy(*part).agg(*[F.sum(e).alias(f"_a_{n}") for n, e in totals.items()],
                                           *[F.max(e).alias(f"_a_{n}") for n, e in maxima.items()])
@@ -87,16 +102,19 @@ def running_per_key(df: DataFrame, keys, order_col, tie_cols=(), totals=None, ma
         *[F.greatest(f"_l_{n}", f"_o_{n}").alias(n) for n in maxima])
 
 
-def neighbours_per_key(df: DataFrame, keys, order_col, value_col, tie_cols=(),
-                       buckets=NUMBERING_BUCKETS) -> DataFrame:
+def neighbours_per_key(df: DataFrame, keys, order_col, value_col, tie_cols=()) -> DataFrame:
     """Adds ``prev_value`` and ``next_value`` of ``value_col`` per key in order.
 
     lag/lead over (key, order range); only the edge rows of a range look at the neighbouring
     ranges' first and last values, one small row per (key, range).
     """
-    ranged = df.withColumn("_range", order_bucket(df, order_col, buckets))
-    part = [*keys, "_range"]
     order = [order_col, *tie_cols]
+    ranges = order_bucket(df, order_col)
+    if ranges is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.select("*", F.lag(value_col).over(w).alias("prev_value"), F.lead(value_col).over(w).alias("next_value"))
+    ranged = df.withColumn("_range", ranges)
+    part = [*keys, "_range"]
     local = Window.partitionBy(*part).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_range")
     edge = F.struct(*order)

@@ -12,6 +12,19 @@ from pagetrove.sources import readers, writers
 from pagetrove.streaming import jobs
 
 
+@pytest.fixture(autouse=True)
+def many_ranges(monkeypatch):
+    """Cut even these small tables into many order ranges."""
+    monkeypatch.setattr(skew, "ROWS_PER_RANGE", 40)
+
+
+def test_ranges_follow_the_order(spark):
+    df = spark.range(3000).select((F.col("id") * 7 % 3000).alias("id")).withColumn("v", F.when(F.col("id") < 900, 5).otherwise(F.col("id")))
+    got = df.select("v", skew.order_bucket(df, "v").alias("b")).orderBy("v").collect()
+    assert [r.b for r in got] == sorted(r.b for r in got) and len({r.b for r in got}) > 40
+    assert len({r.b for r in got if r.v == 5}) == 1
+
+
 def test_running_sums_with_one_hot_key(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("k"), "id", (F.col("id") % 7).alias("v"))
     got = {r.id: (r.n, r.s, r.m) for r in skew.running_per_key(df, ["k"], "id", totals={"n": F.lit(1), "s": F.col("v")}, maxima={"m": F.col("v")}).collect()}
