@@ -223,8 +223,9 @@ def _groups(groups, flat, line):
         text = F.array_join(F.transform(g["items"], line), "\n")
         return F.when(name != "", F.concat(F.lit("**"), name, F.lit("**\n\n"), text)).otherwise(text)
     filled = F.filter(groups, lambda g: F.size(g["items"]) > 0)
-    return F.when(F.size(filled) > 0, F.array_join(F.transform(filled, block), "\n\n")).otherwise(
-        F.coalesce(F.array_join(F.transform(flat, line), "\n"), F.lit("")))
+    one = F.array(F.struct(F.lit(None).cast("string").alias("name"), flat.alias("items")))
+    every = F.when(F.size(filled) > 0, filled).when(F.size(flat) > 0, one)
+    return F.coalesce(F.array_join(F.transform(every, block), "\n\n"), F.lit(""))
 
 
 def ingredient_lines() -> Column:
@@ -235,9 +236,8 @@ def ingredient_lines() -> Column:
     icons = F.when(F.size("ingredient_icons") > 0, F.map_from_entries(F.transform(
         F.arrays_zip(F.array_distinct(every).alias("item"), R.match_icons(F.array_distinct(every), _c("ingredient_icons")).alias("icon")),
         lambda z: F.struct(z["item"], z["icon"]))))
-    icon = lambda i: F.try_element_at(icons, i)
-    return _groups(groups, flat, lambda i: F.concat(
-        F.lit("- "), F.coalesce(F.concat(F.lit("![|24]("), icon(i), F.lit(") ")), F.lit("")), annotate(i)))
+    return X.let(icons, lambda found: _groups(groups, flat, lambda i: F.concat(
+        F.lit("- "), F.coalesce(F.concat(F.lit("![|24]("), F.try_element_at(found, i), F.lit(") ")), F.lit("")), annotate(i))))
 
 
 def method_lines() -> Column:

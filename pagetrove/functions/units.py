@@ -13,31 +13,22 @@ ML_PER_TBSP = 14.786765
 ML_PER_CUP = 236.588236
 CM_PER_IN = 2.54
 MM_PER_IN = 25.4
-NUMBER = r"([0-9]+(?:\.[0-9]+)?)\s*"
-NOT_CONVERTED = r"(?!\s*[()])"
-RULES = {
-    "celsius": NUMBER + r"(?:°\s*[Cc]elsius\b|°\s*[Cc]\b|degrees?\s*[Cc](?:elsius)?\b|[Cc]elsius\b)",
-    "oven": r"(?<!\d)([0-9]{3})\s*C\b",
-    "kg": NUMBER + r"(?:kg|kilograms?|kilos?)\b",
-    "g": NUMBER + r"(?:g|grams?)\b",
-    "ml": NUMBER + r"(?:ml|millilit(?:er|re)s?)\b",
-    "l": NUMBER + r"(?:L|lit(?:er|re)s?)\b",
-    "cm": NUMBER + r"(?:cm|centimet(?:er|re)s?)\b",
-    "mm": NUMBER + r"(?:mm|millimet(?:er|re)s?)\b",
-}
-HINTS = {
-    "celsius": ["°", "elsius", "egree"], "oven": ["C"], "kg": ["kg", "kilo"], "g": ["g"],
-    "ml": ["ml", "milli"], "l": ["L", "lit"], "cm": ["cm", "centi"], "mm": ["mm", "milli"],
+NUMBER = r"[0-9]+(?:\.[0-9]+)?"
+UNITS = {
+    "celsius": r"°\s*[Cc]elsius|°\s*[Cc]|degrees?\s*[Cc](?:elsius)?|[Cc]elsius",
+    "kg": r"kg|kilograms?|kilos?",
+    "g": r"g|grams?",
+    "ml": r"ml|millilit(?:er|re)s?",
+    "l": r"L|lit(?:er|re)s?",
+    "cm": r"cm|centimet(?:er|re)s?",
+    "mm": r"mm|millimet(?:er|re)s?",
 }
+OVEN = r"(?<!\d)([0-9]{3})\s*C"
+NOT_CONVERTED = r"(?!\s*[()])"
 # ----------------------------------------------------------------------------------------------
 
-
-def _hinted(text, rule):
-    """Cheap test that the rule's unit can occur, ahead of its regex."""
-    out = F.lit(False)
-    for h in HINTS[rule]:
-        out = out | text.contains(h)
-    return out
+# No quantity fits two units, so one pass over the text finds what a pass per unit would.
+QUANTITY = rf"(?U)(?:({NUMBER})\s*({'|'.join(UNITS.values())})\b|{OVEN}\b){NOT_CONVERTED}"
 
 
 def number_text(x: Column) -> Column:
@@ -52,64 +43,51 @@ def _volume(ml):
             .otherwise(F.concat(number_text(cups), F.when(F.abs(cups - 1) < 0.05, " cup").otherwise(" cups")))
 
 
-def imperial(value: Column, rule: str) -> Column:
-    """Imperial (or Fahrenheit) text of a metric value, without the leading sign."""
-    if rule in ("celsius", "oven"):
-        return F.concat(number_text(value * 9 / 5 + 32), F.lit("°F"))
-    if rule == "kg":
-        return F.concat(number_text(value * 1000 / G_PER_LB), F.lit(" lb"))
-    if rule == "g":
-        return F.when(value >= 1000, F.concat(number_text(value / G_PER_LB), F.lit(" lb"))) \
-                .otherwise(F.concat(number_text(value / G_PER_OZ), F.lit(" oz")))
-    if rule in ("ml", "l"):
-        return _volume(value * 1000 if rule == "l" else value)
-    return F.concat(number_text(value / (CM_PER_IN if rule == "cm" else MM_PER_IN)), F.lit(" in"))
+def imperial(value: Column, unit: Column) -> Column:
+    """Imperial (or Fahrenheit) text of a metric value; ``unit`` is a key of UNITS."""
+    grams = F.when(unit == "kg", value * 1000).when(unit == "g", value)
+    pounds = (unit == "kg") | (value >= 1000)
+    inches = F.when(unit == "cm", value / CM_PER_IN).when(unit == "mm", value / MM_PER_IN)
+    return F.when(unit == "celsius", F.concat(number_text(value * 9 / 5 + 32), F.lit("°F"))) \
+            .when(unit.isin("kg", "g"), F.concat(
+                number_text(F.when(pounds, grams / G_PER_LB).otherwise(grams / G_PER_OZ)),
+                F.when(pounds, " lb").otherwise(" oz"))) \
+            .when(unit.isin("ml", "l"), let(F.when(unit == "l", value * 1000).otherwise(value), _volume)) \
+            .otherwise(F.concat(number_text(inches), F.lit(" in")))
+
+
+def _unit_name(text):
+    """Key of the unit a matched unit text belongs to; the bare oven form has none."""
+    case = F.when(text == "", "celsius")
+    for name, pattern in UNITS.items():
+        case = case.when(text.rlike(rf"(?U)^(?:{pattern})$"), name)
+    return case
 
 
-def _pattern(rule):
-    return "(?U)" + RULES[rule] + NOT_CONVERTED
+def quantities(text: Column) -> Column:
+    """Array of struct(match, unit, value, imperial) of the metric quantities in order."""
+    part = lambda i: F.regexp_extract_all(text, F.lit(QUANTITY), i)
+    zipped = F.arrays_zip(part(0).alias("m"), part(1).alias("n"), part(2).alias("u"), part(3).alias("o"))
+    found = F.transform(zipped, lambda z: F.struct(
+        z["m"].alias("match"), _unit_name(z["u"]).alias("unit"),
+        F.coalesce(F.nullif(z["n"], F.lit("")), z["o"]).cast("double").alias("value")))
+    return F.transform(found, lambda q: F.struct(
+        q["match"].alias("match"), q["unit"].alias("unit"), q["value"].alias("value"),
+        imperial(q["value"], q["unit"]).alias("imperial")))
 
 
 def measurements(docs: DataFrame, id_cols, text_col) -> DataFrame:
-    """One row per metric quantity: ``(ids, unit, value, imperial)``. One pass over the text."""
-    def by_rule(rule):
-        values = F.regexp_extract_all(F.col(text_col), F.lit(_pattern(rule)), 1)
-        values = F.when(_hinted(F.col(text_col), rule), values).otherwise(F.array().cast("array<string>"))
-        return F.transform(values, lambda v: F.struct(
-            F.lit(rule).alias("unit"), v.cast("double").alias("value"),
-            imperial(v.cast("double"), rule).alias("imperial")))
-    found = F.flatten(F.array(*[by_rule(r) for r in RULES]))
-    return docs.select(*id_cols, F.explode_outer(found).alias("m")).filter("m IS NOT NULL").select(*id_cols, "m.unit", "m.value", "m.imperial")
+    """One row per metric quantity: ``(ids, unit, value, imperial)``."""
+    # The outer form keeps Spark from adding a size filter that scans the text twice.
+    found = F.explode_outer(quantities(F.col(text_col))).alias("m")
+    return docs.select(*id_cols, found).filter("m IS NOT NULL").select(*id_cols, "m.unit", "m.value", "m.imperial")
 
 
 def annotate(text: Column) -> Column:
     """Append `` (≈...)`` to each metric quantity not followed by a parenthesis; idempotent.
 
-    Each rule cuts the text at its matches and puts the pieces back with the notes between.
+    The text is cut at its quantities and put back together with the notes between.
     """
-    for rule in RULES:
-        text = _bound_rule(text, rule)
-    return text
-
-
-def _bound_rule(text, rule):
-    return let(text, lambda t: _annotate_rule(t, rule))
-
-
-def _annotate_rule(text, rule):
-    pat = _pattern(rule)
-    notes = F.transform(
-        F.arrays_zip(F.regexp_extract_all(text, F.lit(pat), 0).alias("m"),
-                     F.regexp_extract_all(text, F.lit(pat), 1).alias("v")),
-        lambda z: F.concat(z["m"], F.lit(" (≈"), imperial(z["v"].cast("double"), rule), F.lit(")")))
-    pieces = F.zip_with(F.split(text, pat, -1), notes, lambda p, n: F.concat(p, F.coalesce(n, F.lit(""))))
-    return F.when(_hinted(text, rule) & text.rlike(pat), F.array_join(pieces, "")).otherwise(text)
-
-
-def annotate_column(df: DataFrame, column: str, out: str = None) -> DataFrame:
-    """``annotate`` rule by rule in separate steps, which keeps the plan small on whole tables."""
-    out = out or column
-    df = df.withColumn(out, F.col(column))
-    for rule in RULES:
-        df = df.withColumn(out, _annotate_rule(F.col(out), rule))
-    return df
+    notes = F.transform(quantities(text), lambda q: F.concat(q["match"], F.lit(" (≈"), q["imperial"], F.lit(")")))
+    pieces = F.zip_with(F.split(text, QUANTITY, -1), notes, lambda p, n: F.concat(p, F.coalesce(n, F.lit(""))))
+    return F.when(text.rlike(r"[0-9]"), F.array_join(pieces, "")).otherwise(text)

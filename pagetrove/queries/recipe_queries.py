@@ -190,7 +190,8 @@ SELECT l_orderkey, l_linenumber, 'Add ' || CAST(q * 25 AS STRING) || CASE kind W
  || CASE kind WHEN 0 THEN 'flour' WHEN 1 THEN 'milk' WHEN 2 THEN 'rope' ELSE 'oven' END || ' and 3 kg (6 lb) rice' AS line
 FROM (SELECT *, CAST(q * 25 AS DOUBLE) AS v FROM measure_lines) t""")
 def annotated_text(spark, sf):
-    return units.annotate_column(source(spark, sf, "measure_lines", True), "line").select("l_orderkey", "l_linenumber", "line")
+    return source(spark, sf, "measure_lines", True).select(
+        "l_orderkey", "l_linenumber", units.annotate(F.col("line")).alias("line"))
 
 
 STOP = "('" + "','".join(R.CAPTION_STOPWORDS) + "')"
