@@ -1,6 +1,6 @@
 """The operators applied to their whole tables, and the same in SQL where SQL can say it."""
 
-from pagetrove.llm import exact_dedup, mixing, simhash
+from pagetrove.llm import exact_dedup, mixing, quality, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -24,6 +24,11 @@ def op2(spark, sf):
     return simhash.near_report(_documents(spark, sf))
 
 
+@_query("op3_quality_perplexity")
+def op3(spark, sf):
+    return quality.quality_report(_documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
 @_query("op5_exact_dedup", r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 k AS (SELECT doc_id, length(text) AS n, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS body FROM t),
