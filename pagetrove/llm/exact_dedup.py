@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 
 from pagetrove.llm.common import AT, FILE, ROW, SPACES, keep_table, located, new_path, text_or_empty
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Many small stores: no disk space set aside ahead, and only changes are uploaded.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 STATE = ("digest BINARY, best STRUCT<n_chars: BIGINT, has_id: BOOLEAN, doc_id: BIGINT, "
          f"{FILE}: BIGINT, {ROW}: BIGINT>, n BIGINT")
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def normalised(column="text"):
@@ -64,13 +69,15 @@ def run_stream(arriving: DataFrame, state_dir: str, updates_dir: str, trigger=No
     def put(batch, number):
         batch.write.mode("overwrite").parquet(f"{updates_dir}/batch={number}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         return (digest_state(arriving).writeStream.outputMode("update").foreachBatch(put)
                 .option("checkpointLocation", state_dir).trigger(**(trigger or {"availableNow": True})).start())
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def latest_state(spark, updates_dir: str) -> DataFrame:
