@@ -1,6 +1,6 @@
 """The operators applied to their whole tables, and the same in SQL where SQL can say it."""
 
-from pagetrove.llm import exact_dedup, mixing, quality, simhash
+from pagetrove.llm import exact_dedup, mixing, quality, segmentation, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -39,6 +39,11 @@ def op5(spark, sf):
     return exact_dedup.dedup_report(_documents(spark, sf))
 
 
+@_query("op6_piece_segmentation")
+def op6(spark, sf):
+    return segmentation.encode_rows(_documents(spark, sf), digests=True, keep=["doc_id"])
+
+
 @_query("op8_mixed_sources")
 def op8(spark, sf):
     return mixing.mix_report(_documents(spark, sf))
