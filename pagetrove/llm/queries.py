@@ -1,6 +1,6 @@
 """The operators applied to their whole tables, and the same in SQL where SQL can say it."""
 
-from pagetrove.llm import exact_dedup, mixing, quality, segmentation, simhash
+from pagetrove.llm import exact_dedup, mixing, quality, repeats, segmentation, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -44,6 +44,11 @@ def op6(spark, sf):
     return segmentation.encode_rows(_documents(spark, sf), digests=True, keep=["doc_id"])
 
 
+@_query("op7_repeated_passages")
+def op7(spark, sf):
+    return repeats.remove_repeats(_documents(spark, sf))
+
+
 @_query("op8_mixed_sources")
 def op8(spark, sf):
     return mixing.mix_report(_documents(spark, sf))

@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 CACHE = 400_000
-# From fine to coarse; the finest that no piece crosses is used.
-UNITS = [r" *(?:[^\W\d_]+|\d+|(?:[^\w ]|_)+)| +", r" *(?:[^\W_]+|(?:[^\w ]|_)+)| +", r" *[^ ]+| +"]
 NO_PIECE = -10.0  # added to the lowest score, for a character without a piece
 
 
@@ -35,6 +33,17 @@ def load_pieces(path=VOCABULARY):
     return [sp.id_to_piece(i).replace("▁", " ") for i in ids], [sp.get_score(i) for i in ids], bytes_, special
 
 
+def unit_pattern(pieces):
+    """Pattern of units that no piece crosses: a run of spaces, then letters, digits or other characters.
+
+    Characters that count as letters but share a piece with others (such as raised digits) are others.
+    """
+    odd = sorted({c for p in pieces if re.search(r"[^\w ]|_", p) for c in p if re.match(r"[^\W_]", c)})
+    more = re.escape("".join(odd))
+    fine = rf" *(?:[^\W\d_{more}]+|[^\W\D{more}]+|(?:[^\w ]|[_{more}])+)| +"
+    return next(u for u in (fine, r" *[^ ]+| +", r"(?s).+") if all(re.fullmatch(u, p) for p in pieces))
+
+
 class Segmenter:
     """Lattice search over one vocabulary, given as load_pieces returns it."""
 
@@ -52,8 +61,7 @@ class Segmenter:
             for c in pieces[i]:
                 node = node.setdefault(c, {})
             node[""] = (scores[i], (i,))
-        fits = [u for u in UNITS if all(re.fullmatch(u, pieces[i]) for i in normal)]
-        self.units = re.compile(fits[0] if fits else r"(?s).+").findall
+        self.units = re.compile(unit_pattern([pieces[i] for i in normal])).findall
         self.cache, self.lists = {}, {}
 
     def _forward(self, unit):
