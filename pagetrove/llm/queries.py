@@ -1,6 +1,6 @@
 """The operators applied to their whole tables, and the same in SQL where SQL can say it."""
 
-from pagetrove.llm import exact_dedup, mixing, quality, repeats, segmentation, simhash
+from pagetrove.llm import exact_dedup, mixing, pitman_yor, quality, repeats, segmentation, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -52,3 +52,8 @@ def op7(spark, sf):
 @_query("op8_mixed_sources")
 def op8(spark, sf):
     return mixing.mix_report(_documents(spark, sf))
+
+
+@_query("op9_pitman_yor_scores")
+def op9(spark, sf):
+    return pitman_yor.score(_documents(spark, sf))
