@@ -1,6 +1,6 @@
 """The operators applied to their whole tables, and the same in SQL where SQL can say it."""
 
-from pagetrove.llm import exact_dedup, mixing, pitman_yor, quality, repeats, segmentation, simhash
+from pagetrove.llm import exact_dedup, fingerprints, mixing, pitman_yor, quality, repeats, segmentation, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -29,6 +29,11 @@ def op3(spark, sf):
     return quality.quality_report(_documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
 
 
+@_query("op4_version_sketches")
+def op4(spark, sf):
+    return fingerprints.fingerprint_report(_documents(spark, sf))
+
+
 @_query("op5_exact_dedup", r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 k AS (SELECT doc_id, length(text) AS n, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS body FROM t),
