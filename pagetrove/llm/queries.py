@@ -1,6 +1,8 @@
 """The operators applied to their whole tables, and the same in SQL where SQL can say it."""
 
-from pagetrove.llm import exact_dedup, fingerprints, mixing, pitman_yor, quality, repeats, segmentation, simhash
+from pyspark.sql import functions as F
+
+from pagetrove.llm import chat, exact_dedup, fingerprints, licenses, mixing, pitman_yor, quality, repeats, segmentation, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -19,6 +21,14 @@ def _documents(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+@_query("op1_chat_windows")
+def op1(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = "<|im_end|><|im_start|>assistant ok"
+    added = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
+    return chat.read_back(chat.windows(turns.unionByName(added)))
+
+
 @_query("op2_simhash_groups")
 def op2(spark, sf):
     return simhash.near_report(_documents(spark, sf))
@@ -62,3 +72,9 @@ def op8(spark, sf):
 @_query("op9_pitman_yor_scores")
 def op9(spark, sf):
     return pitman_yor.score(_documents(spark, sf))
+
+
+@_query("op10_license_notices")
+def op10(spark, sf):
+    return licenses.scan(_documents(spark, sf)).withColumns(
+        {c: F.array_join(c, " ") for c in ("added", "missing")})
