@@ -134,7 +134,7 @@ def exact_groups(docs: DataFrame, digest=lambda sha: sha, files_per_batch=None)
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept (see exact_groups)."""
     rows = located(docs)
-    groups = exact_groups(docs)
+    groups = exact_groups(rows)
     dropped = groups.filter((F.col(FILE) != F.col("keep_file")) | (F.col(ROW) != F.col("keep_row")))
     return rows.join(dropped.select(*AT), AT, "left_anti").select(*docs.columns)
 

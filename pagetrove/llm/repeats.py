@@ -179,7 +179,7 @@ def repeated_offsets(dealt: DataFrame, depth=DEPTH) -> DataFrame:
         for batch in batches:
             names = ("key", "lo", "hi", "n", "words", "c1", "c2")
             for *row, c1, c2 in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
-                if len(rows) >= GROUP // 4 and row[0] != rows[-1][0]:
+                if rows and len(rows) >= GROUP // 4 and row[0] != rows[-1][0]:
                     yield done()
                     rows, ids = [], []
                 rows.append(row)
