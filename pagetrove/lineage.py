@@ -2,17 +2,27 @@
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see, as ``spark.checkpoint.dir`` names it.
 
-    A temporary folder stands in only where neither the setting nor a folder is set (tests).
+    Where it is unset a local master gets a temporary folder for the session; a cluster, whose
+    machines do not share their own folders, gets an error.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    return spark.conf.get("spark.checkpoint.dir")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None)
-                            or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

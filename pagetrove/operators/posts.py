@@ -144,7 +144,7 @@ META = ("subreddit STRING, score BIGINT, created_utc DOUBLE, upload_date STRING,
         "view_count BIGINT, like_count BIGINT, channel_id STRING, video_id STRING, canonical_url STRING, "
         "is_short BOOLEAN, author_handle STRING, hashtags ARRAY<STRING>, is_photo_post BOOLEAN, "
         "related_article_url STRING, embedded_article_url STRING, domain STRING")
-META_FIELDS = [tuple(f.strip().split(" ", 1)) for f in META.replace("ARRAY<STRING>", "ARRAY<STRING>").split(", ")]
+META_FIELDS = [tuple(f.strip().split(" ", 1)) for f in META.split(", ")]
 CHAPTERS = "ARRAY<STRUCT<time_str: STRING, seconds: BIGINT, title: STRING, video_id: STRING>>"
 
 
@@ -251,22 +251,45 @@ def merged_body(caption: Column, comment: Column) -> Column:
     return F.when((com != "") & (X.strip(com) != X.strip(cap)), merged).otherwise(cap)
 
 
+def instagram_items(raw: DataFrame) -> DataFrame:
+    """Posts and reels. Uploaders are often numeric ids: the channel is the second source of the handle;
+    the owner's first comment (column ``owner_comment``, if given) goes under the caption."""
+    i = F.col("i")
+    df = raw.withColumn("i", F.from_json("raw", INFO))
+    comment = F.col("owner_comment") if "owner_comment" in raw.columns else F.lit(None).cast("string")
+    body = merged_body(X.restore_breaks(i["description"]), comment)
+    handle = repaired_handle(F.coalesce(i["uploader"], F.lit("")), i["channel"])
+    return _item(df, "instagram", first_present(i["title"], _short_title(body, F.col("url"))), F.nullif(handle, F.lit("")), body,
+                 F.array("url"), author_handle=F.nullif(handle, F.lit("")), like_count=i["like_count"], view_count=i["view_count"],
+                 upload_date=i["upload_date"], duration=i["duration"])
+
+
+def generic_items(raw: DataFrame) -> DataFrame:
+    """Any other page: what its metadata says; metadata that cannot be read leaves the URL as title."""
+    i = F.col("i")
+    df = raw.withColumn("i", F.from_json("raw", INFO))
+    body = F.coalesce(i["description"], F.lit(""))
+    return _item(df, "generic", first_present(i["title"], _short_title(body, F.col("url"))), F.coalesce(i["uploader"], i["channel"]),
+                 body, F.array_compact(F.array(i["thumbnail"])), domain=U.domain(F.col("url")), upload_date=i["upload_date"])
+
+
 BRANCHES = {"youtube": youtube_items, "tiktok": tiktok_items, "tiktok_photo": tiktok_photo_items,
-            "facebook": facebook_items, "reddit": reddit_items}
+            "facebook": facebook_items, "reddit": reddit_items, "instagram": instagram_items}
 
 
-def items_from(raw: DataFrame, branches=None) -> DataFrame:
+def items_from(raw: DataFrame, branches=None, other=generic_items) -> DataFrame:
     """Items of raw post metadata ``(url, raw)``: each platform's branch, unioned.
 
-    ``branches`` maps a platform to a function of its rows; pass more to add a platform.
+    ``branches`` maps a platform to a function of its rows; pass more to add a platform. Rows of all
+    other platforms, a null URL too, go to ``other``.
     """
     kind = F.when((U.platform(F.col("url")) == "tiktok") & U.is_photo_post(F.col("url")), "tiktok_photo") \
             .otherwise(U.platform(F.col("url")))
+    branches = branches or BRANCHES
     tagged = raw.withColumn("_kind", kind)
-    out = None
-    for name, branch in (branches or BRANCHES).items():
-        part = branch(tagged.filter(F.col("_kind") == name))
-        out = part if out is None else out.unionByName(part)
+    out = other(tagged.filter(~F.coalesce(F.col("_kind").isin(*branches), F.lit(False))))
+    for name, branch in branches.items():
+        out = out.unionByName(branch(tagged.filter(F.col("_kind") == name)))
     return out
 
 
@@ -306,31 +329,42 @@ def enrich_embedded_video(items: DataFrame, videos: DataFrame) -> DataFrame:
 COMMENTS = ArrayType(_struct(id=S, parent_id=S, author=S, score=IntegerType(), text=S, permalink=S))
 
 
+def _children(listing):
+    """Objects listed in a listing; none where its shape is another."""
+    for key in ("data", "children"):
+        listing = listing.get(key) if isinstance(listing, dict) else None
+    return [c for c in listing if isinstance(c, dict)] if isinstance(listing, list) else []
+
+
+def _comment_row(fields, parent):
+    """A comment's row; values of the wrong kind count as missing."""
+    def text(key, missing):
+        return fields[key] if isinstance(fields.get(key), str) else missing
+    score, link = fields.get("score", 0), text("permalink", "")
+    fits = isinstance(score, int) and not isinstance(score, bool) and abs(score) < 2**31
+    return {"id": text("id", ""), "parent_id": parent, "author": text("author", "[deleted]"), "score": score if fits else None,
+            "text": text("body", ""), "permalink": f"https://reddit.com{link}?context=3" if link else ""}
+
+
 @pandas_udf(COMMENTS)
 def listing_comments(listings: pd.Series) -> pd.Series:
-    """Comment tree of a listing as rows in reading order (depth first)."""
-    def flat(text):
+    """Comment tree of a listing as rows in reading order; a reply follows what it answers."""
+    def rows(text):
         try:
-            data = json.loads(text or "null")
-        except ValueError:
+            open_levels = [(None, iter(_children(json.loads(text or "null"))))]
+        except (ValueError, RecursionError):
             return []
-        out = []
-        pending = [(c, None) for c in reversed(((data or {}).get("data") or {}).get("children") or [])]
-        while pending:
-            child, parent = pending.pop()
-            if child.get("kind") != "t1":
-                continue
-            d = child["data"]
-            link = d.get("permalink")
-            out.append({"id": d.get("id", ""), "parent_id": parent, "author": d.get("author", "[deleted]"),
-                        "score": d.get("score", 0), "text": d.get("body", ""),
-                        "permalink": f"https://reddit.com{link}?context=3" if link else ""})
-            replies = d.get("replies")
-            if isinstance(replies, dict):
-                kids = (replies.get("data") or {}).get("children") or []
-                pending += [(k, out[-1]["id"]) for k in reversed(kids)]
-        return out
-    return listings.map(flat)
+        found = []
+        while open_levels:
+            parent, level = open_levels[-1]
+            child = next(level, None)
+            if child is None:
+                open_levels.pop()
+            elif child.get("kind") == "t1" and isinstance(child.get("data"), dict):
+                found.append(_comment_row(child["data"], parent))
+                open_levels.append((found[-1]["id"], iter(_children(child["data"].get("replies")))))
+        return found
+    return listings.map(rows)
 
 
 def reddit_comments(raw: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ def header_tags(headers: pd.Series) -> pd.Series:
     def read(text):
         try:
             head = yaml.safe_load(text)
-        except yaml.YAMLError:
-            return []
+        except (yaml.YAMLError, ValueError, RecursionError):
+            return []  # impossible dates and bottomless nesting too: one note never stops the scan
         found = []
         for value in (head.get("tags"), head.get("tag")) if isinstance(head, dict) else ():
             if isinstance(value, str):

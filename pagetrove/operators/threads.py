@@ -7,31 +7,29 @@ from pagetrove.functions import text as X
 from pagetrove.lineage import settle
 from pagetrove.skew import top_n_per_key
 
-MAX_ROUNDS = 40
-
-
 def ancestor_ids(comments: DataFrame) -> DataFrame:
     """``(post_id, id, ancestors)`` with ancestor ids from the root down; roots have none.
 
     Pointer doubling on narrow id rows: each round joins the rows that still have something above
     them to the chains known so far, so a thread of depth d takes log2(d) rounds. A reply whose
-    parent is missing counts as a root. A chain that never ends is a cycle and fails the job.
+    parent is missing counts as a root, and so does a comment on or under a cycle of parents: what is
+    still climbing after as many steps as the largest post has comments never ends.
     """
     ids = comments.select("post_id", "id", "parent_id")
+    most = ids.groupBy("post_id").count().agg(F.max("count")).first()[0] or 0
     known = ids.select("post_id", F.col("id").alias("up"), F.lit(True).alias("known"))
     linked = ids.withColumnRenamed("parent_id", "up").join(known, ["post_id", "up"], "left")
     up = F.when(F.col("known"), F.col("up"))
     none = F.array().cast("array<string>")
     chains = settle(linked.select("post_id", "id", up.alias("up"), F.when(up.isNotNull(), F.array(up)).otherwise(none).alias("path")))
-    for _ in range(MAX_ROUNDS):
-        open_rows = chains.filter("up IS NOT NULL")
-        if open_rows.isEmpty():
-            return chains.select("post_id", "id", F.reverse("path").alias("ancestors"))
+    steps = 1
+    while steps < most and not (open_rows := chains.filter("up IS NOT NULL")).isEmpty():
         above = chains.select("post_id", F.col("id").alias("up"), F.col("up").alias("next_up"), F.col("path").alias("more"))
         stepped = open_rows.join(above, ["post_id", "up"]).select(
             "post_id", "id", F.col("next_up").alias("up"), F.concat("path", "more").alias("path"))
         chains = settle(chains.filter("up IS NULL").unionByName(stepped))
-    raise ValueError("comment parents form a cycle")
+        steps *= 2
+    return chains.select("post_id", "id", F.when(F.col("up").isNull(), F.reverse("path")).otherwise(none).alias("ancestors"))
 
 
 def top_comments(comments: DataFrame, posts: DataFrame, n=5, op_nested=5, include_op=True) -> DataFrame:
@@ -55,13 +53,16 @@ def top_comments(comments: DataFrame, posts: DataFrame, n=5, op_nested=5, includ
         shown = shown.unionByName(top.filter("is_op").select(*cols)).distinct()
     nested = top_n_per_key(narrow.filter("parent_id IS NOT NULL AND is_op"), ["post_id"], ["pos"], op_nested).select(*cols)
     chosen = settle(shown.withColumn("section", F.lit(0)).unionByName(nested.withColumn("section", F.lit(1))))
-    up = chosen.filter("section = 1").select("post_id", "id").join(ancestor_ids(narrow), ["post_id", "id"]).select(
+    # Only posts that show a reply are climbed.
+    replies = chosen.filter("section = 1").select("post_id", "id")
+    climbed = ancestor_ids(narrow.join(replies.select("post_id").distinct(), "post_id", "left_semi"))
+    up = replies.join(climbed, ["post_id", "id"]).select(
         "post_id", "id", F.posexplode("ancestors").alias("depth", "ref"))
     refs = chosen.select("post_id", "id", F.lit(-1).alias("depth"), F.col("id").alias("ref")).unionByName(up)
-    detail = comments.select("post_id", F.col("id").alias("ref"), "author", "text", "permalink").join(
-        narrow.select("post_id", F.col("id").alias("ref"), "score", "is_op"), ["post_id", "ref"])
     entry = F.struct(F.col("ref").alias("id"), "author", "score", "text", "permalink", "is_op")
-    full = refs.join(detail, ["post_id", "ref"]).groupBy("post_id", "id").agg(
+    scored = refs.join(narrow.select("post_id", F.col("id").alias("ref"), "score", "is_op"), ["post_id", "ref"])
+    texts = comments.select("post_id", F.col("id").alias("ref"), "author", "text", "permalink")
+    full = scored.join(texts, ["post_id", "ref"]).groupBy("post_id", "id").agg(
         F.max(F.when(F.col("depth") < 0, F.struct("author", "text", "permalink"))).alias("own"),
         F.transform(F.sort_array(F.collect_list(F.when(F.col("depth") >= 0, F.struct("depth", entry.alias("c"))))),
                     lambda s: s["c"]).alias("above"))

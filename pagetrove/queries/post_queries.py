@@ -213,12 +213,13 @@ def transcript_source(spark, sf):
 
 
 @query("x1_items_by_platform", """
-SELECT platform, count(*) AS n, sum(len_body) AS chars FROM (SELECT CASE doc_id % 5 WHEN 0 THEN 'youtube' WHEN 1 THEN 'tiktok' WHEN 2 THEN 'tiktok' WHEN 3 THEN 'facebook' ELSE 'reddit' END AS platform,
+SELECT platform, count(*) AS n, sum(len_body) AS chars FROM (SELECT CASE doc_id % 7 WHEN 0 THEN 'youtube' WHEN 1 THEN 'tiktok' WHEN 2 THEN 'tiktok' WHEN 3 THEN 'facebook' WHEN 4 THEN 'reddit' WHEN 5 THEN 'instagram' ELSE 'generic' END AS platform,
   length(source) AS len_body FROM documents) t GROUP BY platform""")
 def items_by_platform(spark, sf):
-    k = F.col("doc_id") % 5
+    k = F.col("doc_id") % 7
     url = F.concat(F.when(k == 0, "https://www.youtube.com/watch?v=").when(k == 1, "https://www.tiktok.com/@u/video/")
-                   .when(k == 2, "https://www.tiktok.com/@u/photo/").when(k == 3, "https://fb.watch/").otherwise("https://www.reddit.com/r/x/"), "doc_id")
+                   .when(k == 2, "https://www.tiktok.com/@u/photo/").when(k == 3, "https://fb.watch/").when(k == 4, "https://www.reddit.com/r/x/")
+                   .when(k == 5, "https://www.instagram.com/p/").otherwise("https://site.example/"), "doc_id")
     info = F.to_json(F.struct(F.col("source").alias("description"), F.lit("T").alias("title")))
     raw = F.when(k == 2, F.concat(F.lit('[[2,{"desc":"'), "source", F.lit('"}]]'))) \
            .when(k == 4, F.concat(F.lit('[{"data":{"children":[{"data":{"selftext":"'), "source", F.lit('"}}]}}]'))).otherwise(info)

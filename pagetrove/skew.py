@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 16_384
 
 
 def _others(df, keys):
@@ -39,22 +38,21 @@ def top_n_per_key(df: DataFrame, keys, order, n, rank_col="rank") -> DataFrame:
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
 
 
-def order_bucket(df: DataFrame, order_col):
-    """Column that cuts ``order_col`` (number or timestamp) into ranges of about ROWS_PER_RANGE.
+def order_bucket(df: DataFrame, order_col, rows_per_range=None):
+    """Column that cuts ``order_col`` (number or timestamp) into ranges of about ``rows_per_range``
+    (default ROWS_PER_RANGE), two at least.
 
     The cut points are quantiles computed once and kept as a literal, so every later evaluation
     of the plan, retries included, assigns a row to the same range. A row finds its range in two
-    steps over about sqrt(ranges) cut points each. Null for a table that fits one range.
+    steps over about sqrt(ranges) cut points each.
     """
     value = F.col(order_col)
     if isinstance(df.schema[order_col].dataType, TimestampNTZType):
         value = value.cast("timestamp")
     value = value.cast("double")
-    ranges = min(MAX_RANGES, -(-df.count() // ROWS_PER_RANGE))
-    if ranges < 2:
-        return None
+    ranges = max(2, -(-df.count() // (rows_per_range or ROWS_PER_RANGE)))
     qs = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(df.agg(F.percentile_approx(value, qs, 10 * MAX_RANGES)).first()[0] or []))
+    cuts = sorted(set(df.agg(F.percentile_approx(value, qs, min(2**31 - 1, 10 * max(ranges, 100)))).first()[0] or []))
     width = max(1, math.isqrt(len(cuts)))
     chunks = [cuts[i:i + width] for i in range(0, len(cuts), width)]
     ends = F.from_json(F.lit(json.dumps([c[-1] for c in chunks])), "array<double>")
@@ -78,10 +76,6 @@ def running_per_key(df: DataFrame, keys, order_col, tie_cols=(), totals=None, ma
     if isinstance(ranges, str):
         ranges = order_bucket(df, order_col)
     frame = (Window.unboundedPreceding, Window.currentRow if include_current else -1)
-    if ranges is None:
-        w = Window.partitionBy(*keys).orderBy(order_col, *tie_cols).rowsBetween(*frame)
-        return df.select("*", *[F.coalesce(F.sum(e).over(w), F.lit(0)).alias(n) for n, e in totals.items()],
-                         *[F.max(e).over(w).alias(n) for n, e in maxima.items()])
     ranged = df.withColumn("_range", ranges)
     part = [*keys, "_range"]
     local = Window.partitionBy(*part).orderBy(order_col, *tie_cols).rowsBetween(*frame)
@@ -110,9 +104,6 @@ def neighbours_per_key(df: DataFrame, keys, order_col, value_col, tie_cols=()) -
     """
     order = [order_col, *tie_cols]
     ranges = order_bucket(df, order_col)
-    if ranges is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", F.lag(value_col).over(w).alias("prev_value"), F.lead(value_col).over(w).alias("next_value"))
     ranged = df.withColumn("_range", ranges)
     part = [*keys, "_range"]
     local = Window.partitionBy(*part).orderBy(*order)

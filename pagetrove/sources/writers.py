@@ -10,12 +10,13 @@ def append_events(events: DataFrame, path: str):
     events.write.mode("append").parquet(path)
 
 
-def write_notes(notes: DataFrame, path: str):
+def write_notes(notes: DataFrame, path: str, writers_per_folder=16):
     """Append named notes ``(folder, file_name, content, ...)`` partitioned by folder.
 
-    Salting by file name spreads one hot folder over several writers and files.
+    Salting by file name spreads one hot folder over ``writers_per_folder`` writers and files; give
+    more where folders are large.
     """
-    salt = F.pmod(F.xxhash64("file_name"), F.lit(16))
+    salt = F.pmod(F.xxhash64("file_name"), F.lit(writers_per_folder))
     notes.repartition("folder", salt).write.mode("append").partitionBy("folder").parquet(path)
 
 
@@ -30,7 +31,9 @@ def append_failures(failed: DataFrame, run_date, path: str):
 
 
 def export_files(notes: DataFrame, root: str):
-    """Write each note to ``root/folder/file_name.md`` on a mounted path, never over a file.
+    """Write each note to ``root/folder/file_name.md``, never over a file.
+
+    ``root`` is a path that every executor has mounted.
 
     The text lands in a temporary file first and is linked into place, so a retried task or a
     lost executor leaves either the whole note or none.
@@ -43,10 +46,12 @@ def export_files(notes: DataFrame, root: str):
             part = os.path.join(folder, f".{r.file_name}.{os.getpid()}.part")
             with open(part, "w", encoding="utf-8") as f:
                 f.write(r.content)
-            if os.path.exists(target):
+            try:
+                os.link(part, target)  # fails where the note is there already
+            except FileExistsError:
+                pass
+            finally:
                 os.unlink(part)
-            else:
-                os.replace(part, target)
     notes.select("folder", "file_name", "content").foreachPartition(write)
 
 

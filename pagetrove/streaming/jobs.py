@@ -5,7 +5,6 @@ is later; the batch twins have no such limit.
 """
 
 import os
-import tempfile
 import uuid
 
 import pandas as pd
@@ -14,27 +13,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from pagetrove.functions import text as X
+from pagetrove.lineage import shared_folder
 from pagetrove.operators import frontier
 
 WATERMARK = "10 minutes"
 
 
 def job_folder(spark: SparkSession, name: str) -> str:
-    """Fresh folder for a job's sink or progress, next to the cluster's checkpoints."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    """Fresh folder for a job's sink or progress in the shared folder."""
+    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def run_available(stream: DataFrame, name: str, mode="append") -> DataFrame:
-    """Run a stream over what is there now into Parquet, one ``batch_id`` per micro-batch."""
+def run_available(stream: DataFrame, name: str, mode="append", folder=None, trigger=None) -> DataFrame:
+    """Run a stream into Parquet, one ``batch_id`` per micro-batch, by default over what is there now.
+
+    Sink and progress lie under ``folder``. A job started again with the same folder goes on where it
+    stopped, with its state; without one it starts afresh.
+    """
     spark = stream.sparkSession
-    out = job_folder(spark, name)
+    folder = folder or job_folder(spark, name)
+    out = f"{folder}/rows"
 
     def save(batch, batch_id):
         # A batch replayed after a failure overwrites its own folder only.
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
     query = stream.writeStream.outputMode(mode).foreachBatch(save).option(
-        "checkpointLocation", job_folder(spark, name + "-progress")).trigger(availableNow=True).start()
+        "checkpointLocation", f"{folder}/progress").trigger(**(trigger or {"availableNow": True})).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema.add("batch_id", "long")).parquet(out)
 
@@ -44,11 +48,12 @@ def inbox_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.text(path)
 
 
-def watch_inbox(lines: DataFrame, read_ledger, emit, name="inbox"):
+def watch_inbox(lines: DataFrame, read_ledger, emit, name="inbox", progress=None, trigger=None):
     """Start the frontier on a stream of lines ``(value)``.
 
     Each micro-batch is matched with the ledger as it is then: ``emit(new, duplicates)`` gets the
-    new URLs, to be recorded as pending, and the already saved ones.
+    new URLs, to be recorded as pending, and the already saved ones. Name a ``progress`` folder to go
+    on after a restart.
     """
     def step(batch, batch_id):
         urls = frontier.inbox_urls(batch.withColumn("line_no", F.monotonically_increasing_id())).persist()
@@ -57,7 +62,8 @@ def watch_inbox(lines: DataFrame, read_ledger, emit, name="inbox"):
         emit(frontier.new_urls(urls, ledger, order=order), frontier.duplicate_report(urls, ledger, order))
         urls.unpersist()
     return lines.writeStream.foreachBatch(step).option(
-        "checkpointLocation", job_folder(lines.sparkSession, name)).trigger(availableNow=True).start()
+        "checkpointLocation", progress or job_folder(lines.sparkSession, name)).trigger(
+        **(trigger or {"availableNow": True})).start()
 
 
 def debounce_stream(events: DataFrame, keys, gap="3 seconds", ts="ts", watermark=WATERMARK) -> DataFrame:
@@ -71,29 +77,16 @@ def _ordered(chunks):
     return pd.concat(list(chunks)).sort_values("seq", kind="stable")
 
 
-LEDGER_FIELDS = ["status", "path", "reason", "seq"]
-
-
-def _ledger_step(key, chunks, state):
-    """Latest status of one URL; a forget removes it and reports a null status."""
-    last = _ordered(chunks).iloc[-1]
-    held = state.get if state.exists else None
-    if held is not None and held[3] >= last.seq:
-        return
-    if last.status == "forget":
-        state.remove()
-        yield pd.DataFrame({"url": [key[0]], "status": [None], "path": [None], "reason": [None], "seq": [int(last.seq)]})
-        return
-    row = (last.status, last.path, last.reason, int(last.seq))
-    state.update(row)
-    yield pd.DataFrame([(key[0], *row)], columns=["url", *LEDGER_FIELDS])
-
-
 def ledger_stream(events: DataFrame) -> DataFrame:
-    """Ledger changes from events ``(url, status, path, reason, seq)``; state per URL."""
-    shape = "status STRING, path STRING, reason STRING, seq LONG"
-    return events.select("url", *LEDGER_FIELDS).groupBy("url").applyInPandasWithState(
-        _ledger_step, f"url STRING, {shape}", shape, "update", GroupStateTimeout.NoTimeout)
+    """Ledger changes from events ``(url, status, path, reason, seq)``: the last event of each URL.
+
+    A forgotten URL keeps its sequence number and reports a null status, so that a late older event
+    does not bring it back. Events of a URL are combined before the shuffle.
+    """
+    last = F.max_by(F.struct("status", "path", "reason", "seq"), "seq").alias("last")
+    there = F.col("last.status") != "forget"
+    return events.groupBy("url").agg(last).select(
+        "url", *[F.when(there, F.col(f"last.{c}")).alias(c) for c in ("status", "path", "reason")], "last.seq")
 
 
 def _queue_step(key, chunks, state):

@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pagetrove import skew
-from pagetrove.operators import frontier, ledger, notes, offsite, queue, threads
+from pagetrove import jsonld, skew
+from pagetrove.operators import frontier, ledger, notes, offsite, posts, queue, tags, threads
 from pagetrove.sources import readers, writers
 from pagetrove.streaming import jobs
 
@@ -100,6 +100,17 @@ def test_stream_progress_survives_a_second_batch(spark, tmp_path):
     assert {r.url: r.status for r in last.collect()} == {"u": None, "v": "failed"}
 
 
+def test_a_stream_job_goes_on_after_a_restart(spark, tmp_path):
+    src, folder = str(tmp_path / "in"), str(tmp_path / "job")
+    shape = "url string, status string, path string, reason string, seq long"
+    for rows in ([("u", "done", None, None, 5), ("v", "done", None, None, 1)], [("u", "forget", None, None, 7)], [("u", "failed", None, None, 6)]):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(src)
+        out = jobs.run_available(jobs.ledger_stream(spark.readStream.schema(shape).parquet(src)), "ledger", "update", folder)
+    last = skew.last_per_key(out.select("url", "status", "batch_id", "seq"), ["url"], ["batch_id", "seq"])
+    assert {r.url: (r.status, r.seq) for r in last.collect()} == {"u": (None, 7), "v": ("done", 1)}
+    assert out.select("batch_id").distinct().count() == 3
+
+
 def test_frontier_rules(spark):
     lines = spark.createDataFrame([(0, "a https://x.example/1?utm_a=1, https://x.example/1"), (1, "https://x.example/2"), (2, "https://x.example/3"),
                                    (3, "https://x.example/4"), (4, "https://x.example/5")], "line_no int, value string")
@@ -118,8 +129,31 @@ def test_frontier_rules(spark):
 
 def test_ancestors_of_a_deep_thread_and_a_cycle(spark):
     rows = [("p", str(i), str(i - 1) if i else None) for i in range(50)] + [("p", "lost", "gone")]
+    rows += [("p", "a", "c"), ("p", "b", "a"), ("p", "c", "b"), ("p", "under", "a"), ("p", "self", "self"), (None, "x", None)]
     got = {r.id: r.ancestors for r in threads.ancestor_ids(spark.createDataFrame(rows, "post_id string, id string, parent_id string")).collect()}
     assert got["49"] == [str(i) for i in range(49)] and got["0"] == [] and got["lost"] == []
+    assert all(got[i] == [] for i in ("a", "b", "c", "under", "self", "x"))
+
+
+def test_malformed_rows_do_not_stop_a_scan(spark):
+    deep = "[" * 30_000
+    listing = '[null, {"data": {"children": [7, {"kind": "t1"}, {"kind": "t1", "data": {"id": "a", "score": "many", "replies": {"data": {"children": [{"kind": "t1", "data": {"id": "b"}}]}}}}, {"kind": "more", "data": {}}]}}]'
+    raw = spark.createDataFrame([("ok", listing), ("list", "[1, [2]]"), ("text", '["x", "y"]'), ("deep", deep), ("bad", "{"), ("null", None)], "url string, raw string")
+    got = [(r.post_id, r.pos, r.id, r.parent_id, r.score) for r in posts.reddit_comments(raw).orderBy("pos").collect()]
+    assert got == [("ok", 0, "a", None, None), ("ok", 1, "b", "a", 0)]
+    assert jsonld.recipe([deep, '{"@type": "Recipe", "name": "n", "recipeIngredient": ["x"]}'])["name"] == "n"
+    notes = spark.createDataFrame([("bad", "---\ntags: [a]\ndate: 2024-13-45\n---\n #b"), ("deep", "---\ntags: " + "[" * 5000 + "\n---\n #c"), ("good", "---\ntags: [a]\n---\n")],
+                                  "note_id string, text string")
+    assert {(r.note_id, r.tag) for r in tags.tag_rows(notes).collect()} == {("bad", "b"), ("deep", "c"), ("good", "a")}
+
+
+def test_every_post_becomes_an_item(spark):
+    urls = ["https://youtu.be/a", "https://www.tiktok.com/@u/video/1", "https://www.instagram.com/reel/x/", "https://site.example/p", "no url", None, "https://fb.watch/1"]
+    raw = spark.createDataFrame([(u, r) for u in urls for r in ('{"title": "T", "description": "D", "uploader": "12", "channel": "name"}', "{", None)], "url string, raw string")
+    items = posts.items_from(raw).collect()
+    assert len(items) == raw.count()
+    assert {i.platform for i in items} == {"youtube", "tiktok", "instagram", "generic", "facebook"}
+    assert {i.author for i in items if i.platform == "instagram" and i.title == "T"} == {"name"}
 
 
 def test_offsite_graph(spark):
