@@ -96,10 +96,10 @@ def embed_block(path: Column) -> Column:
     return F.concat(F.lit("```EmbedRelativeTo\nmedia://"), path, F.lit("\n```"))
 
 
-def embed_paths(md: Column, exclude: Column = None, limit=12) -> Column:
-    """Distinct embedded photo paths, the first ``limit`` (a note shows that many)."""
+def embed_paths(md: Column, exclude: Column = None) -> Column:
+    """Distinct embedded photo paths in order."""
     paths = F.filter(F.transform(F.regexp_extract_all(md, F.lit(EMBED), 1), strip), lambda p: p != "")
-    return F.slice(F.array_except(paths, exclude) if exclude is not None else F.array_distinct(paths), 1, limit)
+    return F.array_except(paths, exclude) if exclude is not None else F.array_distinct(paths)
 
 
 def image_urls(md: Column) -> Column:

@@ -64,12 +64,12 @@ def wants_offsite_recipe(text: Column) -> Column:
     return F.coalesce(cue & (text.rlike(rf"(?iU)(?:{REDIRECT})") | named), F.lit(False))
 
 
-def dish_keywords(text: Column, limit=8) -> Column:
-    """First distinct meaningful words of the folded text, ``limit`` at most."""
+def dish_keywords(text: Column, limit=None) -> Column:
+    """Distinct meaningful words of the folded text in order, ``limit`` at most."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-zA-Z][a-zA-Z'\-]{2,}"), 0)
     words = F.transform(words, lambda w: F.regexp_replace(w, r"^[-']+|[-']+$", ""))
     kept = F.filter(words, lambda w: (F.char_length(w) >= 3) & ~w.isin(*KEYWORD_STOPWORDS))
-    return F.slice(F.array_distinct(kept), 1, limit)
+    return F.array_distinct(kept) if limit is None else F.slice(F.array_distinct(kept), 1, limit)
 
 
 def _mentions(hay, words):

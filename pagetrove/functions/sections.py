@@ -10,11 +10,6 @@ from pagetrove.functions.units import annotate
 from pagetrove.operators import recipes as R
 
 RULE = "---"
-CAPTION_CHARS = 8000
-BODY_CHARS = 20000
-COMMENT_CHARS = 800
-DESCRIPTION_CHARS = 6000
-TRANSCRIPT_CHARS = 100000
 
 
 def _c(name):
@@ -130,7 +125,7 @@ def photos() -> Column:
 
 
 def transcript(collapse=True) -> Column:
-    paras = X.paragraphs(F.substring(_c("transcript"), 1, TRANSCRIPT_CHARS))
+    paras = X.paragraphs(_c("transcript"))
     if collapse:
         return _when(_has(_c("transcript")), "> [!note]- Full Transcript\n> ", F.array_join(paras, "\n>\n> "), "\n")
     return _when(_has(_c("transcript")), "## Full Transcript\n\n", F.array_join(paras, "\n\n"), "\n")
@@ -141,12 +136,12 @@ def body_quote() -> Column:
     return _when(_has(_c("body_text")), "> [!quote] Original Post\n> **", _c("platform"), " — ",
                  F.coalesce(F.nullif(_c("author"), F.lit("")), F.lit("Unknown")), "**",
                  _when(score != 0, " — ", commas(score), " upvotes"), "\n>\n",
-                 M.quoted(F.substring(_c("body_text"), 1, BODY_CHARS)), "\n")
+                 M.quoted(_c("body_text")), "\n")
 
 
 def caption(text: Column = None) -> Column:
     text = _c("body_text") if text is None else text
-    return _when(_has(text), "> [!quote] Caption\n", M.quoted(F.substring(text, 1, CAPTION_CHARS)), "\n")
+    return _when(_has(text), "> [!quote] Caption\n", M.quoted(text), "\n")
 
 
 def reel_caption() -> Column:
@@ -160,7 +155,7 @@ def _comment(c, depth):
         F.concat(F.lit("u/"), who))
     head = F.concat(prefix, F.lit("**"), name, F.lit("**"), F.when(c["is_op"], ' <span class="op-badge">OP</span>').otherwise(""),
                     F.lit(" ("), F.coalesce(c["score"], F.lit(0)).cast("string"), F.lit(" ↑)"))
-    body = F.substring(F.coalesce(c["text"], F.lit("")), 1, COMMENT_CHARS)
+    body = F.coalesce(c["text"], F.lit(""))
     text = F.array_join(F.transform(X.lines(body), lambda ln: F.concat(prefix, ln)), "\n")
     return F.when(body == "", head).otherwise(F.concat(head, F.lit("\n"), text))
 
@@ -178,7 +173,7 @@ def comments() -> Column:
 def video_description() -> Column:
     d = _c("youtube.description")
     return _when(_has(d), "> [!quote]- Video Description (from ", F.coalesce(F.nullif(_c("youtube.channel"), F.lit("")), F.lit("YouTube")),
-                 " on YouTube)\n", M.quoted(F.substring(d, 1, DESCRIPTION_CHARS)), "\n")
+                 " on YouTube)\n", M.quoted(d), "\n")
 
 
 def paywall() -> Column:

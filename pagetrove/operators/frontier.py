@@ -57,22 +57,24 @@ def discovered_partition(urls: DataFrame, ledger: DataFrame, order=("pos",)) ->
         "already_saved", F.coalesce("_done", F.lit(False))).drop("_done")
 
 
-def crawl_batch(urls: DataFrame, ledger: DataFrame, order=("pos",), limit=300, by=()) -> DataFrame:
-    """The new discovered URLs to queue, at most ``limit`` per crawl (the crawl's own limit)."""
+def crawl_batch(urls: DataFrame, ledger: DataFrame, order=("pos",), limit=None, by=()) -> DataFrame:
+    """The new discovered URLs to queue; with ``limit`` the first so many, per ``by`` where given."""
     fresh = discovered_partition(urls, ledger, order).filter(~F.col("already_saved"))
+    if limit is None:
+        return fresh
     if by:
         return top_n_per_key(fresh, list(by), list(order), limit).drop("rank")
     return fresh.orderBy(*order).limit(limit)
 
 
-def crawl_summary(partitioned: DataFrame, found: DataFrame, limit=300) -> DataFrame:
+def crawl_summary(partitioned: DataFrame, found: DataFrame, limit=None) -> DataFrame:
     """found / already saved / new / queued / left out, as one row."""
     new = F.count_if(~F.col("already_saved"))
     n = partitioned.agg(F.count_if("already_saved").alias("already_saved"), new.alias("new_urls"))
     return n.select(
         found.agg(F.count("*")).scalar().alias("found"), "already_saved", "new_urls",
         F.least("new_urls", F.lit(limit)).alias("queued"),
-        F.greatest(F.col("new_urls") - limit, F.lit(0)).alias("left_out"))
+        F.greatest(F.col("new_urls") - F.coalesce(F.lit(limit), F.col("new_urls")), F.lit(0)).alias("left_out"))
 
 
 def needs_image_text(platform, media, is_short, enabled=True, skip_platforms=()):

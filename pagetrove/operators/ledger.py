@@ -54,26 +54,27 @@ def newest(approvals: DataFrame, by=()) -> DataFrame:
     return approvals.agg(row.alias("r")).select("r.*")
 
 
-def pending_choices(approvals: DataFrame, text="", limit=25) -> DataFrame:
-    """Newest pending records whose title (or URL) contains ``text``; a 25-row pick list."""
+def _newest(rows, order, limit):
+    return rows if limit is None else rows.orderBy(*[F.desc(c) for c in order]).limit(limit)
+
+
+def pending_choices(approvals: DataFrame, text="", limit=None) -> DataFrame:
+    """Pending records whose title (or URL) contains ``text``, or the newest ``limit`` of them."""
     label = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("url"))
     out = approvals.withColumn("label", label)
     if text:
         out = out.filter(F.lower("label").contains(text.lower()))
-    return out.orderBy(F.desc("created_at"), F.desc("id")).limit(limit) \
-              .select("id", F.substring("label", 1, 100).alias("label"), "created_at")
+    return _newest(out, ["created_at", "id"], limit).select("id", "label", "created_at")
 
 
-def history_choices(ledger: DataFrame, text="", limit=25) -> DataFrame:
-    """Newest done, failed and pending URLs containing ``text``, labelled; a 25-row pick list."""
-    out = ledger.filter(F.col("status").isin("done", "failed_permanent", "pending")
-                        & (F.char_length("url") <= 100))
+def history_choices(ledger: DataFrame, text="", limit=None) -> DataFrame:
+    """Done, failed and pending URLs containing ``text``, labelled, or the newest ``limit`` of them."""
+    out = ledger.filter(F.col("status").isin("done", "failed_permanent", "pending"))
     if text:
         out = out.filter(F.lower("url").contains(text.lower()))
     prefix = F.when(F.col("status") == "failed_permanent", "[failed] ") \
               .when(F.col("status") == "pending", "[pending] ").otherwise("")
-    return out.orderBy(F.desc("ts"), F.desc("seq")).limit(limit).select(
-        "url", F.substring(F.concat(prefix, F.col("url")), 1, 100).alias("label"), "ts")
+    return _newest(out, ["ts", "seq"], limit).select("url", F.concat(prefix, F.col("url")).alias("label"), "ts")
 
 
 def to_finalise(approved: DataFrame, ledger: DataFrame) -> DataFrame:

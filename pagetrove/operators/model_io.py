@@ -6,11 +6,6 @@ from pyspark.sql import functions as F
 from pagetrove.functions import text as X
 
 # --- fixed values -----------------------------------------------------------------------------
-CAPS = {"metadata": 500, "body": 8000, "video_description": 6000, "followed": 12000,
-        "followed_with_recipe": 4000, "transcript": 12000, "image_text": 12000, "comment": 500,
-        "comments": 5}
-CHECK_CAPS = {"body": 6000, "image_text": 12000, "comment": 300, "comments": 12}
-LOCATION_CAPS = {"body": 3000, "comment": 300, "comments": 10}
 SKIPPED_METADATA = [
     "possible_paywall", "embedded_article_url", "youtube_description", "followed_recipe_markdown",
     "followed_recipe_hint", "followed_recipe_article_markdown", "followed_recipe_data",
@@ -36,7 +31,11 @@ LOCATION = (
 
 
 def _cut(c, n):
-    return F.substring(c, 1, n)
+    return c if n is None else F.substring(c, 1, n)
+
+
+def _first(xs, n):
+    return xs if n is None else F.slice(xs, 1, n)
 
 
 def _present(c):
@@ -51,26 +50,29 @@ def _block(label, xs, line):
     return F.when(F.size(xs) > 0, F.concat(F.lit(label), F.array_join(F.transform(xs, line), "\n")))
 
 
-def capped_inputs(body, transcript, image_text, description, caps=CAPS) -> Column:
+def capped_inputs(body, transcript, image_text, description, caps) -> Column:
     """The prefixes a model request carries of the long texts (the request's own limits)."""
-    return F.struct(_cut(body, caps["body"]).alias("body"), _cut(transcript, caps["transcript"]).alias("transcript"),
-                    _cut(image_text, caps["image_text"]).alias("image_text"),
-                    _cut(description, caps["video_description"]).alias("video_description"))
+    return F.struct(_cut(body, caps.get("body")).alias("body"), _cut(transcript, caps.get("transcript")).alias("transcript"),
+                    _cut(image_text, caps.get("image_text")).alias("image_text"),
+                    _cut(description, caps.get("video_description")).alias("video_description"))
 
 
-def analysis_requests(items: DataFrame, folders: Column = None, tags: Column = None, caps=CAPS) -> DataFrame:
+def analysis_requests(items: DataFrame, folders: Column = None, tags: Column = None, caps=None) -> DataFrame:
     """Adds ``prompt``: the ordered sections of an item that have content.
 
     Expects the item columns plus optional ``preference_hint, transcript, image_text,
     recipe_text, followed_text, followed_url, video_description, metadata_map, top_comments,
-    chapters``; ``folders`` and ``tags`` are the existing taxonomy as array columns (bounded
-    lists: 400 folders, 50 tags).
+    chapters``; ``folders`` and ``tags`` are the existing taxonomy as array columns. Texts go in whole;
+    ``caps`` maps a section to its most characters (``comments``: to its number) where a model needs it.
     """
+    caps = caps or {}
     col = lambda n, t="string": F.col(n) if n in items.columns else F.lit(None).cast(t)
     meta = F.map_filter(col("metadata_map", "map<string,string>"), lambda k, v: v.isNotNull() & ~k.isin(*SKIPPED_METADATA))
-    comments = F.slice(col("top_comments", "array<struct<author:string,score:int,text:string>>"), 1, caps["comments"])
+    comments = _first(col("top_comments", "array<struct<author:string,score:int,text:string>>"), caps.get("comments"))
     chapters = col("chapters", "array<struct<time_str:string,title:string>>")
-    followed_cap = F.when(_present(col("recipe_text")).isNotNull(), caps["followed_with_recipe"]).otherwise(caps["followed"])
+    followed = _present(col("followed_text"))
+    followed = F.when(_present(col("recipe_text")).isNotNull(), _cut(followed, caps.get("followed_with_recipe"))).otherwise(
+        _cut(followed, caps.get("followed")))
     source = F.coalesce(_present(col("followed_url")), F.col("url"))
     parts = [
         F.concat(F.lit("Platform: "), "platform"), F.concat(F.lit("URL: "), "url"),
@@ -81,41 +83,43 @@ def analysis_requests(items: DataFrame, folders: Column = None, tags: Column = N
         None if tags is None else F.when(F.size(tags) > 0, F.concat(
             F.lit("Existing tags, most used first (reuse them when they apply):\n  "), F.array_join(tags, ", "))),
         _block("Metadata:\n", F.map_entries(meta), lambda e: F.concat(
-            F.lit("  "), e["key"], F.lit(": "), _cut(e["value"], caps["metadata"]))),
-        _labelled("Content:\n", _cut(col("body_text"), caps["body"])),
-        _labelled("Embedded video description:\n", _cut(col("video_description"), caps["video_description"])),
+            F.lit("  "), e["key"], F.lit(": "), _cut(e["value"], caps.get("metadata")))),
+        _labelled("Content:\n", _cut(col("body_text"), caps.get("body"))),
+        _labelled("Embedded video description:\n", _cut(col("video_description"), caps.get("video_description"))),
         F.concat(F.lit("Structured recipe ("), source, F.lit("), the authoritative source:\n"), _present(col("recipe_text"))),
         F.concat(F.lit("Full page followed from the profile link ("), F.coalesce(col("followed_url"), F.lit("")), F.lit("):\n"),
-                 F.substr(_present(col("followed_text")), F.lit(1), followed_cap)),
-        _labelled("Transcript:\n", _cut(col("transcript"), caps["transcript"])),
-        _labelled("Text from the post's images:\n", _cut(col("image_text"), caps["image_text"])),
+                 followed),
+        _labelled("Transcript:\n", _cut(col("transcript"), caps.get("transcript"))),
+        _labelled("Text from the post's images:\n", _cut(col("image_text"), caps.get("image_text"))),
         _block("Top Comments:\n", comments, lambda c: F.concat(
-            F.lit("  "), c["author"], F.lit(" ("), c["score"].cast("string"), F.lit(" pts): "), _cut(c["text"], caps["comment"]))),
+            F.lit("  "), c["author"], F.lit(" ("), c["score"].cast("string"), F.lit(" pts): "), _cut(c["text"], caps.get("comment")))),
         _block("Chapters:\n", chapters, lambda c: F.concat(F.lit("  "), c["time_str"], F.lit(" — "), c["title"]))]
     return items.withColumn("prompt", F.concat_ws("\n\n", *[p for p in parts if p is not None]))
 
 
-def check_requests(items: DataFrame, jurisdiction=None, caps=CHECK_CAPS) -> DataFrame:
-    """Adds ``prompt`` for claim checking: topics, caption, image text, comments."""
-    comments = F.slice("top_comments", 1, caps["comments"])
+def check_requests(items: DataFrame, jurisdiction=None, caps=None) -> DataFrame:
+    """Adds ``prompt`` for claim checking: topics, caption, image text, comments; ``caps`` as above."""
+    caps = caps or {}
+    comments = _first(F.col("top_comments"), caps.get("comments"))
     parts = [
         F.concat(F.lit("Topics: "), F.array_join("topics", ", ")), F.concat(F.lit("Platform: "), "platform"),
         F.concat(F.lit("Title: "), F.coalesce("title", F.lit(""))),
         F.lit(f"Jurisdiction: {jurisdiction}") if jurisdiction else F.lit(None).cast("string"),
-        F.concat(F.lit("Caption / body text:\n"), _cut(F.coalesce("body_text", F.lit("")), caps["body"])),
-        _labelled("Text from the post's image slides:\n", _cut(X.strip(F.col("image_text")), caps["image_text"])),
+        F.concat(F.lit("Caption / body text:\n"), _cut(F.coalesce("body_text", F.lit("")), caps.get("body"))),
+        _labelled("Text from the post's image slides:\n", _cut(X.strip(F.col("image_text")), caps.get("image_text"))),
         _block("Comments:\n", comments, lambda c: F.concat(
-            F.lit("  "), F.coalesce(c["author"], F.lit("?")), F.lit(": "), _cut(F.coalesce(c["text"], F.lit("")), caps["comment"])))]
+            F.lit("  "), F.coalesce(c["author"], F.lit("?")), F.lit(": "), _cut(F.coalesce(c["text"], F.lit("")), caps.get("comment"))))]
     return items.withColumn("prompt", F.concat_ws("\n\n", *parts))
 
 
-def location_requests(items: DataFrame, caps=LOCATION_CAPS) -> DataFrame:
-    comments = F.slice("top_comments", 1, caps["comments"])
+def location_requests(items: DataFrame, caps=None) -> DataFrame:
+    caps = caps or {}
+    comments = _first(F.col("top_comments"), caps.get("comments"))
     parts = [
         F.concat(F.lit("Title: "), F.coalesce("title", F.lit(""))),
-        F.concat(F.lit("Caption/Body:\n"), _cut(F.coalesce("body_text", F.lit("")), caps["body"])),
+        F.concat(F.lit("Caption/Body:\n"), _cut(F.coalesce("body_text", F.lit("")), caps.get("body"))),
         _block("Comments:\n", comments, lambda c: F.concat(
-            F.lit("  "), c["author"], F.lit(": "), _cut(c["text"], caps["comment"])))]
+            F.lit("  "), c["author"], F.lit(": "), _cut(c["text"], caps.get("comment"))))]
     return items.withColumn("prompt", F.concat_ws("\n\n", *parts))
 
 
@@ -137,7 +141,7 @@ def parse_analysis(responses: DataFrame, raw_col="raw") -> DataFrame:
     none = F.lit(None)
     given = {
         "folder_path": F.lit(UNSORTED), "filename": X.file_slug(label), "title": label,
-        "tags": F.array("platform"), "summary": _cut(F.coalesce("body_text", F.lit("")), 200),
+        "tags": F.array("platform"), "summary": F.coalesce("body_text", F.lit("")),
         "key_takeaways": F.array().cast("array<string>"), "note_type": F.lit("web_generic"),
         "topics": F.array().cast("array<string>")}
     parsed = F.when(F.try_parse_json(F.col(raw_col)).isNotNull(), F.from_json(raw_col, ANALYSIS))

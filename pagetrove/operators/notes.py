@@ -120,16 +120,16 @@ def _number_past(numbered: DataFrame, taken: DataFrame) -> DataFrame:
         F.concat("base_name", F.lit("-"), F.col("n").cast("string")))).drop("row_no", "n")
 
 
-def folder_inventory(paths: DataFrame, path="path", max_depth=5, limit=400) -> DataFrame:
-    """Distinct folders with all their ancestors, sorted; the first ``limit`` as a pick list.
+def folder_inventory(paths: DataFrame, path="path", max_depth=None) -> DataFrame:
+    """Distinct folders with all their ancestors, down to ``max_depth`` where given.
 
     The first path part is the root and is not listed; a part that starts with ``.`` or ``_``
     hides its subtree.
     """
     dirs = F.filter(F.split(F.col(path), "/"), lambda p: p != "")
-    depth = F.least(F.size(dirs) - 1, F.lit(max_depth))
+    depth = F.least(F.size(dirs) - 1, F.lit(max_depth).cast("int"))
     prefixes = F.when(depth < 1, F.array().cast("array<string>")).otherwise(F.transform(
         F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: F.array_join(F.slice(dirs, F.lit(1), i + 1), "/")))
     folders = paths.select(F.explode(F.array_distinct(prefixes)).alias("folder")).distinct()
     shown = folders.filter(~F.col("folder").rlike(r"/[._]"))
-    return shown.orderBy("folder").limit(limit)
+    return shown

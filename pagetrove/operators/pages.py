@@ -114,10 +114,10 @@ def with_markdown(pages: DataFrame) -> DataFrame:
               .withColumn("media_urls", media_list(F.col("clip.videos"), F.col("hero"), F.col("markdown")))
 
 
-def media_list(videos: Column, hero: Column, markdown: Column, limit=10) -> Column:
-    """Videos, then the hero image only when there is no Markdown; ten at most per item."""
+def media_list(videos: Column, hero: Column, markdown: Column) -> Column:
+    """Videos, then the hero image only when there is no Markdown."""
     lead = F.when(markdown.isNull() & hero.isNotNull(), F.array(hero)).otherwise(F.array().cast("array<string>"))
-    return F.slice(F.concat(videos, lead), 1, limit)
+    return F.concat(videos, lead)
 
 
 def clip_pages(captures: DataFrame) -> DataFrame:

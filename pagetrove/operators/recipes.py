@@ -162,8 +162,8 @@ def extract_recipes(captures: DataFrame, clip_col=None) -> DataFrame:
         "time_str", F.nullif(times, F.lit("")))
 
 
-def prompt_text(limit=8000) -> Column:
-    """Recipe row as text for the model, at most ``limit`` characters."""
+def prompt_text(limit=None) -> Column:
+    """Recipe row as text for the model; ``limit`` is its most characters."""
     def numbered(steps, pad=""):
         return F.transform(steps, lambda s, i: F.concat(F.lit(pad), (i + 1).cast("string"), F.lit(". "), s))
 
@@ -191,7 +191,8 @@ def prompt_text(limit=8000) -> Column:
     facts = F.when(F.size("nutrition") > 0, F.concat(F.array(F.lit(
         "Published nutrition per serving (from the source — keep these values, add what it omits):")), facts)) \
         .otherwise(F.array().cast("array<string>"))
-    return F.substring(F.array_join(F.concat(head, ingredients, steps, facts), "\n"), 1, limit)
+    whole = F.array_join(F.concat(head, ingredients, steps, facts), "\n")
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def merge_recipe(analysis: DataFrame, recipes: DataFrame, key="url") -> DataFrame:

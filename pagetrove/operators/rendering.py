@@ -32,7 +32,7 @@ def section_columns(run_date: Column, collapse=True) -> dict:
     return {
         "video_embed": N.video_embed(), "chapters": N.chapters(), "summary": N.summary(), "takeaways": N.takeaways(),
         "transcript": N.transcript(collapse), "media": N.embeds(F.col("media_paths")),
-        "first_media": N.embeds(F.slice("media_paths", 1, 1)), "four_media": N.embeds(F.slice("media_paths", 1, 4)),
+        "first_media": N.embeds(F.slice("media_paths", 1, 1)),
         "no_media": N.no_media(), "video_description": N.video_description(), "body_quote": N.body_quote(),
         "comments": N.comments(), "translation": N.translation(), "caption": N.caption(), "reel_caption": N.reel_caption(),
         "photos": N.photos(), "recipe": N.recipe(), "recipe_page_caption": N.recipe_page_caption(),
@@ -56,7 +56,7 @@ LAYOUTS = {
     "facebook_post": ["media", "summary", "body_quote", *_END],
     "web_recipe": ["first_media", "summary", "photos", "recipe", "recipe_page_caption", "image_text", "transcript",
                    "paywall", *_END],
-    "web_travel": ["four_media", "summary", "takeaways", "travel_details", "paywall", "body_quote", *_END],
+    "web_travel": ["media", "summary", "takeaways", "travel_details", "paywall", "body_quote", *_END],
     "web_article": _ARTICLE, "web_generic": _ARTICLE,
 }
 ALIASES = {"youtube": "youtube_video", "recipe": "web_recipe", "travel": "web_travel", "article": "web_article",

@@ -111,15 +111,15 @@ def discovered_partition(spark, sf):
 
 @query("j4_crawl_batch", _with("url_variants", "ledger_events") + LEDGER + """
 SELECT f.canonical_url, f.pos, f.url, false AS already_saved FROM firsts f
-WHERE f.canonical_url NOT IN (SELECT url FROM state WHERE status='done') ORDER BY f.pos LIMIT 300""")
+WHERE f.canonical_url NOT IN (SELECT url FROM state WHERE status='done')""")
 def crawl_batch(spark, sf):
     return frontier.crawl_batch(_discovered(spark, sf), _ledger(spark, sf))
 
 
 @query("k10_crawl_summary", _with("url_variants", "ledger_events") + LEDGER + """
 SELECT (SELECT count(*) FROM url_variants) AS found, count(*) FILTER (WHERE done) AS already_saved,
-  count(*) FILTER (WHERE NOT done) AS new_urls, least(count(*) FILTER (WHERE NOT done), 300) AS queued,
-  greatest(count(*) FILTER (WHERE NOT done) - 300, 0) AS left_out
+  count(*) FILTER (WHERE NOT done) AS new_urls, count(*) FILTER (WHERE NOT done) AS queued,
+  0 AS left_out
 FROM (SELECT f.canonical_url IN (SELECT url FROM state WHERE status='done') AS done FROM firsts f) t""")
 def crawl_summary(spark, sf):
     urls = _discovered(spark, sf)
@@ -171,14 +171,14 @@ def newest_pending(spark, sf):
 
 
 @query("s3_pending_choices", with_inputs("approvals") + """
-SELECT id, title AS label FROM approvals WHERE contains(title, '3') ORDER BY created_at DESC LIMIT 25""")
+SELECT id, title AS label FROM approvals WHERE contains(title, '3')""")
 def pending_choices(spark, sf):
     return ledger.pending_choices(source(spark, sf, "approvals"), "3").select("id", "label")
 
 
 @query("s3_history_choices", _with("url_variants", "ledger_events") + LEDGER + """
 SELECT url, CASE status WHEN 'failed_permanent' THEN '[failed] ' WHEN 'pending' THEN '[pending] ' ELSE '' END || url AS label
-FROM state WHERE status IN ('done','failed_permanent','pending') AND contains(url,'example') ORDER BY ts DESC LIMIT 25""")
+FROM state WHERE status IN ('done','failed_permanent','pending') AND contains(url,'example')""")
 def history_choices(spark, sf):
     return ledger.history_choices(_ledger(spark, sf), "EXAMPLE").select("url", "label")
 
@@ -234,7 +234,7 @@ def captures(spark, sf):
 
 
 @query("a10_failure_lines", with_inputs("failures") + """
-SELECT '- [ ] https://x.example/' || CAST(event_id AS STRING) || ' — ' || left(message || message || message || message || message || message, 80)
+SELECT '- [ ] https://x.example/' || CAST(event_id AS STRING) || ' — ' || message || message || message || message || message || message
  || ' — 2024-02-01' AS value FROM failures""")
 def failure_lines(spark, sf):
     failed = source(spark, sf, "failures").select(

@@ -26,7 +26,7 @@ def lenient_json(spark, sf):
 
 @query("n3_parsed_analysis", with_inputs("model_responses") + """
 SELECT doc_id, doc_id % 4 <> 0 AS is_fallback, CASE WHEN doc_id % 4 = 0 THEN 'a/' || lang ELSE '_UNSORTED' END AS folder, CASE WHEN doc_id % 4 = 0 THEN source ELSE 'generic' END AS tags,
-  CASE WHEN doc_id % 4 = 0 THEN NULL ELSE left(text, 200) END AS summary, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'my-title-' || source END AS filename FROM model_responses""")
+  CASE WHEN doc_id % 4 = 0 THEN NULL ELSE text END AS summary, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'my-title-' || source END AS filename FROM model_responses""")
 def parsed_analysis(spark, sf):
     r = source(spark, sf, "model_responses").select(
         "doc_id", "raw", F.lit("https://x.example/").alias("url"), F.lit("generic").alias("platform"),
@@ -94,7 +94,8 @@ def flag_summary(spark, sf):
 @query("s4_capped_inputs", """
 SELECT doc_id, length(left(text, 8000)) AS body, length(left(text || text, 12000)) AS transcript, md5(left(text, 6000)) AS description FROM documents""")
 def capped_inputs(spark, sf):
-    c = N.capped_inputs(F.col("text"), F.concat("text", "text"), F.col("text"), F.col("text"))
+    c = N.capped_inputs(F.col("text"), F.concat("text", "text"), F.col("text"), F.col("text"),
+                        {"body": 8000, "transcript": 12000, "image_text": 12000, "video_description": 6000})
     return table(spark, sf, "documents").select("doc_id", c.alias("c")).select(
         "doc_id", F.char_length("c.body").alias("body"), F.char_length("c.transcript").alias("transcript"),
         F.md5("c.video_description").alias("description"))
@@ -102,7 +103,7 @@ def capped_inputs(spark, sf):
 
 @query("n1_analysis_requests", """
 SELECT doc_id, 'Platform: generic' || chr(10) || chr(10) || 'URL: u' || doc_id || CASE WHEN lang = 'en' THEN chr(10) || chr(10) || 'Author: ' || source ELSE '' END || chr(10) || chr(10) ||
-  'Metadata:' || chr(10) || '  score: ' || n_chars || CASE WHEN text = '' THEN '' ELSE chr(10) || chr(10) || 'Content:' || chr(10) || left(text, 8000) END || CASE WHEN text = '' THEN '' ELSE chr(10) || chr(10) || 'Transcript:' || chr(10) || left(text || text, 12000) END AS prompt FROM documents""")
+  'Metadata:' || chr(10) || '  score: ' || n_chars || CASE WHEN text = '' THEN '' ELSE chr(10) || chr(10) || 'Content:' || chr(10) || text END || CASE WHEN text = '' THEN '' ELSE chr(10) || chr(10) || 'Transcript:' || chr(10) || text || text END AS prompt FROM documents""")
 def analysis_requests(spark, sf):
     items = table(spark, sf, "documents").select(
         "doc_id", F.lit("generic").alias("platform"), F.concat(F.lit("u"), "doc_id").alias("url"), F.lit("").alias("title"),
@@ -124,7 +125,7 @@ TOP3 = """r AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY score
 @query("n2_check_requests", with_inputs("comments").rstrip() + f""",
 {TOP3}
 SELECT post_id, 'Topics: health, diy' || chr(10) || chr(10) || 'Platform: reddit' || chr(10) || chr(10) || 'Title: t' || chr(10) || chr(10) || 'Caption / body text:' || chr(10) || 'body' || chr(10) || chr(10)
- || 'Comments:' || chr(10) || string_agg('  ' || author || ': ' || left(text, 300), chr(10) ORDER BY rn) AS prompt FROM r WHERE rn <= 3 GROUP BY post_id""")
+ || 'Comments:' || chr(10) || string_agg('  ' || author || ': ' || text, chr(10) ORDER BY rn) AS prompt FROM r WHERE rn <= 3 GROUP BY post_id""")
 def check_requests(spark, sf):
     items = _threads(spark, sf).select("post_id", "top_comments", F.array(F.lit("health"), F.lit("diy")).alias("topics"),
                                        F.lit("reddit").alias("platform"), F.lit("t").alias("title"), F.lit("body").alias("body_text"), F.lit(" ").alias("image_text"))
@@ -134,7 +135,7 @@ def check_requests(spark, sf):
 @query("n2_location_requests", with_inputs("comments").rstrip() + f""",
 {TOP3}
 SELECT post_id, 'Title: t' || chr(10) || chr(10) || 'Caption/Body:' || chr(10) || 'body' || chr(10) || chr(10)
- || 'Comments:' || chr(10) || string_agg('  ' || author || ': ' || left(text, 300), chr(10) ORDER BY rn) AS prompt FROM r WHERE rn <= 3 GROUP BY post_id""")
+ || 'Comments:' || chr(10) || string_agg('  ' || author || ': ' || text, chr(10) ORDER BY rn) AS prompt FROM r WHERE rn <= 3 GROUP BY post_id""")
 def location_requests(spark, sf):
     items = _threads(spark, sf).select("post_id", "top_comments", F.lit("t").alias("title"), F.lit("body").alias("body_text"))
     return N.location_requests(items).select("post_id", "prompt")

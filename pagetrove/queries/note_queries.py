@@ -81,7 +81,7 @@ def photo_coercion(spark, sf):
 
 @query("n8_quoted_body", r"""
 SELECT doc_id, CASE WHEN text = '' THEN '' ELSE '> [!quote] Original Post' || chr(10) || '> **generic — ' || source || '** — ' || printf('%,d', doc_id + 1000) || ' upvotes' || chr(10) || '>' || chr(10) || '> '
-  || regexp_replace(regexp_replace(left(text, 20000), '\n$', ''), '\n', chr(10) || '> ', 'g') || chr(10) END AS section FROM documents""")
+  || regexp_replace(regexp_replace(text, '\n$', ''), '\n', chr(10) || '> ', 'g') || chr(10) END AS section FROM documents""")
 def quoted_body(spark, sf):
     df = table(spark, sf, "documents").select(
         "doc_id", F.lit("generic").alias("platform"), F.col("source").alias("author"), F.col("text").alias("body_text"),
@@ -92,10 +92,10 @@ def quoted_body(spark, sf):
 @query("n8_comment_threads", with_inputs("comments").rstrip() + """,
 r AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY score DESC, pos) AS rn FROM comments WHERE parent_id IS NULL),
 n AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY pos) AS rn FROM comments WHERE parent_id IS NOT NULL AND author = 'assistant'),
-b AS (SELECT post_id, 0 AS sec, -score AS o, pos, '> **u/' || author || '**' || CASE WHEN author = 'assistant' THEN ' <span class="op-badge">OP</span>' ELSE '' END || ' (' || score || ' ↑)' || chr(10) || '> ' || replace(rtrim(left(text, 800), chr(10)), chr(10), chr(10) || '> ') AS t
+b AS (SELECT post_id, 0 AS sec, -score AS o, pos, '> **u/' || author || '**' || CASE WHEN author = 'assistant' THEN ' <span class="op-badge">OP</span>' ELSE '' END || ' (' || score || ' ↑)' || chr(10) || '> ' || replace(rtrim(text, chr(10)), chr(10), chr(10) || '> ') AS t
   FROM r WHERE rn <= 2 OR author = 'assistant'
 UNION ALL SELECT n.post_id, 1, 0, n.pos, string_agg(repeat('> ', CAST(c.pos - n.pos + n.pos % 3 + 1 AS INT)) || '**u/' || c.author || '**' || CASE WHEN c.author = 'assistant' THEN ' <span class="op-badge">OP</span>' ELSE '' END || ' (' || c.score || ' ↑)' || chr(10)
-   || repeat('> ', CAST(c.pos - n.pos + n.pos % 3 + 1 AS INT)) || replace(rtrim(left(c.text, 800), chr(10)), chr(10), chr(10) || repeat('> ', CAST(c.pos - n.pos + n.pos % 3 + 1 AS INT))), chr(10) ORDER BY c.pos)
+   || repeat('> ', CAST(c.pos - n.pos + n.pos % 3 + 1 AS INT)) || replace(rtrim(c.text, chr(10)), chr(10), chr(10) || repeat('> ', CAST(c.pos - n.pos + n.pos % 3 + 1 AS INT))), chr(10) ORDER BY c.pos)
   FROM n JOIN comments c ON c.post_id = n.post_id AND c.pos BETWEEN n.pos - n.pos % 3 AND n.pos WHERE n.rn <= 5 GROUP BY n.post_id, n.pos)
 SELECT post_id, '> [!example]- Top Comments' || chr(10) || string_agg(t, chr(10) || '>' || chr(10) ORDER BY sec, o, pos) || chr(10) AS section FROM b GROUP BY post_id""")
 def comment_threads(spark, sf):
@@ -145,7 +145,7 @@ def offsite_section(spark, sf):
 @query("n8_transcript_section", """
 SELECT doc_id, CASE WHEN text = '' THEN '' ELSE '> [!note]- Full Transcript' || chr(10) || '> ' || array_to_string(list_transform(range(CAST(ceil(len(s) / 4.0) AS BIGINT)),
   lambda i: array_to_string(s[i * 4 + 1:i * 4 + 4], ' ')), chr(10) || '>' || chr(10) || '> ') || chr(10) END AS section FROM (
-  SELECT doc_id, text, list_filter(string_split(regexp_replace(regexp_replace(trim(replace(left(text, 100000), chr(10), ' ')), ' +', ' ', 'g'), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s
+  SELECT doc_id, text, list_filter(string_split(regexp_replace(regexp_replace(trim(replace(text, chr(10), ' ')), ' +', ' ', 'g'), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s
   FROM documents) t""")
 def transcript_section(spark, sf):
     df = table(spark, sf, "documents").select("doc_id", F.col("text").alias("transcript"))

@@ -43,7 +43,7 @@ KSTOP = "('" + "','".join(O.KEYWORD_STOPWORDS) + "')"
 @query("f21_dish_keywords", f"""
 SELECT doc_id, coalesce(string_agg(w, ',' ORDER BY first), '') AS keywords FROM (SELECT doc_id, w, min(i) AS first, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS rn FROM (
  SELECT doc_id, trim(unnest(ws), '-' || chr(39)) AS w, unnest(range(len(ws))) AS i FROM (SELECT doc_id, regexp_extract_all('my tomato-soup ' || lower(text), '[a-z][a-z''-]{{2,}}') AS ws FROM documents) a) b
- WHERE length(w) >= 3 AND w NOT IN {KSTOP} GROUP BY doc_id, w) c WHERE rn <= 8 GROUP BY doc_id""".replace("{{", "{").replace("}}", "}"))
+ WHERE length(w) >= 3 AND w NOT IN {KSTOP} GROUP BY doc_id, w) c GROUP BY doc_id""".replace("{{", "{").replace("}}", "}"))
 def dish_keywords(spark, sf):
     text = O.fold_glyphs(F.concat_ws("\n", F.lit("My Tomato-Soup"), "text"))
     return table(spark, sf, "documents").select("doc_id", F.array_join(O.dish_keywords(text), ",").alias("keywords"))

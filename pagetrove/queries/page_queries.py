@@ -213,8 +213,8 @@ def paywall_flag(spark, sf):
 
 
 @query("c19_media_list", """
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN array_to_string(list_transform(range(least(doc_id % 13, 10)), lambda i: 'v' || i), ',')
-  ELSE array_to_string((list_transform(range(doc_id % 13), lambda i: 'v' || i) || ['hero'])[1:10], ',') END AS media FROM documents""")
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN array_to_string(list_transform(range(doc_id % 13), lambda i: 'v' || i), ',')
+  ELSE array_to_string((list_transform(range(doc_id % 13), lambda i: 'v' || i) || ['hero']), ',') END AS media FROM documents""")
 def media_list(spark, sf):
     n = (F.col("doc_id") % 13).cast("int")
     videos = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(

@@ -242,7 +242,7 @@ def name_collisions(spark, sf):
 @query("k11_folder_inventory", """
 WITH p AS (SELECT string_split('root/' || lang || '/' || CASE WHEN doc_id % 7 = 0 THEN '_' ELSE '' END || source || '/d' || CAST(doc_id % 3 AS STRING), '/') AS parts FROM documents),
 x AS (SELECT DISTINCT array_to_string(parts[1:i], '/') AS folder FROM (SELECT parts, unnest([2,3,4]) AS i FROM p) q)
-SELECT folder FROM x WHERE NOT contains(folder, '/_') ORDER BY folder LIMIT 400""")
+SELECT folder FROM x WHERE NOT contains(folder, '/_')""")
 def folder_inventory(spark, sf):
     path = F.concat(F.lit("root/"), "lang", F.lit("/"), F.when(F.col("doc_id") % 7 == 0, "_").otherwise(""), "source",
                     F.lit("/d"), (F.col("doc_id") % 3).cast("string"))

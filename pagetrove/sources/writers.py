@@ -22,7 +22,7 @@ def write_notes(notes: DataFrame, path: str, writers_per_folder=16):
 
 def failure_lines(failed: DataFrame, run_date) -> DataFrame:
     return failed.select(F.concat(
-        F.lit("- [ ] "), "url", F.lit(" — "), F.substring("reason", 1, 80), F.lit(" — "), run_date
+        F.lit("- [ ] "), "url", F.lit(" — "), F.col("reason"), F.lit(" — "), run_date
     ).alias("value"))
 
 
