@@ -227,7 +227,8 @@ def remove_repeats(docs: DataFrame, depth=DEPTH, with_text=False) -> DataFrame:
     rows = located(docs)
     marked = keep_table(mark(rows, depth).withColumn("uid", F.monotonically_increasing_id()), "anchors")
     posts = marked.select("uid", F.inline("grams"))
-    shared = posts.groupBy("gram").count().filter("count > 1").select("gram")
+    # Written first, so that the adaptive join can split a hot anchor's rows.
+    shared = keep_table(posts.groupBy("gram").count().filter("count > 1").select("gram"), "shared")
     lists = posts.join(shared, "gram", "left_semi").groupBy("uid").agg(F.collect_list("place").alias("places"))
     wanted = lists.join(marked.select("uid", *AT), "uid")
     held = keep_table(rows.select(*AT, F.col("text").alias("__text")).join(wanted, AT).select("uid", "__text", "places"), "held")
