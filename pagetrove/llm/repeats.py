@@ -234,7 +234,7 @@ def remove_repeats(docs: DataFrame, depth=DEPTH, with_text=False) -> DataFrame:
     held = keep_table(rows.select(*AT, F.col("text").alias("__text")).join(wanted, AT).select("uid", "__text", "places"), "held")
     pieces = keep_table(contexts(held, depth), "contexts")
     dealt = deal(pieces.filter("words IS NOT NULL"), depth).repartition("key").sortWithinPartitions("key")
-    masks = repeated_offsets(dealt, depth).groupBy("c1", "c2").agg(F.bit_or("mask").alias("mask"))
+    masks = keep_table(repeated_offsets(dealt, depth).groupBy("c1", "c2").agg(F.bit_or("mask").alias("mask")), "masks")
     hits = pieces.filter("words IS NULL").select("uid", "place", "c1", "c2").join(masks, ["c1", "c2"])
     hits = hits.groupBy("uid").agg(F.collect_list(F.struct("place", "mask")).alias("hits"))
     schema = "uid BIGINT, n_removed BIGINT, kept_sha256 STRING, kept_text STRING"
