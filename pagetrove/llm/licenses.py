@@ -76,8 +76,8 @@ def differences(block: str, template: str):
     """
     mine, all_of = words_of(block), words_of(template)
     best = (-1.0, [], [])
-    starts = {j - i for i, w in enumerate(mine) for j, v in enumerate(all_of) if v == w}
-    for start in sorted(max(0, s) for s in starts):
+    starts = {max(0, j - i) for i, w in enumerate(mine) for j, v in enumerate(all_of) if v == w}
+    for start in sorted(starts):
         part = all_of[start:start + len(mine)]
         found = SequenceMatcher(None, mine, part, autojunk=False)
         if found.ratio() > best[0]:
