@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagetrove.llm import (chat, components, exact_dedup, fingerprints, licenses, mixing, pitman_yor, quality, repeats,
-                           segmentation, simhash)
+                           segmentation, shingles, simhash)
 from pagetrove.llm.common import located
 
 DOC = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, fp STRING, size STRING, key STRING"
@@ -141,6 +141,33 @@ def test_near_links_are_all_found(spark):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
 
 
+def test_similar_texts_are_all_grouped(spark, odd, none, monkeypatch):
+    r = random.Random(11)
+    texts, base = [], [" ".join(f"w{r.randrange(10**6)}" for _ in range(r.choice([5, 40, 90, 300]))) for _ in range(40)]
+    common = " ".join(f"c{i}" for i in range(30))
+    for b in base:
+        for _ in range(r.choice([1, 3, 8])):
+            words = b.split()
+            for _ in range(r.randrange(1 + len(words) // 25)):
+                words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(words) + (f" {common}" if r.random() < 0.5 else ""))
+    texts += [f"{common} {' '.join(f't{r.randrange(9)}' for _ in range(6))}" for _ in range(60)]
+
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = [grams(t) for t in texts]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2)
+             if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    groups = joined(range(len(texts)), pairs)
+    kept = sorted({min(g) for g in groups.values()})
+    docs = docs_of(spark, texts)
+    for paired in (32, 1):  # long postings compared in tasks too
+        monkeypatch.setattr(shingles, "PAIRED", paired)
+        assert sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == kept, paired
+    assert shingles.drop_near_copies(odd).columns == odd.columns and shingles.drop_near_copies(none).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {(r.node, r.root) for r in components.components(spark.createDataFrame(links, "a BIGINT, b BIGINT")).collect()}
