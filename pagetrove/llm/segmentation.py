@@ -90,21 +90,33 @@ class Segmenter:
         return alpha, edges
 
     def search(self, unit, n):
-        """The ``n`` best ``(score, ids)`` of a unit, best first: A* from the end with alpha as heuristic."""
+        """The ``n`` best ``(score, ids)`` of a unit, best first: A* from the end with alpha as heuristic.
+
+        Ties go to the smaller place, so that tied paths are finished one by one.
+        """
         alpha, edges = self._forward(unit)
         into = [[] for _ in range(len(unit) + 1)]
         for e in edges:
             into[e[1]].append(e)
-        heap, found, serial = [(-alpha[-1], 0, len(unit), 0.0, ())], [], 0
+        # Paths behind a place are chains of (ids, rest). The n best of a unit pass a place by its n best at most.
+        heap, found, serial, seen = [(-alpha[-1], len(unit), 0, 0.0, None)], [], 0, [0] * (len(unit) + 1)
         while heap and len(found) < n:
-            _, _, place, behind, path = heapq.heappop(heap)
+            _, place, _, behind, path = heapq.heappop(heap)
+            if seen[place] == n:
+                continue
+            seen[place] += 1
             if not place:
-                found.append((behind, path))
+                parts = []
+                while path:
+                    parts += path[0]
+                    path = path[1]
+                found.append((behind, tuple(parts)))
                 continue
             for start, _, score, ids in into[place]:
-                serial += 1
-                g = behind + score
-                heapq.heappush(heap, (-(g + alpha[start]), serial, start, g, ids + path))
+                if seen[start] < n:
+                    serial += 1
+                    g = behind + score
+                    heapq.heappush(heap, (-(g + alpha[start]), start, serial, g, (ids, path)))
         return found
 
     def _solve(self, unit):

@@ -338,6 +338,22 @@ def test_n_best_against_all_paths(segmenter, text):
     assert scores == [s for s, _ in got] and (scores[0], tuple(np.frombuffer(ids, np.int32))) in want
 
 
+def test_long_units(segmenter):
+    def scores(unit, n):
+        """N best sums of a unit from front to back."""
+        _, edges = segmenter._forward(unit)
+        best = [[0.0]] + [[] for _ in unit]
+        for start, to, score, _ in sorted(edges, key=lambda e: e[0]):
+            best[to] = sorted(best[to] + [b + score for b in best[start]], reverse=True)[:n]
+        return best[-1]
+    r = random.Random(5)
+    letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    for unit in ("-" * 10_000, "a" * 10_000, letters, letters[:300]):
+        found = segmenter.search(unit, 4)
+        assert [s for s, _ in found] == scores(unit, 4) and len({ids for _, ids in found}) == 4
+        assert all(b"".join(segmenter.bytes_of[i] for i in ids) == unit.encode() for _, ids in found)
+
+
 def test_encoded_rows_decode_to_their_texts(spark, odd, none):
     rows = segmentation.encode_rows(odd)
     back = segmentation.decode_rows(rows).collect()
