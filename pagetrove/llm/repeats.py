@@ -4,10 +4,11 @@ A repeated window of ``depth`` words is a node at that depth of the suffix tree
 is built in parts. Every window holds an anchor, the 8-word gram with the smallest hash in it; equal
 windows have equal anchors at equal places, so suffixes are split by anchor. Anchors that occur once
 are dropped before any text moves. What is left are contexts: the words of all windows that share one
-occurrence of an anchor, equal contexts counted once. They are dealt by anchor; an anchor with more
-contexts than fit a task is dealt by a longer prefix, its window's first words. Each subtree is grown
+occurrence of an anchor, equal contexts counted once. They are dealt by anchor. Each subtree is grown
 level by level from its suffixes; nodes that lose all company are cut, and what reaches ``depth`` in
-company is a repeat. The repeats are joined back to the places of their contexts.
+company is a repeat. An anchor with more contexts than fit a task takes the longest prefix at once: its
+windows are counted by all their words, so no task holds a group. The repeats are joined back to the
+places of their contexts.
 """
 
 import hashlib
@@ -188,21 +189,31 @@ def repeated_offsets(dealt: DataFrame, depth=DEPTH) -> DataFrame:
     return dealt.mapInArrow(run, "c1 BIGINT, c2 BIGINT, mask BIGINT")
 
 
-def deal(found: DataFrame, depth=DEPTH) -> DataFrame:
-    """Contexts with the key of their subtree: the anchor, or a longer prefix where an anchor has too many."""
-    heavy = keep_table(found.groupBy("gram").count().filter(F.col("count") > GROUP).select("gram"), "heavy")
-    columns = ["key", "c1", "c2", "lo", "hi", "n", "words"]
-    if heavy.isEmpty():
-        return found.withColumn("key", F.col("gram")).select(*columns)
-    flag = heavy.withColumn("heavy", F.lit(True))
-    marked = found.join(F.broadcast(flag) if heavy.count() <= 100_000 else flag, "gram", "left")
-    light = marked.filter("heavy IS NULL").withColumn("key", F.col("gram")).select(*columns)
+def heavy_anchors(found: DataFrame) -> DataFrame:
+    """``gram`` of the anchors with more contexts than one subtree may have."""
+    return keep_table(found.groupBy("gram").count().filter(F.col("count") > GROUP).select("gram"), "heavy")
+
+
+def deal(found: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Contexts with the key of their subtree, the anchor; without those of heavy anchors."""
+    light = found if heavy.isEmpty() else found.join(heavy, "gram", "left_anti")
+    return light.withColumn("key", F.col("gram")).select("key", "c1", "c2", "lo", "hi", "n", "words")
+
+
+def counted_windows(found: DataFrame, heavy: DataFrame, depth=DEPTH) -> DataFrame:
+    """``c1, c2, mask`` as repeated_offsets gives them, for the contexts of heavy anchors.
+
+    A window is named by 128 bits of hashed words. Equal windows are summed in every task before they
+    are moved; the links from windows to contexts are written, so the adaptive join can split a hot one.
+    """
     parts = F.split(F.col("words").cast("string"), " ")
-    each = marked.filter("heavy").withColumn("at", F.explode(F.sequence("lo", "hi"))).withColumn(
-        "window", F.slice(parts, F.col("hi") - F.col("at") + 1, F.lit(depth)))
-    longer = each.select(F.xxhash64("gram", "at", F.array_join(F.slice("window", 1, depth - GRAM), " ")).alias("key"), "c1", "c2",
-                         F.col("at").alias("lo"), F.col("at").alias("hi"), "n", F.array_join("window", " ").cast("binary").alias("words"))
-    return light.unionByName(longer)
+    each = found.join(heavy, "gram", "left_semi").select("c1", "c2", "n", "hi", parts.alias("parts"), F.explode(F.sequence("lo", "hi")).alias("at"))
+    window = F.array_join(F.slice("parts", F.col("hi") - F.col("at") + 1, F.lit(depth)), " ")
+    links = keep_table(each.select("c1", "c2", "n", "at", window.alias("window")).select(
+        "c1", "c2", "n", "at", F.xxhash64("window").alias("w1"), F.xxhash64(F.lit("window"), "window").alias("w2")), "windows")
+    again = keep_table(links.groupBy("w1", "w2").agg(F.sum("n").alias("met")).filter("met > 1").select("w1", "w2"), "again")
+    hit = links.join(again, ["w1", "w2"])
+    return hit.groupBy("c1", "c2").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
 
 
 def _kept(words, hits, depth):
@@ -233,8 +244,12 @@ def remove_repeats(docs: DataFrame, depth=DEPTH, with_text=False) -> DataFrame:
     wanted = lists.join(marked.select("uid", *AT), "uid")
     held = keep_table(rows.select(*AT, F.col("text").alias("__text")).join(wanted, AT).select("uid", "__text", "places"), "held")
     pieces = keep_table(contexts(held, depth), "contexts")
-    dealt = deal(pieces.filter("words IS NOT NULL"), depth).repartition("key").sortWithinPartitions("key")
-    masks = keep_table(repeated_offsets(dealt, depth).groupBy("c1", "c2").agg(F.bit_or("mask").alias("mask")), "masks")
+    found = pieces.filter("words IS NOT NULL")
+    heavy = heavy_anchors(found)
+    masks = repeated_offsets(deal(found, heavy).repartition("key").sortWithinPartitions("key"), depth)
+    if not heavy.isEmpty():
+        masks = masks.unionByName(counted_windows(found, heavy, depth))
+    masks = keep_table(masks.groupBy("c1", "c2").agg(F.bit_or("mask").alias("mask")), "masks")
     hits = pieces.filter("words IS NULL").select("uid", "place", "c1", "c2").join(masks, ["c1", "c2"])
     hits = hits.groupBy("uid").agg(F.collect_list(F.struct("place", "mask")).alias("hits"))
     schema = "uid BIGINT, n_removed BIGINT, kept_sha256 STRING, kept_text STRING"

@@ -391,6 +391,20 @@ def test_repeated_passages(spark, odd, none, monkeypatch, group):
     assert repeats.remove_repeats(none).count() == 0
 
 
+def test_a_passage_in_many_documents_makes_no_large_group(spark, monkeypatch):
+    line, sizes, grown = prose(77, 60), [], repeats.repeated_offsets
+
+    def watched(dealt, depth):
+        sizes.extend(r["count"] for r in dealt.groupBy("key").count().collect())
+        return grown(dealt, depth)
+    monkeypatch.setattr(repeats, "GROUP", 8)
+    monkeypatch.setattr(repeats, "repeated_offsets", watched)
+    texts = [f"{prose(1000 + i, 40)} {line} {prose(5000 + i, 40)}" for i in range(40)]
+    got = repeats.remove_repeats(docs_of(spark, texts))
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == repeats_expected(range(40), texts, 35)
+    assert max(sizes, default=0) <= 8
+
+
 # -- mixing -------------------------------------------------------------------------------------
 
 def targets_expected(sizes, share=1.5, most=2.0):
