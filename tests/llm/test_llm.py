@@ -253,6 +253,21 @@ def test_sketches_cross_range_borders(spark, monkeypatch):
     assert {(r.doc_id, r.next_text) for r in rows.collect()} == {(i, f"t{order[(k + 1) % len(order)]}") for k, i in enumerate(order)}
 
 
+def test_far_and_repeated_ids_are_cut_into_even_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 10)
+    ids = [*range(200), 10**18, -10**12, *[77] * 150, *[None] * 100, *[-(1 << 63)] * 30, (1 << 63) - 1]
+    rows = [(i, f"t{k}") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    tie = {t: xxhash.xxh64_intdigest(t, 42) for _, t in rows}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]] - (tie[r[1]] >> 63 << 64)))
+    next_of = {r: order[(k + 1) % len(order)][1] for k, r in enumerate(order)}
+    got = fingerprints.with_next(docs, ["text"])
+    assert {((r.doc_id, r.text), r.next_text) for r in got.collect()} == set(next_of.items()) and got.count() == len(rows)
+    # The window's ranges, as the plan deals them.
+    plan = docs.withColumn("__tie", F.xxhash64("text")).withColumn("b", fingerprints._bucket(*fingerprints._ranges(docs)))
+    assert max(r["count"] for r in plan.groupBy("b").count().collect()) <= 40
+
+
 @pytest.mark.parametrize("sizes", [(2,), (2, 4, 8)])
 def test_peeling_retries_larger(spark, monkeypatch, sizes):
     monkeypatch.setattr(fingerprints, "SIZES", sizes)
