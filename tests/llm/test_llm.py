@@ -213,6 +213,23 @@ def test_quality_keeps_clean_and_rejects_noise(spark, odd, none):
     assert quality.quality_report(none, labels).count() == 0
 
 
+def test_quality_of_a_rare_script_and_of_empty_languages(spark):
+    printable = "".join(map(chr, range(32, 127))) * 3
+    russian = "и в не на я быть он с что а по это она этот к но они мы весь который из у свой".split()
+    r = random.Random(3)
+    clean = [" ".join(r.choice(russian) for _ in range(80)) for _ in range(60)]
+    junk = ["".join(r.sample(t, len(t))) for t in clean[:20]]
+    english = [prose(i, 400) + printable for i in range(200)]
+    langs = ["en"] * 200 + ["ru"] * 80 + [""] * 5
+    docs = docs_of(spark, english + clean + junk + english[:5], langs=langs)
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(245), *range(280, 285)]], "doc_id BIGINT, quality INT, toxic INT")
+    got = quality.quality_report(docs, labels).collect()
+    assert Counter(x.doc_id for x in got) == Counter(range(285))
+    kept = {x.doc_id for x in got if x.kept}
+    assert not kept & set(range(260, 280)) and len(kept & set(range(200, 260))) >= 50
+    assert {x.doc_id for x in quality.keep_good(docs, labels).collect()} == kept
+
+
 # -- fingerprints -------------------------------------------------------------------------------
 
 def pieces(text):
