@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from pagetrove.llm import chat, exact_dedup, fingerprints, licenses, mixing, pitman_yor, quality, repeats, segmentation, simhash
+from pagetrove.llm import (chat, exact_dedup, fingerprints, licenses, mixing, neighbours, periods, pitman_yor, quality, repeats,
+                           segmentation, simhash, spelling)
 
 QUERIES = {}
 ORACLES = {}
@@ -78,3 +79,24 @@ def op9(spark, sf):
 def op10(spark, sf):
     return licenses.scan(_documents(spark, sf)).withColumns(
         {c: F.array_join(c, " ") for c in ("added", "missing")})
+
+
+@_query("op11_spelling_variants")
+def op11(spark, sf):
+    return spelling.variant_forms(_documents(spark, sf), typo=spelling.TYPO)
+
+
+@_query("op12_periodic_runs")
+def op12(spark, sf):
+    return periods.run_report(_documents(spark, sf))
+
+
+@_query("op13_top_vectors", """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op13(spark, sf):
+    return neighbours.top_matches(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
