@@ -59,7 +59,7 @@ def count_words(docs: DataFrame, min_length=MIN_LENGTH, typo=TYPO) -> DataFrame:
 
 
 class Side:
-    """Suffix ranks of one direction: how often a symbol precedes the suffixes below a rank."""
+    """Suffix ranks of one direction and the symbol in front of each suffix."""
 
     def __init__(self, text):
         n = len(text)
@@ -74,16 +74,13 @@ class Side:
             width *= 2
             if rank[self.order[-1]] == n - 1 or width >= n:
                 break
-        before = text[self.order - 1].astype(np.int64)  # the text is read as a ring
+        self.before = text[self.order - 1].astype(np.int64)  # the text is read as a ring
         self.span = n + 1
-        # Symbol and rank in one number: counting is a search among them.
-        self.keys = np.sort(before * self.span + np.arange(n))
-        sizes = np.bincount(text, minlength=int(text.max()) + 2)
+        # Symbol and rank in one number: counting a symbol below a rank is a search among them.
+        self.keys = np.sort(self.before * self.span + np.arange(n))
+        sizes = np.bincount(text)
         self.first = np.cumsum(sizes) - sizes
 
-    def count(self, symbol, rank):
-        return np.searchsorted(self.keys, symbol * self.span + rank) - self.first[symbol]
-
 
 class WordIndex:
     """Bidirectional FM-index over ``#word#word#...#``, closed by a symbol that occurs once."""
@@ -99,61 +96,64 @@ class WordIndex:
             text.append(1)
         text = np.array([*text, 0], np.int32)
         self.starts = np.flatnonzero(text == 1)[:-1]
+        self.size = len(text)
         self.ahead = Side(text)
         self.back = Side(np.concatenate([text[-2::-1], text[-1:]]))
 
-    def pattern(self, word):
-        return [self.code[c] for c in word]
-
-    def extend(self, left, lo, other, size, symbol):
-        """Intervals after one more symbol on the left (or the right): ``(lo, other, size)``.
+    def children(self, left, lo, other, size):
+        """All one-symbol extensions of some distinct intervals, on the left or the right.
 
-        ``lo`` is the rank in the direction that is extended, ``other`` in the opposite one. ``symbol``
-        is an array beside them; a symbol without code has no matches.
+        ``(key, lo, other, size)`` in order of key, which is the number of the interval times sigma
+        plus the symbol. ``lo`` is the rank in the extended direction, ``other`` in the opposite one,
+        where the matches with smaller symbols come first.
         """
         side = self.ahead if left else self.back
-        known = symbol >= 0
-        c = np.where(known, symbol, 0)
-        low, high = side.count(c, lo), side.count(c, lo + size)
-        # Matches with smaller symbols come first in the other direction.
-        smaller = np.zeros(len(lo), np.int64)
-        for s in range(self.sigma):
-            use = np.flatnonzero((c > s) & known & (high > low))
-            if len(use):
-                at = np.full(len(use), s)
-                smaller[use] += side.count(at, lo[use] + size[use]) - side.count(at, lo[use])
-        return side.first[c] + low, other + smaller, np.where(known, high - low, 0)
-
-    def within_one(self, patterns, exact, left):
-        """``(pattern, word)`` numbers: words that share the exact part and differ by one edit or none elsewhere.
-
-        A pattern is the word's symbols in the order of the search, its delimiter first and last;
-        the first ``exact`` of them are matched as they are.
+        owner = np.repeat(np.arange(len(lo)), size)
+        start = np.cumsum(size) - size
+        key = owner * self.sigma + side.before[lo[owner] + np.arange(len(owner)) - start[owner]]
+        key.sort()
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        keys, sizes = key[at], np.diff(np.append(at, len(key)))
+        node, symbol = keys // self.sigma, keys % self.sigma
+        low = np.searchsorted(side.keys, symbol * side.span + lo[node])  # first of the symbol plus those below lo
+        return keys, low, other[node] + at - start[node], sizes
+
+    def within_one(self, patterns, exact, left, drop, own):
+        """``(pattern, word)`` numbers: words that agree in the exact part and have one error elsewhere.
+
+        A pattern is a word's symbols in the order of the search, its delimiter first and last (-1 for
+        a symbol the index lacks); the first ``exact`` of them are matched as they are. The error is one
+        symbol of the pattern left out where ``drop`` is set, else one replaced. ``own`` tells whether
+        the pattern's word is indexed: an interval without other words is given up.
         """
         m = len(patterns)
         sizes = np.array([len(p) for p in patterns])
         ends = np.cumsum(sizes) - sizes
         flat = np.array([s for p in patterns for s in p], np.int64)
-        exact = np.asarray(exact)
-        n = self.ahead.span - 1
+        exact, drop, own = np.asarray(exact), np.asarray(drop, bool), np.asarray(own, np.int64)
         who, at, err = np.arange(m), np.zeros(m, np.int64), np.zeros(m, bool)
-        lo, other, size = np.zeros(m, np.int64), np.zeros(m, np.int64), np.full(m, n)
+        lo, other, size = np.zeros(m, np.int64), np.zeros(m, np.int64), np.full(m, self.size)
         found = []
         while len(who):
             symbol = flat[ends[who] + at]
-            new = [self._step(left, who, at + 1, err, lo, other, size, symbol)]
-            free = np.flatnonzero(~err & (at >= exact[who]))
-            if len(free):
-                w, a, l, o, z, s = who[free], at[free], lo[free], other[free], size[free], symbol[free]
-                wrong = np.ones(len(w), bool)
-                inner = s != 1
-                new.append((w[inner], a[inner] + 1, wrong[inner], l[inner], o[inner], z[inner]))  # a symbol less
-                for c in range(2, self.sigma):
-                    more = self._step(left, w, a, wrong, l, o, z, np.full(len(w), c))  # a symbol more
-                    new.append(more)
-                    swap = np.flatnonzero(inner & (s != c))  # another symbol
-                    if len(swap):
-                        new.append(self._step(left, w[swap], a[swap] + 1, wrong[swap], l[swap], o[swap], z[swap], np.full(len(swap), c)))
+            free = ~err & (at >= exact[who]) & (symbol != 1)
+            out = np.flatnonzero(free & drop[who])
+            new = [(who[out], at[out] + 1, np.ones(len(out), bool), lo[out], other[out], size[out])]
+            _, first, node = np.unique(lo * (self.size + 1) + size, return_index=True, return_inverse=True)
+            keys, c_lo, c_other, c_size = self.children(left, lo[first], other[first], size[first])
+            want = node * self.sigma + symbol
+            child = np.searchsorted(keys, want)
+            same = np.flatnonzero((symbol >= 0) & (child < len(keys)) & (keys[np.minimum(child, len(keys) - 1)] == want))
+            child = child[same]
+            new.append((who[same], at[same] + 1, err[same], c_lo[child], c_other[child], c_size[child]))
+            swap = np.flatnonzero(free & ~drop[who])
+            low = np.searchsorted(keys, node[swap] * self.sigma + 2)
+            many = np.searchsorted(keys, (node[swap] + 1) * self.sigma) - low
+            child = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+            swap = np.repeat(swap, many)
+            wrong = keys[child] != want[swap]
+            swap, child = swap[wrong], child[wrong]
+            new.append((who[swap], at[swap] + 1, np.ones(len(swap), bool), c_lo[child], c_other[child], c_size[child]))
             who, at, err, lo, other, size = (np.concatenate(p) for p in zip(*new, strict=True))
             done = at == sizes[who]
             hit = done & err
@@ -161,14 +161,10 @@ class WordIndex:
                 # Ranks in the forward text tell the places of the delimiters in front.
                 places = self.ahead.order[(lo if left else other)[hit]]
                 found.append(np.stack([who[hit], np.searchsorted(self.starts, places)], axis=1))
-            who, at, err, lo, other, size = (p[~done] for p in (who, at, err, lo, other, size))
+            go = ~done & (err | (size > own[who]))
+            who, at, err, lo, other, size = (p[go] for p in (who, at, err, lo, other, size))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
-    def _step(self, left, who, at, err, lo, other, size, symbol):
-        lo, other, size = self.extend(left, lo, other, size, symbol)
-        fine = size > 0
-        return who[fine], at[fine], err[fine], lo[fine], other[fine], size[fine]
-
 
 def _build(rows):
     """The indexed ones of one bucket's rows ``(kind, cut, chunk, word, n, indexed)``: their counts and the index."""
@@ -177,48 +173,52 @@ def _build(rows):
 
 
 def _ask(members, index, rows):
-    """``(word, near, n of near)`` of the rows' words."""
-    out = []
+    """``(word, near, n of near)`` of the rows' words.
+
+    A word asks for the words of its own length with a letter replaced and, where the cut is that of a
+    shorter word, for those that are itself without a letter; these pairs are given both ways.
+    """
+    out, held = [], set(index.words)
     for kind in ("head", "tail"):
-        asked = [(cut, chunk, word) for k, cut, chunk, word, _, _ in rows if k == kind]
+        asked = [row[1:5] for row in rows if row[0] == kind]
         for lo in range(0, len(asked), ASKED):
             part = asked[lo:lo + ASKED]
             patterns, exact = [], []
-            for cut, _, word in part:
+            for cut, _, word, _ in part:
                 codes = [index.code.get(c, -1) for c in word]
-                half = cut // 2 if kind == "head" else cut - cut // 2
                 patterns.append([1, *(codes if kind == "head" else codes[::-1]), 1])
-                exact.append(half + 1)
-            for at, number in index.within_one(patterns, exact, kind == "tail").tolist():
-                cut, chunk, word = part[at]
+                exact.append(1 + (cut // 2 if kind == "head" else cut - cut // 2))
+            drop, own = [len(word) > cut for cut, _, word, _ in part], [word in held for _, _, word, _ in part]
+            for at, number in index.within_one(patterns, exact, kind == "tail", drop, own).tolist():
+                cut, chunk, word, n = part[at]
                 near = index.words[number]
-                n = members.get((kind, cut, chunk, near))
-                # A pair counts once: where the cut is in the middle of the shorter word, by its head if heads agree.
-                if n is None or near == word or min(len(word), len(near)) != cut:
-                    continue
-                if kind == "tail" and word[:cut // 2] == near[:cut // 2]:
+                near_n = members.get((kind, cut, chunk, near))
+                # A pair whose heads agree counts among the heads only.
+                if near_n is None or (kind == "tail" and word[:cut // 2] == near[:cut // 2]):
                     continue
-                out.append((word, near, n))
+                out.append((word, near, near_n))
+                if len(word) > cut:
+                    out.append((near, word, n))
     return out
 
 
 def near_pairs(words: DataFrame, indexed=INDEXED) -> DataFrame:
     """``word, near, near_n`` for every ordered pair of ``words`` (``word, n``) that is one edit apart."""
-    total = words.count()
-    buckets = max(1, -(-4 * total // indexed))
+    buckets = max(1, -(-2 * words.count() // indexed))
     size = F.char_length("word")
     parts = words.withColumn("cut", F.explode(F.array(size, size - 1))).filter("cut > 0").withColumn("part", F.explode(F.array(
         F.struct(F.lit("head").alias("kind"), F.expr("left(word, cast(cut div 2 as int))").alias("key")),
         F.struct(F.lit("tail").alias("kind"), F.expr("right(word, cast(cut - cut div 2 as int))").alias("key")))))
-    parts = parts.select("word", "n", "cut", "part.*")
+    # A longer word only asks: it is indexed where the cut is its own.
+    parts = parts.select("word", "n", "cut", (F.col("cut") == size).alias("short"), "part.*")
     same = ["kind", "cut", "key"]
-    crowded = keep_table(parts.groupBy(*same).count().filter(F.col("count") > indexed).select(
+    crowded = keep_table(parts.filter("short").groupBy(*same).count().filter(F.col("count") > indexed).select(
         *same, F.ceil(F.col("count") / indexed).cast("int").alias("chunks")), "crowded")
     dealt = parts.join(crowded, same, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.pmod(F.xxhash64("word"), F.col("chunks")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select(F.pmod(F.xxhash64(*same, "chunk"), F.lit(buckets)).alias("bucket"),
-                         "kind", "cut", "chunk", "word", "n", (F.col("chunk") == F.col("own")).alias("indexed"))
+    dealt = dealt.select(F.pmod(F.xxhash64(*same, "chunk"), F.lit(buckets)).alias("bucket"), "kind", "cut", "chunk", "word", "n",
+                         (F.col("short") & (F.col("chunk") == F.col("own"))).alias("indexed"))
     dealt = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.desc("indexed"))
     names = ("kind", "cut", "chunk", "word", "n", "indexed")
 
@@ -229,11 +229,11 @@ def near_pairs(words: DataFrame, indexed=INDEXED) -> DataFrame:
             nonlocal rows, ready
             if ready is None:
                 ready = _build(rows)
-            out = _ask(*ready, rows)
+            out = _ask(*ready, rows) if ready[0] else []
             rows = []
-            return pa.RecordBatch.from_pylist(
-                [{"word": w, "near": m, "near_n": n} for w, m, n in out],
-                pa.schema([("word", pa.string()), ("near", pa.string()), ("near_n", pa.int64())]))
+            word, near, n = zip(*out, strict=True) if out else ([], [], [])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(word, pa.string()), pa.array(near, pa.string()), pa.array(n, pa.int64())], ["word", "near", "near_n"])
         for batch in batches:
             for bucket, *row in zip(*[batch.column(c).to_pylist() for c in ("bucket", *names)], strict=True):
                 if bucket != now:
