@@ -39,7 +39,17 @@ def keep_table(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: a cut that outlives executors."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.kept_path = path
+    return kept
+
+
+def drop_tables(*tables: DataFrame):
+    """Remove tables that keep_table wrote and nothing reads any more."""
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(table.kept_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def located(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrove.llm.common import keep_table
+from pagetrove.llm.common import drop_tables, keep_table
 
 
 def _both_ways(links):
@@ -36,6 +36,7 @@ def components(links: DataFrame) -> DataFrame:
         hooked = small.select(F.col("b").alias("a"), F.col("low").alias("b")).union(small.select("a", F.col("low").alias("b")))
         after = keep_table(hooked.filter("a != b").distinct(), "links")
         found = _mark(after)
+        drop_tables(now)
         now = after
         if found == mark:
             break

@@ -4,7 +4,7 @@ A text is a lattice of vocabulary pieces; its best segmentation is the path of t
 score. Forward Viterbi gives the best score up to every place, and these are exact heuristics for an
 A* search that runs backward from the end and yields segmentations in order of score. No piece spans
 the border of two units (space run plus a run of one character class), which is checked against the
-vocabulary, so units are searched on their own, each distinct one once per task, and the N best of a
+vocabulary, so units are searched on their own, each distinct one once per worker, and the N best of a
 text are the N best sums over its units. Characters without a piece are written as byte pieces.
 """
 
@@ -62,7 +62,7 @@ class Segmenter:
                 node = node.setdefault(c, {})
             node[""] = (scores[i], (i,))
         self.units = re.compile(unit_pattern([pieces[i] for i in normal])).findall
-        self.cache, self.lists = {}, {}
+        self.cache, self.older, self.lists = {}, {}, {}
 
     def _forward(self, unit):
         """Best score up to each place, and all edges ``(from, to, score, ids)`` by start."""
@@ -120,7 +120,10 @@ class Segmenter:
         return found
 
     def _solve(self, unit):
-        """``(best score, ids as bytes, loss of the second best)``."""
+        """``(best score, ids as bytes, loss of the second best, whether decoding gives the unit back)``."""
+        if unit in self.older:
+            got = self.cache[unit] = self.older[unit]
+            return got
         alpha, edges = self._forward(unit)
         end = len(unit)
         beta = [None] * end + [0.0]
@@ -136,41 +139,57 @@ class Segmenter:
                 ids += piece
             elif short < loss:
                 loss = short
-        got = (best, np.array(ids, np.int32).tobytes(), loss)
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
+        fine = b"".join([self.bytes_of[i] for i in ids]) == unit.encode("utf-8", "replace")
+        got = (best, np.array(ids, np.int32).tobytes(), loss, fine)
+        if len(self.cache) >= CACHE // 2:
+            self.cache, self.older = {}, self.cache
         self.cache[unit] = got
         return got
 
     def _solved(self, text):
         units = self.units(" " + text) if text else []
-        cache, solve = self.cache, self._solve
-        return units, [cache.get(u) or solve(u) for u in units]
+        get, solve = self.cache.get, self._solve
+        return units, [get(u) or solve(u) for u in units]
 
     def encode(self, text, n=N_BEST):
         """``(ids of the best segmentation as int32 bytes, scores of the n best)``."""
+        return self.checked(text, n)[:2]
+
+    def checked(self, text, n=N_BEST):
+        """As encode, and whether decoding gives the text back.
+
+        Pieces do not cross units, so a text comes back when all its units do.
+        """
         units, solved = self._solved(text)
-        best = sum(s[0] for s in solved)
-        return b"".join([s[1] for s in solved]), [best - loss for loss, _ in self._alternatives(units, solved, n)]
+        if not units:
+            return b"", [0.0], True
+        scores, ids, losses, fine = zip(*solved, strict=True)
+        best = sum(scores)
+        ranked = [best - loss for loss, _ in self._alternatives(units, losses, n)]
+        return b"".join(ids), ranked, all(fine) and "".join(units) == " " + text
 
     def n_best(self, text, n=N_BEST):
         """The n best as ``(score, ids)``."""
         units, solved = self._solved(text)
         best, out = sum(s[0] for s in solved), []
-        for loss, changes in self._alternatives(units, solved, n):
+        for loss, changes in self._alternatives(units, [s[2] for s in solved], n):
             parts = [s[1] for s in solved]
             for at, ids in changes:
                 parts[at] = np.array(ids, np.int32).tobytes()
             out.append((best - loss, np.frombuffer(b"".join(parts), np.int32).tolist()))
         return out
 
-    def _alternatives(self, units, solved, n):
+    def _alternatives(self, units, losses, n):
         """N smallest losses with the units they change.
 
         One of the n best only changes units among the n - 1 with the smallest loss. The pairs are
         gone through by a heap: from a choice, either one more step in its last unit, or the next unit.
         """
-        near = heapq.nsmallest(n - 1, ((s[2], at) for at, s in enumerate(solved) if s[2] != float("inf")))
+        short, least = np.array(losses, float), float("inf")
+        if 1 < n <= len(short):
+            least = np.partition(short, n - 2)[n - 2]
+        at = np.flatnonzero((short <= least) & (short < float("inf"))).tolist()
+        near = heapq.nsmallest(n - 1, zip(short[at].tolist(), at, strict=True))
         options = []
         for _, at in near:
             unit = units[at]
@@ -203,6 +222,13 @@ class Segmenter:
         return text[1:] if text.startswith(" ") else text
 
 
+def _segmenter(held):
+    """The segmenter of a broadcast vocabulary: made once, a worker keeps it and its solved units for later tasks."""
+    if "segmenter" not in held:
+        held["segmenter"] = Segmenter(held["vocabulary"])
+    return held["segmenter"]
+
+
 def encode_rows(docs: DataFrame, vocabulary=None, n=N_BEST, digests=False, keep=None) -> DataFrame:
     """``keep`` columns (all by default) with the encoding of every row's whole text.
 
@@ -213,22 +239,21 @@ def encode_rows(docs: DataFrame, vocabulary=None, n=N_BEST, digests=False, keep=
     are rows of their own.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(vocabulary or load_pieces())
+    sent = spark.sparkContext.broadcast({"vocabulary": vocabulary or load_pieces()})
     added = ["n_pieces", "piece_scores", "round_trip", "ids_sha256" if digests else "piece_ids"]
     kept = [c for c in (keep or docs.columns) if c not in added]
     types = ["BIGINT", "ARRAY<DOUBLE>", "BOOLEAN", "STRING" if digests else "ARRAY<INT>"]
     rows = docs.select(*kept, F.col("text").alias("__text"))
 
     def run(batches):
-        seg = Segmenter(sent.value)
+        seg = _segmenter(sent.value)
         for batch in batches:
             ids, scores, trips = [], [], []
             for text in batch.column("__text"):
-                text = text.as_py() or ""
-                got, ranked = seg.encode(text, n)
+                got, ranked, trip = seg.checked(text.as_py() or "", n)
                 ids.append(got)
                 scores.append(ranked)
-                trips.append(seg.decode(np.frombuffer(got, np.int32).tolist()) == text)
+                trips.append(trip)
             sizes = [len(b) // 4 for b in ids]
             if digests:
                 last = pa.array([hashlib.sha256(b).hexdigest() for b in ids], pa.string())
@@ -244,11 +269,11 @@ def encode_rows(docs: DataFrame, vocabulary=None, n=N_BEST, digests=False, keep=
 
 def decode_rows(rows: DataFrame, vocabulary=None, column="piece_ids") -> DataFrame:
     """``rows`` with ``decoded``, the text of their piece ids; null ids give null."""
-    sent = rows.sparkSession.sparkContext.broadcast(vocabulary or load_pieces())
+    sent = rows.sparkSession.sparkContext.broadcast({"vocabulary": vocabulary or load_pieces()})
     kept = [c for c in rows.columns if c != "decoded"]
 
     def run(batches):
-        seg = Segmenter(sent.value)
+        seg = _segmenter(sent.value)
         for batch in batches:
             texts = [None if x is None else seg.decode(x) for x in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string())], [*kept, "decoded"])
