@@ -1,6 +1,8 @@
 """Tag extraction from notes, the tag index and near-duplicate tags."""
 
 import difflib
+import json
+import math
 
 import pandas as pd
 import yaml
@@ -141,39 +143,43 @@ def _budget(longer, shorter):
     return cap - F.pmod(total - cap, F.lit(2))
 
 
-def _segments(keys: DataFrame) -> DataFrame:
-    """Longer side: the key cut into budget + 1 pieces for every partner length."""
-    lo = F.ceil(F.col("len") * (MIN_RATIO / (2 - MIN_RATIO)) - 1e-6).cast("int")
-    df = keys.select("key", F.col("len").alias("longer"),
-                     F.explode(F.sequence(F.greatest(lo, F.lit(1)), F.col("len"))).alias("shorter"))
-    df = df.withColumn("budget", _budget(F.col("longer"), F.col("shorter"))).filter("budget > 0")
-    df = df.select("*", F.explode(F.sequence(F.lit(0), F.col("budget"))).alias("piece"))
-    return df.withColumn("start", _cut(F.col("piece"))).withColumn(
-        "part", F.substr("key", F.col("start") + 1, _cut(F.col("piece") + 1) - F.col("start")))
-
-
-def _cut(i):
-    return F.floor(i * F.col("longer") / (F.col("budget") + 1)).cast("int")
-
-
-def _probes(keys: DataFrame) -> DataFrame:
-    """Shorter side: the substrings that could equal a piece of a longer partner."""
-    hi = F.floor(F.col("len") * ((2 - MIN_RATIO) / MIN_RATIO) + 1e-6).cast("int")
-    df = keys.select("key", F.col("len").alias("shorter"),
-                     F.explode(F.sequence(F.col("len"), hi)).alias("longer"))
-    df = df.withColumn("budget", _budget(F.col("longer"), F.col("shorter"))).filter("budget > 0")
-    df = df.select("*", F.explode(F.sequence(F.lit(0), F.col("budget"))).alias("piece"))
-    df = df.withColumn("start", _cut(F.col("piece"))).withColumn(
-        "width", _cut(F.col("piece") + 1) - F.col("start"))
-    gap = F.col("longer") - F.col("shorter")
-    back = F.floor((F.col("budget") + gap) / 2).cast("int")
-    ahead = F.floor((F.col("budget") - gap) / 2).cast("int")
-    first = F.greatest(F.lit(0), F.col("start") - back)
-    last = F.least(F.col("shorter") - F.col("width"), F.col("start") + ahead)
-    df = df.withColumn("first", first).withColumn("last", last).filter("first <= last")
-    df = df.select("*", F.explode(F.sequence("first", "last")).alias("at"))
-    return df.withColumn("part", F.substr("key", F.col("at") + 1, F.col("width"))).select(
-        "key", "shorter", "longer", "piece", "part").distinct()
+def _rarity(keys: DataFrame):
+    """Function from a two-letter gram to its rank by rarity.
+
+    Keys are made of digits and small letters, so there are 1,296 grams at most, however many keys.
+    """
+    span = ord("z") - ord("0") + 1
+
+    def place(gram):
+        return ((F.ascii(F.substring(gram, 1, 1)) - ord("0")) * span + F.ascii(F.substring(gram, 2, 1)) - ord("0")).cast("int")
+    counts = keys.select(F.explode(_bigrams()).alias("gram")).groupBy(place("gram").alias("place")).count().collect()
+    order = [0] * (span * span)
+    for rank, row in enumerate(sorted(counts, key=lambda r: (r["count"], r["place"]))):
+        order[row["place"]] = rank
+    ranks = F.from_json(F.lit(json.dumps(order)), "array<int>")
+    return lambda gram: F.get(ranks, place(gram))
+
+
+def _bigrams():
+    return F.transform(F.sequence(F.lit(1), F.col("len") - 1), lambda i: F.substr("key", i, F.lit(2)))
+
+
+def _postings(keys: DataFrame) -> DataFrame:
+    """``key, len, nth, gram, pos``: the rarest grams of every key, about half of them, rarest first.
+
+    Within budget D a longer key loses (3 D + gap) / 2 of its grams at most, which is under 0.5218 of
+    its length for any partner; one gram more must be in common.
+    """
+    rarity = _rarity(keys)
+    ordered = F.array_sort(F.transform(_bigrams(), lambda g, i: F.struct(rarity(g).alias("rank"), i.alias("pos"), g.alias("gram"))))
+    most = F.floor(F.col("len") * 0.5218).cast("int") + 2
+    return keys.select("key", "len", F.posexplode(F.slice(ordered, F.lit(1), most)).alias("nth", "g")).select(
+        "key", "len", "nth", "g.gram", "g.pos")
+
+
+def _length_class():
+    """Keys whose lengths can pair are in one class or in neighbouring ones."""
+    return F.floor(F.log(F.col("len")) / math.log((2 - MIN_RATIO) / MIN_RATIO + 1e-9)).cast("int")
 
 
 @pandas_udf(DoubleType())
@@ -189,22 +195,28 @@ def match_ratio(candidate: pd.Series, word: pd.Series) -> pd.Series:
 def similar_keys(keys: DataFrame) -> DataFrame:
     """All ordered pairs of distinct keys ``(key, other, ratio)`` with ratio >= 0.85.
 
-    A pair within budget b leaves at least one of the b + 1 pieces of its longer key untouched
-    in the shorter one, so an equi-join on (lengths, piece, text) finds every pair without
-    comparing all keys. Within a popular piece the join keeps only pairs whose edit distance is
-    within budget; the rest are dropped inside the join and never shuffled.
+    Keys meet in an inverted index of positional bigrams. Every key is posted under its rarest bigrams
+    only, as many as a pair within budget could lose and one more, so two such keys share a posting;
+    the number of rows is linear in a key's length. Rank, position and length bounds of the pair and
+    the edit distance are checked inside the join, before anything is shuffled on.
     """
-    keys = keys.select("key").distinct().withColumn("len", F.char_length("key"))
-    long_side = _segments(keys).alias("a")
-    short_side = _probes(keys).alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("longer", "shorter", "piece", "part")]
-    near = F.levenshtein(F.col("a.key"), F.col("b.key")) <= F.col("a.budget")
-    pairs = long_side.join(short_side, on[0] & on[1] & on[2] & on[3] & near
-                           & (F.col("a.key") != F.col("b.key"))) \
+    keys = keys.select("key").distinct().withColumn("len", F.char_length("key")).filter("len > 1")
+    posted = _postings(settle(keys)).withColumn("class", _length_class())
+    a = posted.withColumn("class", F.explode(F.array("class", F.col("class") + 1))).alias("a")
+    b = posted.alias("b")
+    m, n = F.col("a.len"), F.col("b.len")
+    gap, budget = n - m, _budget(n, m)
+    shift = F.col("b.pos") - F.col("a.pos")
+    # Grams lost by the shorter and the longer key, and how far letters before a common gram move it.
+    near = (budget > 0) & (2 * F.col("a.nth") <= 3 * budget - gap) & (2 * F.col("b.nth") <= 3 * budget + gap) \
+        & (2 * shift <= budget + gap) & (-2 * shift <= budget - gap)
+    once = (m < n) | ((m == n) & (F.col("a.key") < F.col("b.key")))
+    close = F.levenshtein(F.col("a.key"), F.col("b.key")) <= budget
+    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.class") == F.col("b.class")) & once & near & close) \
         .select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct()
     both = pairs.select(F.explode(F.array(
         F.struct(F.col("x").alias("key"), F.col("y").alias("other")),
-        F.struct(F.col("y").alias("key"), F.col("x").alias("other")))).alias("p")).select("p.*").distinct()
+        F.struct(F.col("y").alias("key"), F.col("x").alias("other")))).alias("p")).select("p.*")
     return both.withColumn("ratio", match_ratio(F.col("other"), F.col("key"))).filter(F.col("ratio") >= MIN_RATIO)
 
 

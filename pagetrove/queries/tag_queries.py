@@ -68,12 +68,41 @@ def same_key_tags(spark, sf):
     return df.select("tag", F.array_join("same_key", ",").alias("same_key"))
 
 
-@query("f5_close_tags")
+def _block(a, b, alo, ahi, blo, bhi):
+    """Longest common block of two slices as ``{k, i, j}``, the first one in a, then in b."""
+    same = f"len(list_filter(range(1, least({ahi} - i, {bhi} - j) + 1), lambda q: {a}[i + 1:i + q] = {b}[j + 1:j + q]))"
+    inner = f"list_transform(range({blo}, {bhi}), lambda j: {{'k': {same}, 'i': -i, 'j': -j}})"
+    return f"list_max(flatten(list_transform(range({alo}, {ahi}), lambda i: {inner})))"
+
+
+def _close_sql(tags):
+    """Near-duplicates of every tag of the table ``tags(tag)``: the matching ratio worked out block by block."""
+    return with_inputs("note_tag_rows").replace("WITH", "WITH RECURSIVE", 1) + f""",
+tags AS ({tags}), keyed AS (SELECT tag, regexp_replace(lower(tag), '[^a-z0-9]', '', 'g') AS k FROM tags),
+ks AS (SELECT k, max(tag) AS shown FROM keyed WHERE k <> '' GROUP BY k),
+cand AS (SELECT a.k AS w, b.k AS c FROM ks a JOIN ks b ON a.k <> b.k AND length(a.k) * 0.85 <= length(b.k) * 1.15
+  AND length(b.k) * 0.85 <= length(a.k) * 1.15 AND levenshtein(a.k, b.k) <= 0.15 * (length(a.k) + length(b.k))),
+seg AS (SELECT w, c, {_block('c', 'w', '0', 'length(c)', '0', 'length(w)')} AS m, 0 AS alo, length(c) AS ahi, 0 AS blo, length(w) AS bhi FROM cand
+  UNION ALL SELECT w, c, {_block('c', 'w', 'n.alo', 'n.ahi', 'n.blo', 'n.bhi')}, n.alo, n.ahi, n.blo, n.bhi FROM (
+    SELECT w, c, unnest([{{'alo': alo, 'ahi': -m.i, 'blo': blo, 'bhi': -m.j}},
+      {{'alo': m.k - m.i, 'ahi': ahi, 'blo': m.k - m.j, 'bhi': bhi}}]) AS n FROM seg WHERE m.k > 0) t WHERE n.alo < n.ahi AND n.blo < n.bhi),
+ratios AS (SELECT w, c, 2.0 * sum(m.k) / (length(w) + length(c)) AS ratio FROM seg GROUP BY w, c),
+ranked AS (SELECT w, c, row_number() OVER (PARTITION BY w ORDER BY ratio DESC, c DESC) AS r FROM ratios WHERE ratio >= 0.85),
+found AS (SELECT a.tag, 0 AS part, row_number() OVER (PARTITION BY a.tag ORDER BY b.tag) AS r, b.tag AS near
+    FROM keyed a JOIN keyed b ON a.k = b.k AND a.tag <> b.tag WHERE a.k <> ''
+  UNION ALL SELECT a.tag, 1, r, shown FROM keyed a JOIN ranked ON a.k = w JOIN ks ON ks.k = c WHERE r <= 3),
+near AS (SELECT tag, near, row_number() OVER (PARTITION BY tag ORDER BY part, r) AS nth FROM found)
+"""
+
+
+@query("f5_close_tags", _close_sql("SELECT DISTINCT tag FROM note_tag_rows")
+       + "SELECT tag, string_agg(near, ',' ORDER BY nth) AS matches FROM near WHERE nth <= 3 GROUP BY tag")
 def close_tags(spark, sf):
     return T.close_tags(_counts(spark, sf)).select("tag", F.array_join("matches", ",").alias("matches"))
 
 
-@query("f5_swap_suggestions")
+@query("f5_swap_suggestions", _close_sql("SELECT tag FROM note_tag_rows UNION SELECT w1 || 's' FROM note_words WHERE w1 <> ''") + """
+SELECT tag, near AS suggestion FROM near WHERE nth = 1 AND tag IN (SELECT w1 || 's' FROM note_words WHERE w1 <> '')""")
 def swap_suggestions(spark, sf):
     words = source(spark, sf, "note_words").select(F.concat("w1", F.lit("s")).alias("tag")).filter("tag <> 's'")
     return T.swap_pairs(words, _counts(spark, sf))

@@ -134,6 +134,23 @@ def test_similar_keys_on_long_keys(spark):
     assert got == brute_pairs(keys)
 
 
+def test_long_keys_have_few_postings(spark):
+    keys = spark.createDataFrame([("repeatedly" * k,) for k in (4, 8, 16, 20)], "key string").withColumn("len", F.char_length("key"))
+    got = {r["len"]: r["count"] for r in T._postings(keys).groupBy("len").count().collect()}
+    assert all(n <= 0.53 * size + 3 for size, n in got.items()) and len(got) == 4
+
+
+def test_common_grams_reach_every_pair():
+    for m in range(2, 250):
+        for n in range(m, 340):
+            budget = int((m + n) * 0.15 + 1e-6)
+            budget -= (m + n - budget) % 2
+            if budget > 0 and n - m <= budget:
+                short, long = (3 * budget - n + m) / 2, (3 * budget + n - m) / 2
+                assert m - 1 - short >= 1 and n - 1 - long >= 1
+                assert short + 1 <= int(m * 0.5218) + 2 and long + 1 <= int(n * 0.5218) + 2
+
+
 def test_close_tags_prefers_same_key(spark):
     df = spark.createDataFrame([("air-fryer",), ("airfryer",), ("Air_Fryer",), ("airfryers",), ("bread",)], "tag string")
     got = {r.tag: r.matches for r in T.close_tags(df.withColumn("n", F.lit(1))).collect()}
