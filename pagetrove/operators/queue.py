@@ -5,8 +5,7 @@ counters "X of N" of the current streak. Replaying it command by command would p
 in one task; every part of its state is a running sum or maximum instead:
 
 * active: the last card shown, unless its URL was cleared later;
-* copies of a URL waiting: every command maps w to max(w + a, b), and such maps compose, so
-  w = S + max(0, running max of b - S) with S the running sum of a;
+* copies of a URL waiting: every command maps w to max(w + a, b), and such maps compose;
 * waiting total, streak number and streak counters: running sums.
 """
 
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetrove.lineage import settle
-from pagetrove.skew import last_per_key, neighbours_per_key, order_bucket, running_per_key
+from pagetrove.skew import last_per_key, level_per_key, neighbours_per_key, order_bucket, running_per_key
 
 CLEARING = ["resolve", "skip", "forget", "clear"]
 
@@ -43,13 +42,8 @@ def replay(log: DataFrame) -> DataFrame:
     enqueue = (c == "enqueue") & ~F.col("was_active")
     step = F.when(c.isin("carded", "uncarded", "forget"), -1).when(c == "skip", 1).otherwise(0)
     floor = F.when(enqueue | (c == "skip"), 1).otherwise(0)
-    df = df.withColumn("a", step).withColumn("b", floor)
-    df = run(df, qu, totals={"s": F.col("a")})
-    lift = F.col("b") - F.col("s")
-    df = run(df.withColumn("lift", lift), qu, maxima={"top_before": F.col("lift")}, include_current=False)
-    after = F.col("s") + F.greatest(F.lit(0), F.coalesce("top_before", F.lit(0)), F.col("lift"))
-    before = F.col("s") - F.col("a") + F.greatest(F.lit(0), F.coalesce("top_before", F.lit(0)))
-    df = df.withColumn("copies", after).withColumn("delta", after - before).drop("a", "b", "s", "lift", "top_before")
+    df = settle(level_per_key(df, qu, "seq", step, floor, "copies_before", "copies", ranges=ranges))
+    df = df.withColumn("delta", F.col("copies") - F.col("copies_before")).drop("copies_before")
 
     freed = c.isin(*CLEARING) & F.col("was_active")
     mark = F.when((c == "carded") | freed, F.struct(

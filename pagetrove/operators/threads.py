@@ -7,29 +7,56 @@ from pagetrove.functions import text as X
 from pagetrove.lineage import settle
 from pagetrove.skew import top_n_per_key
 
-def ancestor_ids(comments: DataFrame) -> DataFrame:
-    """``(post_id, id, ancestors)`` with ancestor ids from the root down; roots have none.
 
-    Pointer doubling on narrow id rows: each round joins the rows that still have something above
-    them to the chains known so far, so a thread of depth d takes log2(d) rounds. A reply whose
-    parent is missing counts as a root, and so does a comment on or under a cycle of parents: what is
-    still climbing after as many steps as the largest post has comments never ends.
+def _jumps(ids: DataFrame):
+    """Tables ``(post_id, id, up)`` with the comment 1, 2, 4, ... steps above, and the comments that never end.
+
+    Narrow rows only, fewer in every round. A comment that still has something above it after as many
+    steps as its own post has comments is on or under a cycle.
     """
-    ids = comments.select("post_id", "id", "parent_id")
-    most = ids.groupBy("post_id").count().agg(F.max("count")).first()[0] or 0
-    known = ids.select("post_id", F.col("id").alias("up"), F.lit(True).alias("known"))
-    linked = ids.withColumnRenamed("parent_id", "up").join(known, ["post_id", "up"], "left")
-    up = F.when(F.col("known"), F.col("up"))
-    none = F.array().cast("array<string>")
-    chains = settle(linked.select("post_id", "id", up.alias("up"), F.when(up.isNotNull(), F.array(up)).otherwise(none).alias("path")))
-    steps = 1
-    while steps < most and not (open_rows := chains.filter("up IS NOT NULL")).isEmpty():
-        above = chains.select("post_id", F.col("id").alias("up"), F.col("up").alias("next_up"), F.col("path").alias("more"))
-        stepped = open_rows.join(above, ["post_id", "up"]).select(
-            "post_id", "id", F.col("next_up").alias("up"), F.concat("path", "more").alias("path"))
-        chains = settle(chains.filter("up IS NULL").unionByName(stepped))
+    sizes = ids.groupBy("post_id").agg(F.count("*").alias("size"))
+    there = ids.select("post_id", F.col("id").alias("up"))
+    jump = settle(ids.select("post_id", "id", F.col("parent_id").alias("up")).join(there, ["post_id", "up"]).join(
+        sizes, "post_id").select("post_id", "id", "up", "size"))
+    tables, endless, steps = [], [], 1
+    while not jump.isEmpty():
+        endless.append(jump.filter(F.col("size") <= steps).select("post_id", "id"))
+        jump = jump.filter(F.col("size") > steps)
+        tables.append(jump.select("post_id", "id", "up"))
+        above = jump.select("post_id", F.col("id").alias("up"), F.col("up").alias("next"))
+        jump = settle(jump.join(above, ["post_id", "up"]).select("post_id", "id", F.col("next").alias("up"), "size"))
         steps *= 2
-    return chains.select("post_id", "id", F.when(F.col("up").isNull(), F.reverse("path")).otherwise(none).alias("ancestors"))
+    return tables, endless
+
+
+def ancestors_of(comments: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``(post_id, id, ref, above)`` for every ancestor ``ref`` of the ``chosen`` comments, ``above`` steps up.
+
+    Only the chosen ones are climbed, from the longest jump to the shortest: a row either stays or goes
+    up as well, so each ancestor is met once and no chain is stored. A reply whose parent is missing
+    counts as a root, and so does a comment on or under a cycle of parents.
+    """
+    tables, endless = _jumps(comments.select("post_id", "id", "parent_id"))
+    rows = chosen.select("post_id", "id").distinct()
+    for never in endless:
+        rows = rows.join(never, ["post_id", "id"], "left_anti")
+    rows = rows.select("post_id", "id", F.col("id").alias("ref"), F.lit(0).alias("above"))
+    for k in range(len(tables) - 1, -1, -1):
+        jump = tables[k].select("post_id", F.col("id").alias("ref"), "up")
+        met = rows.join(jump, ["post_id", "ref"], "left")
+        here, up = F.struct("ref", "above"), F.struct(F.col("up").alias("ref"), (F.col("above") + 2**k).alias("above"))
+        both = F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, up))
+        rows = met.select("post_id", "id", F.explode(both).alias("r")).select("post_id", "id", "r.*")
+    return rows.filter("above > 0")
+
+
+def ancestor_ids(comments: DataFrame) -> DataFrame:
+    """``(post_id, id, ancestors)`` of every comment, ancestor ids from the root down; roots have none."""
+    ids = settle(comments.select("post_id", "id", "parent_id"))
+    chains = ancestors_of(ids, ids).groupBy("post_id", "id").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct((-F.col("above")).alias("at"), "ref"))), lambda s: s["ref"]).alias("ancestors"))
+    return ids.select("post_id", "id").join(chains, ["post_id", "id"], "left").select(
+        "post_id", "id", F.coalesce("ancestors", F.array().cast("array<string>")).alias("ancestors"))
 
 
 def top_comments(comments: DataFrame, posts: DataFrame, n=5, op_nested=5, include_op=True) -> DataFrame:
@@ -53,11 +80,10 @@ def top_comments(comments: DataFrame, posts: DataFrame, n=5, op_nested=5, includ
         shown = shown.unionByName(top.filter("is_op").select(*cols)).distinct()
     nested = top_n_per_key(narrow.filter("parent_id IS NOT NULL AND is_op"), ["post_id"], ["pos"], op_nested).select(*cols)
     chosen = settle(shown.withColumn("section", F.lit(0)).unionByName(nested.withColumn("section", F.lit(1))))
-    # Only posts that show a reply are climbed.
+    # Only posts that show a reply are climbed, and only from there.
     replies = chosen.filter("section = 1").select("post_id", "id")
-    climbed = ancestor_ids(narrow.join(replies.select("post_id").distinct(), "post_id", "left_semi"))
-    up = replies.join(climbed, ["post_id", "id"]).select(
-        "post_id", "id", F.posexplode("ancestors").alias("depth", "ref"))
+    climbed = ancestors_of(narrow.join(replies.select("post_id").distinct(), "post_id", "left_semi"), replies)
+    up = climbed.select("post_id", "id", (F.lit(2**31 - 1) - F.col("above")).alias("depth"), "ref")
     refs = chosen.select("post_id", "id", F.lit(-1).alias("depth"), F.col("id").alias("ref")).unionByName(up)
     entry = F.struct(F.col("ref").alias("id"), "author", "score", "text", "permalink", "is_op")
     scored = refs.join(narrow.select("post_id", F.col("id").alias("ref"), "score", "is_op"), ["post_id", "ref"])

@@ -2,13 +2,13 @@
 
 import json
 import math
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 ROWS_PER_RANGE = 1_000_000
+QUANTILES = 256  # taken along with the count; more ranges than that take a second look
+PART = ["_key", "_range"]
 
 
 def _others(df, keys):
@@ -50,9 +50,15 @@ def order_bucket(df: DataFrame, order_col, rows_per_range=None):
     if isinstance(df.schema[order_col].dataType, TimestampNTZType):
         value = value.cast("timestamp")
     value = value.cast("double")
-    ranges = max(2, -(-df.count() // (rows_per_range or ROWS_PER_RANGE)))
-    qs = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(df.agg(F.percentile_approx(value, qs, min(2**31 - 1, 10 * max(ranges, 100)))).first()[0] or []))
+    size, fine = rows_per_range or ROWS_PER_RANGE, [i / QUANTILES for i in range(1, QUANTILES)]
+    n, cuts = df.agg(F.count("*"), F.percentile_approx(value, fine, 10 * QUANTILES)).first()
+    ranges, cuts = max(2, -(-n // size)), cuts or []
+    if ranges <= QUANTILES:
+        cuts = [cuts[i * QUANTILES // ranges - 1] for i in range(1, ranges)] if cuts else []
+    else:
+        fine = [i / ranges for i in range(1, ranges)]
+        cuts = df.agg(F.percentile_approx(value, fine, min(2**31 - 1, 10 * ranges))).first()[0] or []
+    cuts = sorted(set(cuts))
     width = max(1, math.isqrt(len(cuts)))
     chunks = [cuts[i:i + width] for i in range(0, len(cuts), width)]
     ends = F.from_json(F.lit(json.dumps([c[-1] for c in chunks])), "array<double>")
@@ -76,26 +82,56 @@ def running_per_key(df: DataFrame, keys, order_col, tie_cols=(), totals=None, ma
     if isinstance(ranges, str):
         ranges = order_bucket(df, order_col)
     frame = (Window.unboundedPreceding, Window.currentRow if include_current else -1)
-    ranged = df.withColumn("_range", ranges)
-    part = [*keys, "_range"]
-    local = Window.partitionBy(*part).orderBy(order_col, *tie_cols).rowsBetween(*frame)
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    per_range = ranged.groupBy(*part).agg(*[F.sum(e).alias(f"_a_{n}") for n, e in totals.items()],
+    ranged = _ranged(df, keys, ranges)
+    local = Window.partitionBy(*PART).orderBy(order_col, *tie_cols).rowsBetween(*frame)
+    per_range = ranged.groupBy(*PART).agg(*[F.sum(e).alias(f"_a_{n}") for n, e in totals.items()],
                                           *[F.max(e).alias(f"_a_{n}") for n, e in maxima.items()])
-    earlier = per_range.select(*part, *[F.sum(f"_a_{n}").over(before).alias(f"_o_{n}") for n in totals],
-                               *[F.max(f"_a_{n}").over(before).alias(f"_o_{n}") for n in maxima])
+    earlier = per_range.select(*PART, *[F.sum(f"_a_{n}").over(_before()).alias(f"_o_{n}") for n in totals],
+                               *[F.max(f"_a_{n}").over(_before()).alias(f"_o_{n}") for n in maxima])
     scanned = ranged.withColumns({
         **{f"_l_{n}": F.sum(e).over(local) for n, e in totals.items()},
         **{f"_l_{n}": F.max(e).over(local) for n, e in maxima.items()}})
-    joined = scanned.alias("s").join(earlier.alias("o"), reduce(
-        lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in part]))
     zero = F.lit(0)
-    return joined.select(
-        *[f"s.{c}" for c in df.columns],
+    return scanned.join(earlier, PART).select(
+        *df.columns,
         *[(F.coalesce(f"_l_{n}", zero) + F.coalesce(f"_o_{n}", zero)).alias(n) for n in totals],
         *[F.greatest(f"_l_{n}", f"_o_{n}").alias(n) for n in maxima])
 
 
+def _before():
+    """The earlier ranges of a key."""
+    return Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _ranged(df, keys, ranges):
+    """``df`` with its range and its keys in one column, where nulls are equal: windows, sums and joins
+    of a range then share one partitioning and the rows are shuffled once."""
+    return df.withColumns({"_key": F.struct(*[F.col(k) for k in keys]), "_range": ranges})
+
+
+def level_per_key(df: DataFrame, keys, order_col, step, floor, before, after, tie_cols=(), ranges="auto") -> DataFrame:
+    """Adds the level per key ``before`` and ``after`` each row, which takes it to max(level + step, floor).
+
+    The level starts at 0. Such maps compose to maps of the same kind, so a range is one map, (sum of its
+    steps, highest floor carried to its end), and the level at its start follows from the maps of the
+    earlier ranges, one small row each.
+    """
+    if isinstance(ranges, str):
+        ranges = order_bucket(df, order_col)
+    ranged = _ranged(df, keys, ranges).withColumns({"_step": step, "_floor": floor})
+    local = Window.partitionBy(*PART).orderBy(order_col, *tie_cols)
+    upto, past = (local.rowsBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, -1))
+    scanned = ranged.withColumn("_sum", F.sum("_step").over(upto)).withColumn("_lift", F.col("_floor") - F.col("_sum"))
+    maps = scanned.groupBy(*PART).agg(F.sum("_step").alias("_all"), F.max("_lift").alias("_top"))
+    maps = maps.withColumn("_sums", F.coalesce(F.sum("_all").over(_before()), F.lit(0)))
+    highest = F.max(F.col("_top") - F.col("_sums")).over(_before())
+    starts = maps.select(*PART, (F.col("_sums") + F.greatest(F.lit(0), highest)).alias("_start"))
+    tops = scanned.withColumns({"_upto": F.max("_lift").over(upto), "_past": F.max("_lift").over(past)})
+    return tops.join(starts, PART).select(
+        *df.columns, (F.col("_sum") - F.col("_step") + F.greatest("_start", "_past")).alias(before),
+        (F.col("_sum") + F.greatest("_start", "_upto")).alias(after))
+
+
 def neighbours_per_key(df: DataFrame, keys, order_col, value_col, tie_cols=()) -> DataFrame:
     """Adds ``prev_value`` and ``next_value`` of ``value_col`` per key in order.
 
@@ -104,22 +140,18 @@ def neighbours_per_key(df: DataFrame, keys, order_col, value_col, tie_cols=()) -
     """
     order = [order_col, *tie_cols]
     ranges = order_bucket(df, order_col)
-    ranged = df.withColumn("_range", ranges)
-    part = [*keys, "_range"]
-    local = Window.partitionBy(*part).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy("_range")
+    ranged = _ranged(df, keys, ranges)
+    local = Window.partitionBy(*PART).orderBy(*order)
+    across = Window.partitionBy("_key").orderBy("_range")
     edge = F.struct(*order)
-    ends = ranged.groupBy(*part).agg(F.min_by(value_col, edge).alias("_first"),
+    ends = ranged.groupBy(*PART).agg(F.min_by(value_col, edge).alias("_first"),
                                      F.max_by(value_col, edge).alias("_last"))
-    ends = ends.select(*part, F.lead("_first").over(across).alias("_after"),
+    ends = ends.select(*PART, F.lead("_first").over(across).alias("_after"),
                        F.lag("_last").over(across).alias("_before"))
-    scanned = ranged.withColumn("_lag", F.lag(value_col).over(local)).withColumn(
-        "_lead", F.lead(value_col).over(local)).withColumn("_is_first", F.row_number().over(local) == 1)
-    scanned = scanned.withColumn("_is_last", F.lead(F.lit(True)).over(local).isNull())
-    joined = scanned.alias("s").join(
-        ends.alias("o"),
-        reduce(lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in part]))
-    return joined.select(
-        *[f"s.{c}" for c in df.columns],
+    scanned = ranged.withColumns({
+        "_lag": F.lag(value_col).over(local), "_lead": F.lead(value_col).over(local),
+        "_is_first": F.row_number().over(local) == 1, "_is_last": F.lead(F.lit(True)).over(local).isNull()})
+    return scanned.join(ends, PART).select(
+        *df.columns,
         F.when(F.col("_is_first"), F.col("_before")).otherwise(F.col("_lag")).alias("prev_value"),
         F.when(F.col("_is_last"), F.col("_after")).otherwise(F.col("_lead")).alias("next_value"))

@@ -36,6 +36,25 @@ def test_running_sums_with_one_hot_key(spark):
         assert got[i] == seen[k]
 
 
+def test_levels_with_a_hot_key_and_null_keys(spark):
+    r = random.Random(8)
+    rows = [(r.choice([None, "a", "a", "b"]), i, r.choice([-2, -1, 0, 1]), r.choice([0, 0, 0, 1, 3])) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, i int, step int, floor int")
+    got = {x.i: (x.x, x.y) for x in skew.level_per_key(df, ["k"], "i", F.col("step"), F.col("floor"), "x", "y").collect()}
+    level = {}
+    for k, i, step, floor in rows:
+        w = level.get(k, 0)
+        level[k] = max(w + step, floor)
+        assert got[i] == (w, level[k])
+    assert len(got) == len(rows)
+
+
+def test_one_exchange_of_the_rows(spark):
+    df = spark.range(900).select((F.col("id") % 3).alias("k"), "id", F.lit("wide").alias("wide"))
+    plan = skew.running_per_key(df, ["k"], "id")._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(_key" in line and "REPARTITION" not in line for line in plan.splitlines()) <= 4
+
+
 def test_neighbours_cross_ranges(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("k"), "id")
     for r in skew.neighbours_per_key(df, ["k"], "id", "id").collect():
@@ -127,6 +146,17 @@ def test_frontier_rules(spark):
     assert {r.line_no for r in kept.collect()} == {1, 2, 3, 4}
 
 
+def test_only_chosen_comments_are_climbed(spark):
+    n = 10_000
+    rows = [("p", str(i), str(i - 1) if i else None) for i in range(n)] + [("c", "a", "b"), ("c", "b", "a"), ("c", "d", "a"), ("c", "e", None)]
+    comments = spark.createDataFrame(rows, "post_id string, id string, parent_id string")
+    chosen = spark.createDataFrame([("p", str(n - 1)), ("p", "2"), ("p", "0"), ("c", "d"), ("c", "e"), ("x", "1")], "post_id string, id string")
+    got = threads.ancestors_of(comments, chosen).collect()
+    deep = sorted((r.above, r.ref) for r in got if r.id == str(n - 1))
+    assert deep == [(k, str(n - 1 - k)) for k in range(1, n)]
+    assert sorted((r.id, r.ref, r.above) for r in got if r.id != str(n - 1)) == [("2", "0", 2), ("2", "1", 1)]
+
+
 def test_ancestors_of_a_deep_thread_and_a_cycle(spark):
     rows = [("p", str(i), str(i - 1) if i else None) for i in range(50)] + [("p", "lost", "gone")]
     rows += [("p", "a", "c"), ("p", "b", "a"), ("p", "c", "b"), ("p", "under", "a"), ("p", "self", "self"), (None, "x", None)]
