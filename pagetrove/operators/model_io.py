@@ -18,7 +18,8 @@ ANALYSIS = (
     "key_takeaways ARRAY<STRING>, note_type STRING, topics ARRAY<STRING>, image_text STRING, "
     "translation STRING, source_language STRING, recipe_ingredients ARRAY<STRING>, "
     "recipe_instructions ARRAY<STRING>, recipe_servings STRING, recipe_time STRING, "
-    "recipe_notes STRING, ingredient_tags ARRAY<STRING>, nutrition MAP<STRING, STRING>")
+    "recipe_notes STRING, ingredient_tags ARRAY<STRING>, nutrition MAP<STRING, STRING>, "
+    f"recipe_ingredient_groups {GROUPS}, recipe_instruction_groups {GROUPS}")
 CHECK = (
     "opinion_only BOOLEAN, verified_claims ARRAY<STRING>, disputed_claims ARRAY<STRING>, "
     "flags ARRAY<STRING>, sources ARRAY<STRING>")
@@ -132,10 +133,12 @@ def lenient_json(raw: Column) -> Column:
     return F.coalesce(valid(raw), valid(F.nullif(fenced, F.lit(""))), valid(F.nullif(outer, F.lit(""))))
 
 
-def parse_analysis(responses: DataFrame, raw_col="raw") -> DataFrame:
-    """Adds ``analysis``; a response that is not strict JSON gives the fallback record.
+def parse_analysis(responses: DataFrame, raw_col="raw", retry_col=None) -> DataFrame:
+    """Adds ``analysis``; a response that is not strict JSON gives the second one, or the fallback record.
 
-    ``responses`` carries the item columns ``url, platform, title, body_text``.
+    ``responses`` carries the item columns ``url, platform, title, body_text``; ``retry_col`` names the
+    answer to a repeated request, null where there was none. Nested values of the nutrition map, such as
+    its list of micronutrients, stay JSON text.
     """
     label = F.coalesce(_present(F.col("title")), F.col("url"))
     none = F.lit(None)
@@ -144,8 +147,9 @@ def parse_analysis(responses: DataFrame, raw_col="raw") -> DataFrame:
         "tags": F.array("platform"), "summary": F.coalesce("body_text", F.lit("")),
         "key_takeaways": F.array().cast("array<string>"), "note_type": F.lit("web_generic"),
         "topics": F.array().cast("array<string>")}
-    parsed = F.when(F.try_parse_json(F.col(raw_col)).isNotNull(), F.from_json(raw_col, ANALYSIS))
-    df = responses.withColumn("_a", parsed)
+    def read(column):
+        return F.when(F.try_parse_json(F.col(column)).isNotNull(), F.from_json(column, ANALYSIS))
+    df = responses.withColumn("_a", F.coalesce(*[read(c) for c in (raw_col, retry_col) if c]))
     kind = df.schema["_a"].dataType
     fallback = F.struct(*[given.get(f.name, none).cast(f.dataType).alias(f.name) for f in kind])
     return df.withColumn("analysis", F.coalesce("_a", fallback)).withColumn(

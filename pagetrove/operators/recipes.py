@@ -254,29 +254,61 @@ def percent_dv(key: Column, value: Column) -> Column:
     return F.coalesce(X.let(parse_amount(value), share), F.lit(""))
 
 
+def _fact(nutrition: Column, key) -> Column:
+    """A value of the nutrition map; null where it is missing, blank or the word null."""
+    value = X.strip(F.try_element_at(nutrition, F.lit(key) if isinstance(key, str) else key))
+    return F.when(~value.isin("", "null"), value)
+
+
+def _calories(nutrition: Column) -> Column:
+    """Whole number of calories, else what is written, else a dash."""
+    value = _fact(nutrition, "calories")
+    return F.coalesce(F.bround(parse_amount(value)["amount"], 0).cast("bigint").cast("string"), value, F.lit("—"))
+
+
+def micronutrients(nutrition: Column) -> Column:
+    """Named entries of the map's ``micros`` list as structs (at, name, amount, dv); others are left out."""
+    entries = F.from_json(F.try_element_at(nutrition, F.lit("micros")), "array<string>")
+    read = F.transform(entries, lambda e, i: F.struct(i.alias("at"), F.from_json(e, "name STRING, amount STRING, dv STRING").alias("m")))
+    named = F.transform(read, lambda e: F.struct(e["at"].alias("at"), *[
+        F.coalesce(X.strip(e["m"][c]), F.lit("")).alias(c) for c in ("name", "amount", "dv")]))
+    return F.coalesce(F.filter(named, lambda e: e["name"] != ""), F.array().cast("array<struct<at: int, name: string, amount: string, dv: string>>"))
+
+
 def fact_rows(nutrition: DataFrame, id_cols) -> DataFrame:
-    """Nutrition maps as ordered label rows ``(ids, ord, key, label, amount, dv, from_source)``."""
-    order = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(k).alias("key"), F.lit(lab).alias("label"))
-                      for i, (k, lab) in enumerate(FACT_ROWS)])
-    rows = nutrition.select(*id_cols, "nutrition", "source_keys", F.explode(order).alias("o"))
-    amount = F.try_element_at("nutrition", F.col("o.key"))
-    return rows.select(*id_cols, "o.ord", "o.key", "o.label", X.strip(amount).alias("amount"), F.coalesce(
-        F.array_contains("source_keys", F.col("o.key")), F.lit(False)).alias("from_source")).filter(
-        "amount <> ''").withColumn("dv", percent_dv(F.col("key"), F.col("amount")))
+    """Nutrition maps as ordered label rows ``(ids, ord, key, label, amount, dv, from_source)``.
+
+    Calories come first (ord -1), in whole numbers and with a dash where unknown; then the nutrients
+    that have an amount, then the named micronutrients with the daily value they state. Empty maps
+    have no rows.
+    """
+    n = F.col("nutrition")
+    rows = [F.struct(F.lit(-1).alias("ord"), F.lit("calories").alias("key"), F.lit("Calories").alias("label"),
+                     _calories(n).alias("amount"), F.lit("").alias("dv"))]
+    for i, (key, label) in enumerate(FACT_ROWS):
+        rows.append(F.struct(F.lit(i).alias("ord"), F.lit(key).alias("key"), F.lit(label).alias("label"),
+                             _fact(n, key).alias("amount"), percent_dv(F.lit(key), _fact(n, key)).alias("dv")))
+    micros = F.transform(micronutrients(n), lambda e: F.struct(
+        (e["at"] + len(FACT_ROWS)).alias("ord"), F.lit("micros").alias("key"), e["name"].alias("label"),
+        e["amount"].alias("amount"), e["dv"].alias("dv")))
+    every = F.concat(F.filter(F.array(*rows), lambda r: r["amount"].isNotNull()), micros)
+    return nutrition.filter(F.size("nutrition") > 0).select(*id_cols, "source_keys", F.explode(every).alias("r")).select(
+        *id_cols, "r.ord", "r.key", "r.label", "r.amount", "r.dv",
+        F.coalesce(F.array_contains("source_keys", F.col("r.key")), F.lit(False)).alias("from_source"))
 
 
 def nutrition_panel(nutrition: Column, from_source: Column) -> Column:
     """Nutrition facts of one row as a small HTML table under a provenance line; '' without data."""
     def cell(key, label):
-        return X.let(X.strip(F.try_element_at(nutrition, F.lit(key))), lambda v: F.when(v != "", F.concat(
-            F.lit(f"<tr><td>{label} "), v, F.lit("</td><td>"), percent_dv(F.lit(key), v), F.lit("</td></tr>"))))
+        return X.let(_fact(nutrition, key), lambda v: F.concat(
+            F.lit(f"<tr><td>{label} "), v, F.lit("</td><td>"), percent_dv(F.lit(key), v), F.lit("</td></tr>")))
     cells = F.array_compact(F.array(*[cell(k, label) for k, label in FACT_ROWS]))
-    calories = parse_amount(F.try_element_at(nutrition, F.lit("calories")))["amount"]
+    micros = F.transform(micronutrients(nutrition), lambda e: F.concat(
+        F.lit("<tr><td>"), F.rtrim(F.concat(e["name"], F.lit(" "), e["amount"])), F.lit("</td><td>"), e["dv"], F.lit("</td></tr>")))
     note = F.when(from_source, "*Per-serving values published by the source, other values estimated.*") \
             .otherwise("*Estimated from the recipe, not a verified analysis.*")
-    panel = F.concat(F.lit("### Nutrition Facts\n\n"), note, F.lit("\n\n<table><tr><td>Calories</td><td>"),
-                     F.coalesce(F.bround(calories, 0).cast("bigint").cast("string"), F.lit("—")),
-                     F.lit("</td></tr>"), F.array_join(cells, ""), F.lit("</table>\n"))
+    panel = F.concat(F.lit("### Nutrition Facts\n\n"), note, F.lit("\n\n<table><tr><td>Calories</td><td>"), _calories(nutrition),
+                     F.lit("</td></tr>"), F.array_join(F.concat(cells, micros), ""), F.lit("</table>\n"))
     return F.when(F.size(nutrition) > 0, panel).otherwise("")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pagetrove.operators import model_io as N
 from pagetrove.operators import threads
+from pagetrove.operators.recipes import micronutrients
 from pagetrove.queries.registry import derive, query, source, table, with_inputs
 
 derive("model_responses", """
@@ -36,6 +37,33 @@ def parsed_analysis(spark, sf):
         "analysis.summary", "analysis.filename")
 
 
+derive("second_responses", """
+SELECT *, CASE WHEN doc_id % 3 = 0 THEN '{{"folder_path":"b/' || lang || '","tags":["' || source || '","x"],"recipe_ingredient_groups":[{{"name":"Base","items":["1 ' || lang || '","2 ' || source
+  || '"]}},{{"name":null,"items":[]}}],"recipe_instruction_groups":[{{"name":"Oven","items":["heat","bake"]}}],"nutrition":{{"servings":4,"micros":[{{"name":"Iron","amount":"2 mg"}}]}}}}'
+  WHEN doc_id % 3 = 1 THEN '[not json' END AS again FROM {model_responses}""", ["model_responses"])
+
+
+@query("n3_second_response", with_inputs("second_responses") + """
+SELECT doc_id, used = 0 AS is_fallback, CASE used WHEN 1 THEN 'a/' || lang WHEN 2 THEN 'b/' || lang ELSE '_UNSORTED' END AS folder,
+  CASE used WHEN 1 THEN source WHEN 2 THEN source || ',x' ELSE 'generic' END AS tags,
+  CASE WHEN used = 2 THEN 'Base:1 ' || lang || '+2 ' || source || '|-:' END AS ingredients, CASE WHEN used = 2 THEN 'Oven:heat+bake' END AS steps,
+  CASE WHEN used = 2 THEN 'Iron 2 mg' END AS micros, CASE WHEN used = 2 THEN '4' END AS servings
+FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 1 WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS used FROM second_responses) t""")
+def second_response(spark, sf):
+    r = source(spark, sf, "second_responses").select(
+        "doc_id", "raw", "again", F.lit("https://x.example/").alias("url"), F.lit("generic").alias("platform"),
+        F.concat(F.lit("My Title_"), "source").alias("title"), F.col("text").alias("body_text"))
+    a = N.parse_analysis(r, retry_col="again").select("doc_id", "is_fallback", "analysis.*")
+
+    def lines(groups):
+        return F.array_join(F.transform(groups, lambda g: F.concat(
+            F.coalesce(g["name"], F.lit("-")), F.lit(":"), F.array_join(g["items"], "+"))), "|")
+    named = F.transform(micronutrients(F.col("nutrition")), lambda m: F.concat_ws(" ", m["name"], m["amount"]))
+    return a.select("doc_id", "is_fallback", F.col("folder_path").alias("folder"), F.array_join("tags", ",").alias("tags"),
+                    lines(F.col("recipe_ingredient_groups")).alias("ingredients"), lines(F.col("recipe_instruction_groups")).alias("steps"),
+                    F.nullif(F.array_join(named, ","), F.lit("")).alias("micros"), F.try_element_at("nutrition", F.lit("servings")).alias("servings"))
+
+
 @query("n4_image_text_backfill", """
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ocr ' || lang ELSE 'own' END AS image_text FROM documents""")
 def image_text_backfill(spark, sf):

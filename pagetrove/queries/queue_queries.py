@@ -90,11 +90,10 @@ def _stream(spark, sf, name):
 
 @query("z2_debounce_stream", """
 SELECT user_id, count(*) AS events, min(t) AS first_us, max(t) + 21600000000 AS fires_us FROM (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY t) AS burst FROM (
- SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS s FROM events) a) b GROUP BY user_id, burst
-HAVING max(t) + 21600000000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM events)""")
+ SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS s FROM events) a) b GROUP BY user_id, burst""")
 def debounce_stream(spark, sf):
     ev = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = jobs.run_available(jobs.debounce_stream(ev, ["user_id"], "6 hours"), "debounce")
+    out = jobs.debounce_job(ev, ["user_id"], "6 hours")
     return out.select("user_id", "events", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("fires_ts").alias("fires_us"))
 
 
@@ -167,7 +166,7 @@ def notice_stream(spark, sf):
 
 @query("z5_first_sightings", "SELECT DISTINCT 'u' || user_id AS url FROM events")
 def first_sightings(spark, sf):
-    ev = _stream(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("url"), F.col("ts").cast("timestamp").alias("ts"))
+    ev = _stream(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("url"))
     return jobs.run_available(jobs.first_sightings(ev), "sightings").select("url")
 
 

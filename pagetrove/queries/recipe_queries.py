@@ -160,14 +160,34 @@ def percent_dv(spark, sf):
 
 
 @query("e14_fact_rows", with_inputs("recipe_pages") + """
-SELECT page_id, o AS ord, CASE o WHEN 0 THEN 'Total Fat' ELSE 'Sodium' END AS label, CASE o WHEN 0 THEN '1200 mg' ELSE (p_size * 10) || ' mg' END AS amount,
-  CASE o WHEN 0 THEN '2%' ELSE CAST(round_even(p_size * 10 / 2300.0 * 100, 0) AS BIGINT) || '%' END AS dv, true AS from_source
-FROM (SELECT *, unnest([0, 6]) AS o FROM recipe_pages) t""")
+SELECT page_id, o AS ord, CASE o WHEN -1 THEN 'Calories' WHEN 0 THEN 'Total Fat' ELSE 'Sodium' END AS label,
+  CASE o WHEN -1 THEN CAST(p_size AS VARCHAR) WHEN 0 THEN '1200 mg' ELSE (p_size * 10) || ' mg' END AS amount,
+  CASE o WHEN -1 THEN '' WHEN 0 THEN '2%' ELSE CAST(round_even(p_size * 10 / 2300.0 * 100, 0) AS BIGINT) || '%' END AS dv, true AS from_source
+FROM (SELECT *, unnest([-1, 0, 6]) AS o FROM recipe_pages) t""")
 def fact_rows(spark, sf):
     n = _recipes(spark, sf).select("page_id", "nutrition", F.map_keys("nutrition").alias("source_keys"))
     return R.fact_rows(n, ["page_id"]).select("page_id", "ord", "label", "amount", "dv", "from_source")
 
 
+derive("model_nutrition", """
+SELECT p_partkey, '{{"servings":' || p_size || ',"calories":"' || CASE WHEN p_partkey % 3 = 0 THEN 'about ' || p_size WHEN p_partkey % 3 = 1 THEN p_size || '.5 kcal' ELSE 'null' END
+  || '","protein":" ' || p_size || ' g","iron":"2 mg","micros":[{{"name":" Iron","amount":"' || p_size || ' mg","dv":"9%"}},"loose",{{"name":"","amount":"1"}},{{"name":"' || p_brand || '"}}]}}' AS facts,
+  p_size, p_brand FROM {part}""", ["part"])
+
+
+@query("e14_micro_rows", with_inputs("model_nutrition") + """
+SELECT p_partkey, o AS ord, CASE o WHEN -1 THEN 'calories' WHEN 11 THEN 'protein' ELSE 'micros' END AS key,
+  CASE o WHEN -1 THEN 'Calories' WHEN 11 THEN 'Protein' WHEN 15 THEN 'Iron' ELSE p_brand END AS label,
+  CASE o WHEN -1 THEN CASE p_partkey % 3 WHEN 0 THEN 'about ' || p_size WHEN 1 THEN CAST(CAST(round_even(p_size + 0.5, 0) AS BIGINT) AS VARCHAR) ELSE '—' END
+    WHEN 11 THEN p_size || ' g' WHEN 15 THEN p_size || ' mg' ELSE '' END AS amount,
+  CASE o WHEN 15 THEN '9%' ELSE '' END AS dv, o = 11 AS from_source
+FROM (SELECT *, unnest([-1, 11, 15, 18]) AS o FROM model_nutrition) t""")
+def micro_rows(spark, sf):
+    n = source(spark, sf, "model_nutrition").select("p_partkey", F.from_json("facts", "map<string,string>").alias("nutrition"),
+                                                   F.array(F.lit("protein")).alias("source_keys"))
+    return R.fact_rows(n, ["p_partkey"])
+
+
 def _num(x):
     return f"replace(replace(printf('%.1f', round_even({x}, 1)) || '#', '.0#', ''), '#', '')"
 

@@ -17,6 +17,7 @@ from pagetrove.lineage import shared_folder
 from pagetrove.operators import frontier
 
 WATERMARK = "10 minutes"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def job_folder(spark: SparkSession, name: str) -> str:
@@ -33,6 +34,8 @@ def run_available(stream: DataFrame, name: str, mode="append", folder=None, trig
     spark = stream.sparkSession
     folder = folder or job_folder(spark, name)
     out = f"{folder}/rows"
+    # State that never expires has to live on disk.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
     def save(batch, batch_id):
         # A batch replayed after a failure overwrites its own folder only.
@@ -73,6 +76,35 @@ def debounce_stream(events: DataFrame, keys, gap="3 seconds", ts="ts", watermark
                                              F.col("w.end").alias("fires_ts"))
 
 
+END_OF_TIME = "9000-01-01 00:00:00"
+
+
+def debounce_job(events: DataFrame, keys, gap="3 seconds", ts="ts", watermark=WATERMARK, folder=None, ended=True) -> DataFrame:
+    """Bursts of an event stream as a table, the last ones too.
+
+    A burst fires when event time has gone past its gap, so the last of a source would wait for ever.
+    Where the source has ``ended`` a closing event, far in the future and without key, is read after
+    all else by the same job: it moves event time on and every open burst fires. Without ``ended`` the
+    job can be started again in its ``folder`` when more events are there.
+    """
+    spark = events.sparkSession
+    folder = folder or job_folder(spark, "debounce")
+    closing = f"{folder}/closing"
+    rows = events.select(*keys, ts)
+    spark.createDataFrame([], rows.schema).write.mode("ignore").parquet(closing)
+
+    def go():
+        both = rows.unionByName(spark.readStream.schema(rows.schema).parquet(closing))
+        return run_available(debounce_stream(both, keys, gap, ts, watermark), "debounce", folder=folder)
+    out = go()
+    if ended:
+        none = [F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys]
+        end = F.lit(END_OF_TIME).cast(rows.schema[ts].dataType).alias(ts)
+        spark.range(1).select(*none, end).write.mode("append").parquet(closing)
+        out = go()
+    return out
+
+
 def _ordered(chunks):
     return pd.concat(list(chunks)).sort_values("seq", kind="stable")
 
@@ -149,9 +181,9 @@ def notice_stream(log: DataFrame) -> DataFrame:
         _notice_step, "url STRING, seq LONG", "reported BOOLEAN", "append", GroupStateTimeout.NoTimeout)
 
 
-def first_sightings(urls: DataFrame, ts="ts", watermark=WATERMARK) -> DataFrame:
-    """Each URL once within the watermark, for sources where nothing is ever cleared."""
-    return urls.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["url"])
+def first_sightings(urls: DataFrame) -> DataFrame:
+    """Each URL once, in whatever batch and however late it comes again: keyed state without watermark."""
+    return urls.select("url").dropDuplicates(["url"])
 
 
 def tag_count_stream(rows: DataFrame) -> DataFrame:

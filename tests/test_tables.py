@@ -241,3 +241,32 @@ def test_finalise_is_idempotent(spark):
     assert [r.url for r in out["notes"].collect()] == ["u"] and out["note_tags"].count() == 2
     after = state.unionByName(out["events"].select("url", "status"))
     assert all(df.count() == 0 for df in ledger.finalise(items, after, F.current_timestamp()).values())
+
+
+def _files(spark, folder, batches, schema):
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_last_bursts_fire_and_a_job_goes_on(spark, tmp_path):
+    schema = "k string, at int"
+    first, later = [("a", 0), ("a", 2), ("b", 50)], [("a", 100), ("b", 104), (None, 106)]
+
+    def stream():
+        rows = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in")
+        return rows.select("k", F.timestamp_seconds("at").alias("ts"))
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    job = f"file://{tmp_path}/job"
+    jobs.debounce_job(stream(), ["k"], "10 seconds", watermark="0 seconds", folder=job, ended=False)
+    spark.createDataFrame(later, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    out = jobs.debounce_job(stream(), ["k"], "10 seconds", watermark="0 seconds", folder=job)
+    got = sorted(((r.k, r.events, r.first_ts.second) for r in out.select("k", "events", "first_ts").collect()), key=str)
+    assert got == sorted([("a", 2, 0), ("b", 1, 50), ("a", 1, 40), ("b", 1, 44), (None, 1, 46)], key=str)
+
+
+def test_first_sightings_over_many_batches(spark, tmp_path):
+    urls = _files(spark, f"file://{tmp_path}/in", [[("a",), ("b",)], [("a",)], [(None,), ("c",), ("b",)], [(None,), ("a",)]], "url string")
+    out = jobs.run_available(jobs.first_sightings(urls), "sightings", folder=f"file://{tmp_path}/job")
+    rows = out.collect()
+    assert sorted(str(r.url) for r in rows) == ["None", "a", "b", "c"] and len({r.batch_id for r in rows}) > 1
