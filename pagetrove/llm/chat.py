@@ -1,15 +1,17 @@
 """Chat formatting in budgeted windows.
 
 Turns are marked by control strings; the same strings inside roles and texts are escaped reversibly.
-Prefix sums of turn tokens cut a conversation into turn-aligned spans. A window holds the system turn,
-a limited history repeated from the span before, and its own span; only assistant texts of its own
-span are under the loss mask, so every target appears once. Prefix sums are taken over stretches of
-turns first and over stretches next, so a conversation that holds most rows is spread over tasks.
+Prefix sums of turn tokens cut a conversation into turn-aligned spans: a span ends where the next turn
+would take its window over the budget. A window holds the system turn, a limited history repeated from
+before, and its own span; only assistant texts of its own span are under the loss mask, so every target
+appears once. A conversation is dealt in stretches of turns, each with the system turn and the history
+that it starts with, so one that holds most rows is spread over tasks.
 """
 
 import hashlib
 import os
 import re
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,8 +22,9 @@ from pagetrove.llm.common import keep_table
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BUDGET, HISTORY = 2048, 256
-LEAST = 64        # tokens a span moves on at least
-STRETCH = 256     # turns summed together
+STRETCH = 256     # turns dealt together
+LAST = 2**22      # number of the last stretch, which takes all turns beyond and those without a number
+WINDOWS = 2**40   # more than a stretch can have; window numbers of a stretch start at its multiple
 TARGET = "assistant"
 
 
@@ -74,80 +77,130 @@ def measured(turns: DataFrame, tokenizer=TOKENIZER) -> DataFrame:
     return rows.mapInArrow(run, "conv_id BIGINT, turn BIGINT, role STRING, text STRING, n BIGINT")
 
 
-def spans(sized: DataFrame, budget=BUDGET, history=HISTORY) -> DataFrame:
-    """Turns with their place, ``before`` (tokens before them), ``span`` and where they are repeated.
+SYSTEM, BEFORE, OWN = 0, 1, 2  # kinds of rows, in the order a stretch gets them
 
-    A span moves on by half of what the budget leaves beside system turn and history, and ends with
-    the turn that crosses its border: where no turn is longer than that, windows keep the budget. A
-    longer turn is never cut and makes its window longer.
+
+def dealt_turns(sized: DataFrame, history=HISTORY) -> DataFrame:
+    """``conv_id, stretch, kind, turn, role, text, n``: what every stretch of turns needs for its windows.
+
+    A stretch is an even range of turn numbers, turns without a number come last. It gets the system
+    turn of its conversation, the turns that close the stretch before (``history`` tokens at most) and
+    its own turns.
     """
-    order = ["turn", "role", "text"]
-    # Stretches are even ranges of turn numbers; turns without a number come last.
-    stretch = F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(2**62)).cast("long")
-    rows = sized.withColumn("stretch", stretch)
-    first = rows.groupBy("conv_id").agg(F.min(F.struct(F.col("stretch"), F.col("turn").isNull(), *order, "n")).alias("f")).select(
-        F.col("conv_id").alias("c"), F.when(F.col("f.role") == "system", F.col("f")).alias("f")).filter("f IS NOT NULL").select(
-        "c", F.col("f.text").alias("system"), F.col("f.n").alias("system_n"), F.col("f.stretch").alias("system_stretch"))
-    joined = rows.join(first, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
-    local = Window.partitionBy("conv_id", "stretch").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
-    here = F.row_number().over(local)
-    leads = (here == 1) & (F.col("stretch") == F.col("system_stretch"))
-    marked = joined.withColumn("leads", F.coalesce(leads, F.lit(False))).withColumn(
-        "counted", F.when(F.col("leads"), F.lit(0)).otherwise(F.col("n")))
-    marked = marked.withColumns({"inside": F.sum("counted").over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("counted"),
-                                 "number": here})
-    marked = keep_table(marked, "turns")
-    earlier = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    all_of = Window.partitionBy("conv_id")
-    sums = marked.groupBy("conv_id", "stretch").agg(F.sum("counted").alias("tokens"), F.count("*").alias("turns"))
-    offsets = sums.select(F.col("conv_id").alias("c"), F.col("stretch").alias("s"), F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("offset"),
-                          F.coalesce(F.sum("turns").over(earlier), F.lit(0)).alias("turns_before"), F.sum("tokens").over(all_of).alias("total"))
-    placed = marked.join(offsets, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("stretch") == F.col("s"))).withColumns({
-        "before": F.col("offset") + F.col("inside"), "place": F.col("turns_before") + F.col("number") - 1})
-    room = F.lit(budget - history) - F.coalesce("system_n", F.lit(0))
-    step = F.greatest(F.floor(room / 2).cast("long"), F.lit(LEAST).cast("long"))
-    placed = placed.withColumn("step", step).withColumn("span", F.floor(F.col("before") / F.col("step")))
-    ends = F.max(F.col("before") + F.col("counted")).over(Window.partitionBy("conv_id", "span"))
-    placed = placed.withColumn("ends", ends)
-    repeated = (F.col("ends") - F.col("before") <= history) & (F.col("ends") < F.col("total")) & ~F.col("leads")
-    return placed.withColumn("again", F.when(repeated, F.floor(F.col("ends") / F.col("step"))))
+    names = ["conv_id", "stretch", "kind", "turn", "role", "text", "n"]
+    stretch = F.greatest(F.lit(-LAST), F.least(F.floor(F.col("turn") / STRETCH), F.lit(LAST)))
+    rows = sized.withColumn("stretch", F.coalesce(stretch, F.lit(LAST)).cast("long"))
+    order = [F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
+    first = rows.groupBy("conv_id").agg(F.min(F.struct("stretch", F.col("turn").isNull(), "turn", "role", "text", "n")).alias("f")).filter(
+        "f.role = 'system'").select(F.col("conv_id").alias("c"), F.col("f.stretch").alias("from"), F.col("f.text").alias("text"), F.col("f.n").alias("n"))
+    there = rows.select("conv_id", "stretch").distinct()
+    same = F.col("conv_id").eqNullSafe(F.col("c"))
+    lead = there.join(first, same).select("conv_id", "stretch", F.lit(SYSTEM).alias("kind"), F.when(F.col("stretch") == F.col("from"), 0).cast(
+        "long").alias("turn"), F.lit("system").alias("role"), "text", "n")
+    following = there.select(F.col("conv_id").alias("c2"), F.col("stretch").alias("s2"),
+                             F.lead("stretch").over(Window.partitionBy("conv_id").orderBy("stretch")).alias("next"))
+    local = Window.partitionBy("conv_id", "stretch").orderBy(*order)
+    # From the end: all turns of the stretch less those before this one.
+    whole = F.sum("n").over(Window.partitionBy("conv_id", "stretch"))
+    left = whole - F.sum("n").over(local.rowsBetween(Window.unboundedPreceding, -1))
+    tails = rows.withColumns({"left": F.coalesce(left, whole), "nth": F.row_number().over(local)}).filter(F.col("left") <= history)
+    tails = tails.join(first.select("c", "from"), same, "left").filter(~F.coalesce((F.col("nth") == 1) & (F.col("stretch") == F.col("from")), F.lit(False)))
+    tails = tails.join(following.filter("next IS NOT NULL"), F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("stretch") == F.col("s2")))
+    tails = tails.select("conv_id", F.col("next").alias("stretch"), F.lit(BEFORE).alias("kind"), "turn", "role", "text", "n")
+    return rows.withColumn("kind", F.lit(OWN)).select(*names).unionByName(tails).unionByName(lead)
+
+
+class Former:
+    """Windows of one stretch, turn by turn; holds one window and the turns that may be repeated."""
+
+    def __init__(self, budget, history, number):
+        self.budget, self.history = budget, history
+        self.system, self.skip, self.count = None, False, number
+        self.past, self.own, self.used = deque(), [], 0
+
+    def take(self, kind, turn, role, text, n):
+        """A row of the stretch; gives the window it closes, if it closes one."""
+        if kind == SYSTEM:
+            self.system, self.skip = (role, text, n), turn is not None  # the stretch starts with the system turn itself
+            return None
+        if kind == BEFORE:
+            self._remember(role, text, n)
+            return None
+        closed = None
+        if self.own and self.used + n > self.budget:
+            closed = self.close()
+        if not self.own:
+            self.lead = [self.system] if self.system and not self.skip else []
+            room = self.budget - n - sum(t[2] for t in self.lead)
+            before = list(self.past) if not self.skip else []
+            while before and sum(t[2] for t in before) > room:
+                before.pop(0)
+            self.lead += before
+            self.used = sum(t[2] for t in self.lead)
+        self.own.append((role, text))
+        self.used += n
+        if self.skip:
+            self.skip = False
+        else:
+            self._remember(role, text, n)
+        return closed
+
+    def _remember(self, role, text, n):
+        self.past.append((role, text, n))
+        while sum(t[2] for t in self.past) > self.history:
+            self.past.popleft()
+
+    def close(self):
+        """``(number, formatted, loss, repeated)`` of the window that is open."""
+        text, loss, size = [], [], 0
+        for k, (role, body) in enumerate([t[:2] for t in self.lead] + self.own):
+            turn, start, end = turn_text(role, body)
+            if role == TARGET and k >= len(self.lead):
+                loss.append({"start": size + start, "end": size + end})
+            text.append(turn)
+            size += len(turn)
+        out = (self.count, "".join(text), loss, len(self.lead))
+        self.own, self.used, self.count = [], 0, self.count + 1
+        return out
 
 
 def windows(turns: DataFrame, budget=BUDGET, history=HISTORY, tokenizer=TOKENIZER) -> DataFrame:
-    """Formatted windows: ``conv_id, window, formatted, loss, repeated``.
+    """Formatted windows: ``conv_id, window, formatted, loss, repeated``, in order of ``window``.
 
     ``loss`` lists the places (start, end) of the target texts in code points, ``repeated`` counts the
-    leading turns that an earlier window has too. Turns come in order of their number (null last),
-    then role and text; null roles and texts count as empty, null ids are one conversation, repeated
-    rows are turns of their own. Other columns are ignored; an empty table gives no windows.
+    leading turns that an earlier window has too. A window keeps the budget wherever its turn and the
+    system turn fit together; a longer turn is never cut and has a window of its own. Turns come in order
+    of their number (null last), then role and text; null roles and texts count as empty, null ids are
+    one conversation, repeated rows are turns of their own. Other columns are ignored; an empty table
+    gives no windows.
     """
-    placed = spans(measured(turns, tokenizer), budget, history)
-    columns = ["role", "text", "place"]
-    own = placed.select("conv_id", "span", "system", F.struct(*columns, F.lit(False).alias("old")).alias("t"))
-    old = placed.filter("again IS NOT NULL").select("conv_id", F.col("again").alias("span"), "system", F.struct(*columns, F.lit(True).alias("old")).alias("t"))
-    # A group is a window: its size is bounded by the budget, or by one longer turn.
-    grouped = own.unionByName(old).groupBy("conv_id", "span").agg(F.first("system").alias("system"), F.collect_list("t").alias("turns"))
+    dealt = dealt_turns(keep_table(measured(turns, tokenizer), "turns"), history)
+    rows = dealt.repartition("conv_id", "stretch").sortWithinPartitions(
+        "conv_id", "stretch", "kind", F.col("turn").asc_nulls_last(), "role", "text")
+    types = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.int64())
+    names = ["conv_id", "window", "formatted", "loss", "repeated"]
 
     def run(batches):
+        now, former = None, None
+
+        def given(out):
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
         for batch in batches:
             out = []
-            for conv, span, system, items in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "span", "system", "turns")], strict=True):
-                items.sort(key=lambda t: t["place"])
-                lead = [{"role": "system", "text": system, "old": True}] if system is not None and items[0]["place"] > 0 else []
-                text, loss, size = [], [], 0
-                for t in lead + items:
-                    turn, start, end = turn_text(t["role"], t["text"])
-                    if t["role"] == TARGET and not t["old"]:
-                        loss.append({"start": size + start, "end": size + end})
-                    text.append(turn)
-                    size += len(turn)
-                out.append((conv, span, "".join(text), loss, sum(t["old"] for t in lead + items)))
-            types = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.int64())
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                                             ["conv_id", "window", "formatted", "loss", "repeated"])
-    return grouped.mapInArrow(run, "conv_id BIGINT, window BIGINT, formatted STRING, "
-                                   "loss ARRAY<STRUCT<start: BIGINT, end: BIGINT>>, repeated BIGINT")
+            for conv, stretch, *row in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "stretch", "kind", "turn", "role", "text", "n")], strict=True):
+                if former is None or (conv, stretch) != now:
+                    if former and former.own:
+                        out.append((now[0], *former.close()))
+                    now, former = (conv, stretch), Former(budget, history, stretch * WINDOWS)
+                closed = former.take(*row)
+                if closed:
+                    out.append((conv, *closed))
+            yield given(out)
+        if former and former.own:
+            yield given([(now[0], *former.close())])
+    return rows.mapInArrow(run, "conv_id BIGINT, window BIGINT, formatted STRING, "
+                                "loss ARRAY<STRUCT<start: BIGINT, end: BIGINT>>, repeated BIGINT")
 
 
 def read_back(formed: DataFrame) -> DataFrame:
