@@ -2,14 +2,15 @@
 
 A document's place in its source's order is a hash of the document. Word counts are summed by source
 and hash bucket; the running sum finds the bucket in which a source's budget ends, only the rows of
-that bucket are summed again by finer buckets, and at last by hash. What stays is one threshold per
-source, applied as a filter: nothing is sorted and no document is moved. DataFrame functions only.
+that bucket are summed again by finer buckets, and at last by hash. Repeated rows share a hash and are
+told apart in the same way by a hash of where they lie. What stays is one threshold per source, applied
+as a filter: nothing is sorted and no document is moved. DataFrame functions only.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetrove.llm.common import WORD, join_small, keep_table, text_or_empty
+from pagetrove.llm.common import AT, WORD, join_small, keep_table, located, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -22,10 +23,10 @@ def _key(source="source"):
     return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, source, size, place``: the narrow table that all sums work on."""
-    return docs.select("doc_id", _key().alias("key"), F.col("source").cast("string").alias("source"),
-                       _size().alias("size"), _place().alias("place"))
+def measured(rows: DataFrame) -> DataFrame:
+    """``doc_id, key, source, size, place, tie`` of located rows: the narrow table that all sums work on."""
+    return rows.select("doc_id", _key().alias("key"), F.col("source").cast("string").alias("source"),
+                       _size().alias("size"), _place().alias("place"), _tie().alias("tie"))
 
 
 def _size():
@@ -36,6 +37,10 @@ def _place():
     return F.shiftrightunsigned(F.xxhash64("doc_id", "source", "text"), 1)
 
 
+def _tie():
+    return F.shiftrightunsigned(F.xxhash64(*AT), 1)
+
+
 def source_targets(narrow: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """``key, source_size, target`` per source.
 
@@ -70,42 +75,37 @@ def _ends_in(sums: DataFrame, bucket: str) -> DataFrame:
 
 
 def thresholds(narrow: DataFrame, targets: DataFrame) -> DataFrame:
-    """``key, source_size, target, copies, upto``: all of a source ``copies`` times, and what lies
-    at or below the place ``upto`` once more.
+    """``key, source_size, target, copies, upto, tie_upto``: all of a source ``copies`` times, and what lies
+    below the place ``upto``, or there with a tie up to ``tie_upto``, once more.
 
-    The last document is taken where that brings the source nearer to its target. Documents with
-    one place (repeated rows) are taken together.
+    The last document is taken where that brings the source nearer to its target.
     """
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = keep_table(targets.withColumn("copies", copies.cast("long")).withColumn(
         "budget", F.col("target") - F.col("copies") * F.col("source_size")), "targets")
-    coarse = F.shiftright("place", BITS + REST).alias("coarse")
-    fine = F.shiftright("place", REST).alias("fine")
-    # With no budget left the first bucket ends it at once and nothing is taken.
-    first = join_small(narrow.groupBy("key", coarse).agg(F.sum("size").alias("size")),
-                       plan.select("key", "budget", F.lit(0).cast("long").alias("before")), "key")
-    first = keep_table(_ends_in(first, "coarse"), "coarse")
-    inside = join_small(narrow.withColumn("coarse", coarse), first.withColumnRenamed("coarse", "at"), "key").filter(
-        F.col("coarse") == F.col("at"))
-    second = inside.groupBy("key", fine).agg(F.sum("size").alias("size"), F.first("budget").alias("budget"),
-                                             F.first("before").alias("before"))
-    second = keep_table(_ends_in(second, "fine"), "fine")
-    inside = join_small(narrow.withColumn("fine", fine), second.withColumnRenamed("fine", "at"), "key").filter(
-        F.col("fine") == F.col("at"))
-    last = inside.groupBy("key", "place").agg(F.sum("size").alias("size"), F.first("budget").alias("budget"),
-                                              F.first("before").alias("before"))
-    last = _ends_in(last, "place").join(last.select("key", "place", "size"), ["key", "place"])
+    levels = {"coarse": F.shiftright("place", BITS + REST), "fine": F.shiftright("place", REST), "at": F.col("place"),
+              "tie_coarse": F.shiftright("tie", BITS + REST), "tie_fine": F.shiftright("tie", REST), "tie_at": F.col("tie")}
+    inside, ends, at = narrow.select("key", "size", "place", "tie"), plan.select("key", "budget", F.lit(0).cast("long").alias("before")), {}
+    for name, bucket in levels.items():
+        # With no budget left the first bucket ends it at once and nothing is taken.
+        sums = inside.groupBy("key", bucket.alias(name)).agg(F.sum("size").alias("size"))
+        sums = join_small(sums, ends.select("key", "budget", "before"), "key")
+        ends = at[name] = keep_table(_ends_in(sums, name), name)
+        inside = join_small(inside, ends.select("key", name), "key").filter(bucket == F.col(name)).drop(name)
+    last = inside.groupBy("key").agg(F.max("size").alias("size")).join(ends, "key").join(at["at"].select("key", "at"), "key")
     gap = F.col("budget") - F.col("before")
-    upto = F.when((F.col("size") - gap < gap) & (gap > 0), F.col("place")).otherwise(F.col("place") - 1)
-    ends = last.select("key", upto.alias("upto"))
+    tie_upto = F.when((F.col("size") - gap < gap) & (gap > 0), F.col("tie_at")).otherwise(F.col("tie_at") - 1)
+    found = last.select("key", F.col("at").alias("upto"), tie_upto.alias("tie_upto"))
     # A source whose running sum never passes its budget is taken whole.
-    return plan.join(ends, "key", "left").select(
-        "key", "source_size", "target", "copies",
-        F.coalesce("upto", F.when(F.col("budget") > 0, F.lit(2**63 - 1)).otherwise(-1)).alias("upto"))
+    none = F.when(F.col("budget") > 0, F.lit(2**63 - 1)).otherwise(-1)
+    return plan.join(found, "key", "left").select(
+        "key", "source_size", "target", "copies", F.coalesce("upto", none).alias("upto"), F.coalesce("tie_upto", none).alias("tie_upto"))
 
 
 def _copies():
-    return F.col("copies") + (F.col("place") <= F.col("upto")).cast("long")
+    place, upto = F.col("place"), F.col("upto")
+    once = (place < upto) | ((place == upto) & (F.col("tie") <= F.col("tie_upto")))
+    return F.col("copies") + once.cast("long")
 
 
 def mix_report(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
@@ -114,7 +114,7 @@ def mix_report(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> Data
     Null text has size 0; null sources are one source; documents without words are never counted
     as taken. Repeated rows are rows of their own. An empty table gives no rows.
     """
-    narrow = keep_table(measured(docs), "measured")
+    narrow = keep_table(measured(located(docs)), "measured")
     plan = thresholds(narrow, source_targets(narrow, weights, share, most))
     return join_small(narrow, keep_table(plan, "thresholds"), "key").select(
         "doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
@@ -122,9 +122,10 @@ def mix_report(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> Data
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """``docs`` as mixed: each row as often as the mix takes it, columns unchanged."""
-    narrow = keep_table(measured(docs), "measured")
+    rows = located(docs)
+    narrow = keep_table(measured(rows), "measured")
     plan = keep_table(thresholds(narrow, source_targets(narrow, weights, share, most)), "thresholds")
-    held = docs.select(F.struct("*").alias("row"), _key().alias("key"), _place().alias("place"))
-    times = join_small(held, plan.select("key", "copies", "upto"), "key").withColumn("times", _copies())
+    held = rows.select(F.struct(*docs.columns).alias("row"), _key().alias("key"), _place().alias("place"), _tie().alias("tie"))
+    times = join_small(held, plan.select("key", "copies", "upto", "tie_upto"), "key").withColumn("times", _copies())
     again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
     return times.filter("times > 0").select("row", again.alias("copy")).select("row.*")

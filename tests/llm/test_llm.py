@@ -94,6 +94,23 @@ def test_chat_windows(spark):
     assert chat.read_back(chat.windows(turns.limit(0))).count() == 0
 
 
+def test_windows_fill_and_keep_the_budget(spark):
+    r = random.Random(6)
+    rows = [(k, i // (2 if k == 1 else 1), "system" if i == 0 else ("user", "assistant")[i % 2], f"{i} " + prose(i, r.choice([3, 60, 300])))
+            for k in range(3) for i in range(600)]
+    turns = spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
+    sized = {(x.role, x.text): x.n for x in chat.measured(turns).collect()}
+    formed = chat.windows(turns, budget=1024, history=128).orderBy("conv_id", "window").collect()
+    sizes = [sum(sized[t] for t in chat.read_turns(w.formatted)) for w in formed]
+    assert max(sizes) <= 1024 and sum(sizes) > 0.8 * 1024 * len(sizes)
+    assert sum(x.n_turns for x in chat.read_back(chat.windows(turns, budget=1024, history=128)).collect()) == len(rows)
+    for before, after in itertools.pairwise(formed):
+        if before.conv_id == after.conv_id:  # across stretches too
+            again = chat.read_turns(after.formatted)[1:after.repeated]
+            own = [t for w in formed if (w.conv_id, w.window) in {(before.conv_id, before.window)} for t in chat.read_turns(w.formatted)]
+            assert again == (own[-len(again):] if again else [])
+
+
 # -- SimHash ------------------------------------------------------------------------------------
 
 def fingerprint(text):
@@ -476,6 +493,12 @@ def test_mixed_sources(spark, odd, none):
     assert again.columns == docs.columns
     rows = Counter(x.doc_id for x in again.collect())
     assert all(rows[i] * got[i].size == got[i].taken for i in got)
+    same = docs_of(spark, ["a b c d e f"] * 1000 + ["x y"] * 10, [7] * 1000 + [None] * 10, sources=["s"] * 1000 + ["t"] * 10)
+    totals = {x.source_size: (x.target, x.taken) for x in mixing.mix_report(same).groupBy("source_size", "target").agg(
+        F.sum("taken").alias("taken")).collect()}
+    assert all(abs(target - taken) <= 6 for target, taken in totals.values()) and len(totals) == 2
+    sums = mixing.mix(same).groupBy("source").count().collect()
+    assert sorted(x["count"] for x in sums) == sorted(taken // (6 if size == 6000 else 2) for size, (_, taken) in totals.items())
     assert mixing.mix_report(odd).count() == len(ODD) and mixing.mix_report(none).count() == 0 and mixing.mix(none).count() == 0
 
 
