@@ -98,6 +98,36 @@ def identity_tags(tags: Column, platform: Column, author: Column) -> Column:
     return X.let(F.filter(every, lambda t: t.isNotNull() & (t != "")), first_by_case)
 
 
+def tag_postings(counts: DataFrame) -> DataFrame:
+    """Inverted index ``(gram, tag, n)`` of lower-cased tags by their grams of one to three letters."""
+    low, size = F.lower("tag"), F.char_length("tag")
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.least(size, F.lit(3))), lambda w: F.transform(
+        F.sequence(F.lit(1), size - w + 1), lambda i: F.substr(low, i, w))))
+    return counts.filter("tag <> ''").select(F.explode(F.array_distinct(grams)).alias("gram"), "tag", "n")
+
+
+def search_many(postings: DataFrame, queries: DataFrame, limit=25) -> DataFrame:
+    """``(text, rank, tag, n)``: for every distinct ``text`` of ``queries`` what search_tags gives for it.
+
+    A text reads the posting list of its rarest gram only, and the tags there are looked at once more. An
+    empty text gets the most used tags.
+    """
+    needle = F.lower(F.regexp_replace(X.strip(F.coalesce("text", F.lit(""))), "^#+", ""))
+    asked = queries.select("text").distinct().withColumn("needle", needle)
+    size = F.char_length("needle")
+    width = F.least(size, F.lit(3))
+    grams = F.when(size > 0, F.transform(F.sequence(F.lit(1), size - width + 1), lambda i: F.substr("needle", i, width)))
+    counts = postings.groupBy("gram").agg(F.count("*").alias("tags"))
+    sought = asked.filter(size > 0).select("text", "needle", F.explode(F.array_distinct(grams)).alias("gram")).join(counts, "gram", "left")
+    rarest = sought.groupBy("text", "needle").agg(F.min(F.struct(F.coalesce("tags", F.lit(0)), "gram")).alias("r"))
+    hits = rarest.select("text", "needle", F.col("r.gram").alias("gram")).join(postings, "gram").filter(
+        F.lower("tag").contains(F.col("needle"))).select("text", "tag", "n")
+    top = postings.select("tag", "n").distinct().orderBy(F.desc("n"), "tag").limit(limit)
+    empty = asked.filter(size == 0).select("text", F.lit(1).alias("one"))
+    every = empty.join(top.withColumn("one", F.lit(1)), "one").select("text", "tag", "n")
+    return top_n_per_key(hits.unionByName(every), ["text"], [F.desc("n"), "tag"], limit).select("text", "rank", "tag", "n")
+
+
 # --- fixed value ------------------------------------------------------------------------------
 QUANTITY_UNIT = (
     r"(?iU)^[\d¼½¾⅓⅔⅛⅜⅝⅞./\s-]*\s*"
@@ -107,8 +137,14 @@ QUANTITY_UNIT = (
 # ----------------------------------------------------------------------------------------------
 
 
-def ingredient_tags(model_tags: Column, ingredients: Column) -> Column:
-    """Slugs of the model's ingredient tags, else of the names behind quantity and unit."""
+def ingredient_tags(model_tags: Column, ingredients: Column, groups: Column | None = None) -> Column:
+    """Slugs of the model's ingredient tags, else of the names behind quantity and unit, in the flat list
+    and in the items of the ingredient groups."""
+    if groups is not None:
+        none = F.array().cast("array<string>")
+        grouped = F.flatten(F.transform(F.coalesce(groups, F.array().cast("array<struct<name: string, items: array<string>>>")),
+                                        lambda g: F.coalesce(g["items"], none)))
+        ingredients = F.concat(F.coalesce(ingredients, none), grouped)
     names = F.transform(ingredients, lambda i: F.regexp_replace(
         F.get(F.split(F.regexp_replace(i, r"\([^)]*\)", " "), ","), F.lit(0)), QUANTITY_UNIT, ""))
     raw = F.when(F.size(model_tags) > 0, model_tags).otherwise(names)

@@ -6,6 +6,8 @@ from pagetrove.functions import sections as N
 from pagetrove.functions import text as X
 from pagetrove.operators import model_io, notes, rendering, threads
 from pagetrove.queries.registry import query, source, table, with_inputs
+from pagetrove.sources import writers
+from pagetrove.streaming.jobs import job_folder
 
 TYPES = list(rendering.LAYOUTS)
 
@@ -169,6 +171,18 @@ def notes_keep_media(spark, sf):
         c.startswith("---\ntitle: ").alias("header_first"))
 
 
+@query("a9_committed_notes", """
+SELECT doc_id, source AS folder, 'note-' || doc_id AS file_name, text AS content FROM documents""")
+def committed_notes(spark, sf):
+    """All documents as notes in two batches, one of them sent twice."""
+    notes = table(spark, sf, "documents").select(
+        "doc_id", F.col("source").alias("folder"), F.concat(F.lit("note-"), "doc_id").alias("file_name"), F.col("text").alias("content"))
+    path = job_folder(spark, "notes")
+    for batch, odd in (("first", 0), ("second", 1), ("first", 0)):
+        writers.commit_notes(notes.filter(F.col("doc_id") % 2 == odd), path, batch)
+    return writers.committed_notes(spark, path, notes.schema)
+
+
 @query("a9_note_files", """
 SELECT doc_id, upper(lang || '/' || source) AS folder, source || CASE WHEN rn = 1 THEN '' ELSE '-' || rn END || '.md' AS file
 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn FROM documents) t""")

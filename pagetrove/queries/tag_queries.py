@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pagetrove.lineage import settle
 from pagetrove.operators import tags as T
 from pagetrove.queries.registry import derive, query, source, table, with_inputs
 
@@ -68,6 +69,18 @@ def same_key_tags(spark, sf):
     return df.select("tag", F.array_join("same_key", ",").alias("same_key"))
 
 
+derive("tag_needles", """
+SELECT DISTINCT CASE WHEN doc_id % 7 = 0 THEN ' #' || upper(substr(w1, 2, 1 + CAST(doc_id % 5 AS INT))) WHEN doc_id % 7 = 1 THEN ' ' ELSE substr(w2, 1, 1 + CAST(doc_id % 6 AS INT)) END AS text
+FROM {note_words}""", ["note_words"])
+
+
+@query("s2_search_many", with_inputs("note_tag_rows", "tag_needles") + f"""
+SELECT text, tag, n, r AS rank FROM (SELECT text, tag, n, row_number() OVER (PARTITION BY text ORDER BY n DESC, tag) AS r FROM tag_needles
+  JOIN {COUNTS} c ON contains(lower(tag), lower(ltrim(trim(text), '#')))) t WHERE r <= 25""")
+def search_many(spark, sf):
+    return T.search_many(T.tag_postings(settle(_counts(spark, sf))), source(spark, sf, "tag_needles"))
+
+
 def _block(a, b, alo, ahi, blo, bhi):
     """Longest common block of two slices as ``{k, i, j}``, the first one in a, then in b."""
     same = f"len(list_filter(range(1, least({ahi} - i, {bhi} - j) + 1), lambda q: {a}[i + 1:i + q] = {b}[j + 1:j + q]))"
@@ -118,6 +131,17 @@ def identity_tags(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(tags, ",").alias("tags"))
 
 
+@query("e17_group_tags", """
+SELECT p_partkey, replace(p_name, ' ', '-') || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ',' || lower(p_type) || '-oil,' || replace(p_name, ' ', '-') || '-rind' END AS tags FROM part""")
+def group_tags(spark, sf):
+    flat = F.array(F.concat(F.lit("2 cups "), "p_name", F.lit(", chopped")))
+    group = F.struct(F.lit("Base").alias("name"), F.array(F.concat(F.lit("½ tbsp. "), "p_type", F.lit(" oil")), F.lit("3")).alias("items"))
+    more = F.struct(F.lit(None).cast("string").alias("name"), F.array(F.concat(F.lit("1 cup "), "p_name", F.lit(" rind (grated)"))).alias("items"))
+    groups = F.when(F.col("p_partkey") % 3 != 0, F.array(group, more))
+    tags = T.ingredient_tags(F.array().cast("array<string>"), flat, groups)
+    return table(spark, sf, "part").select("p_partkey", F.array_join(tags, ",").alias("tags"))
+
+
 @query("e17_ingredient_tags", """
 SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'model-tag' ELSE replace(p_name, ' ', '-') || ',' || lower(p_type) || '-oil' END AS tags FROM part""")
 def ingredient_tags(spark, sf):

@@ -1,9 +1,12 @@
 """Note, ledger and report sinks. Every write is an append or a new version; none overwrites."""
 
 import os
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def append_events(events: DataFrame, path: str):
@@ -20,6 +23,38 @@ def write_notes(notes: DataFrame, path: str, writers_per_folder=16):
     notes.repartition("folder", salt).write.mode("append").partitionBy("folder").parquet(path)
 
 
+def commit_notes(notes: DataFrame, path: str, batch: str, writers_per_folder=16) -> bool:
+    """Write a batch of notes once, whatever is retried: true if this call committed it.
+
+    The notes go to a folder of this attempt first. Only then a manifest entry under the batch's key
+    names the attempt; where the entry is there already, nothing is added and the attempt stays unread,
+    as one that died on the way. Two attempts must not commit at the same moment.
+    """
+    spark = notes.sparkSession
+    if not _entries(spark, path).filter(F.col("batch") == batch).isEmpty():
+        return False
+    attempt = uuid.uuid4().hex
+    write_notes(notes, f"{path}/notes/attempt={attempt}", writers_per_folder)
+    spark.range(1).select(F.lit(attempt).alias("attempt")).write.mode("ignore").parquet(f"{path}/manifest/batch={batch}")
+    return not _entries(spark, path).filter((F.col("batch") == batch) & (F.col("attempt") == attempt)).isEmpty()
+
+
+def _entries(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema("attempt STRING, batch STRING").parquet(f"{path}/manifest")
+    except AnalysisException:
+        return spark.createDataFrame([], "attempt STRING, batch STRING")
+
+
+def committed_notes(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Notes of all committed batches, with columns as in ``schema``; other attempts are pruned by the manifest."""
+    entries = _entries(spark, path).select("attempt")
+    if entries.isEmpty():
+        return spark.createDataFrame([], schema)
+    every = StructType([*schema.fields, StructField("attempt", StringType())])
+    return spark.read.schema(every).parquet(f"{path}/notes").join(entries, "attempt", "left_semi").select(*schema.names)
+
+
 def failure_lines(failed: DataFrame, run_date) -> DataFrame:
     return failed.select(F.concat(
         F.lit("- [ ] "), "url", F.lit(" — "), F.col("reason"), F.lit(" — "), run_date

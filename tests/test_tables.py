@@ -270,3 +270,26 @@ def test_first_sightings_over_many_batches(spark, tmp_path):
     out = jobs.run_available(jobs.first_sightings(urls), "sightings", folder=f"file://{tmp_path}/job")
     rows = out.collect()
     assert sorted(str(r.url) for r in rows) == ["None", "a", "b", "c"] and len({r.batch_id for r in rows}) > 1
+
+
+def test_a_batch_of_notes_is_committed_once(spark, tmp_path):
+    schema, path = "folder string, file_name string, content string", f"file://{tmp_path}/notes"
+    first = spark.createDataFrame([("a", "x", "1"), (None, "y", "2")], schema)
+    assert writers.committed_notes(spark, path, first.schema).count() == 0
+    assert writers.commit_notes(first, path, "b1") and not writers.commit_notes(first, path, "b1")
+    writers.write_notes(first, f"{path}/attempts/b2-died")  # an attempt that never came to its entry
+    assert writers.commit_notes(first.filter("folder = 'a'"), path, "b2")
+    got = sorted((r.folder or "", r.file_name, r.content) for r in writers.committed_notes(spark, path, first.schema).collect())
+    assert got == [("", "y", "2"), ("a", "x", "1"), ("a", "x", "1")]
+
+
+def test_many_searches_equal_single_ones(spark):
+    counts = spark.createDataFrame([("Bread", 5), ("bread-soup", 5), ("éclair", 2), ("a", 9), ("ab", 1), ("", 4)], "tag string, n bigint")
+    texts = ["#bre", "", " ", None, "a", "B", "É", "zzz", "d-s", "soup!", "##ea"]
+    got = {}
+    for r in tags.search_many(tags.tag_postings(counts), spark.createDataFrame([(t,) for t in texts], "text string"), 3).collect():
+        got.setdefault(r.text, []).append((r.rank, r.tag))
+    kept = counts.filter("tag <> ''")
+    for t in texts:
+        want = [r.tag for r in tags.search_tags(kept, t or "", 3).collect()]
+        assert [tag for _, tag in sorted(got.get(t, []))] == want, t
