@@ -563,6 +563,24 @@ def test_license_notices(spark, none):
         assert ranker.scan(first)[0] == name
 
 
+def test_notices_inside_sentences(spark):
+    r = random.Random(3)
+    notices = {
+        "MIT": ["Copyright 2024 Acme Corp, released under the MIT License.", "MIT License", "SPDX-License-Identifier: MIT",
+                "This project is distributed under the MIT license, see the LICENSE file for details."],
+        "BSD-2-Clause": ["// SPDX-License-Identifier: BSD-2-Clause", "it is offered under the BSD 2-Clause License by its authors"],
+        "ISC": ["The code of this page is ISC License code, as is the rest."], "GPL-3.0": ["all of it GPLv3 and nothing else"],
+        "Apache-2.0": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS"],
+        "AGPL-3.0": ["The server, however, is under the GNU Affero General Public License, version 3, since last year"]}
+    planted = [(name, f"{prose(k, 40)} {n} {prose(k + 50, 30)}") for name, ns in notices.items() for k, n in enumerate(ns)]
+    plain = [f"{prose(k, 20)} {w} {prose(k + 9, 20)}" for k, w in enumerate(["license", "driving licence", "copyright 2020", "permission to land", "CC", "public domain"])]
+    r.shuffle(planted)
+    got = {x.doc_id: x.license for x in licenses.scan(docs_of(spark, [t for _, t in planted] + plain)).collect()}
+    hits = sum(got.get(i) == name for i, (name, _) in enumerate(planted))
+    assert hits >= 0.9 * len(planted), [(n, t) for i, (n, t) in enumerate(planted) if got.get(i) != n]
+    assert not [i for i in got if i >= len(planted)]
+
+
 # -- pipeline -----------------------------------------------------------------------------------
 
 def test_stages_keep_the_columns_and_encode(spark, sf):
