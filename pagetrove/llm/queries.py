@@ -60,7 +60,14 @@ def op6(spark, sf):
     return segmentation.encode_rows(_documents(spark, sf), digests=True, keep=["doc_id"])
 
 
-@_query("op7_repeated_passages")
+@_query("op7_repeated_passages", r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM t) a),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1)),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM t),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS body, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)""")
 def op7(spark, sf):
     return repeats.remove_repeats(_documents(spark, sf))
 
