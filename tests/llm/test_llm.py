@@ -563,6 +563,13 @@ def test_license_notices(spark, none):
         assert ranker.scan(first)[0] == name
 
 
+def test_notices_of_repeated_rows_and_clashing_columns(spark):
+    rows = docs_of(spark, ["Released under the MIT License."] * 3 + [None, " "], [4, 4, None, 5, 6]).withColumns(
+        {c: F.lit("x") for c in ("block", "place", "license", "reduction", "added")})
+    got = licenses.scan(rows).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["4", "4", "None"] and {(r.license, r.place, r.likeness) for r in got} == {("MIT", 0, 1.0)}
+
+
 def test_notices_inside_sentences(spark):
     r = random.Random(3)
     notices = {
