@@ -76,14 +76,14 @@ def text_or_empty(column="text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def join_small(rows: DataFrame, small: DataFrame, key: str, bound=100_000, salts=32) -> DataFrame:
-    """Inner join with a table of one row per ``key`` where a few keys hold most of ``rows``.
+def join_small(rows: DataFrame, small: DataFrame, key: str, bound=100_000, salts=32, how="inner") -> DataFrame:
+    """Join (inner or left) with a table of one row per ``key`` where a few keys hold most of ``rows``.
 
     The table is counted: up to ``bound`` rows it is broadcast, beyond that it is repeated once per
     salt and the rows of a key are dealt over the salts.
     """
     if small.count() <= bound:
-        return rows.join(F.broadcast(small), key)
+        return rows.join(F.broadcast(small), key, how)
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     many = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(many, [key, "__salt"]).drop("__salt")
+    return salted.join(many, [key, "__salt"], how).drop("__salt")

@@ -1,11 +1,16 @@
-"""SimHash near-dedup over a positional byte index.
+"""SimHash near-dedup over a positional byte index with count filtering.
 
 Fingerprints of 64 bits are taken from hashed word shingles. Two fingerprints that differ in at most
-2 bits share at least 6 of their 8 bytes, each at its own position. The inverted index posts every
-distinct fingerprint under the bytes it has at each choice of ``min_shared`` positions, so a pair that
-can reach the guaranteed minimum meets in a posting; there its shared positional bytes are tallied,
-pairs that reach the minimum are kept and the differing bits counted. (Postings of single bytes would
-hold a 256th of all fingerprints each and grow with the square of the input.)
+2 bits share at least 6 of their 8 bytes, each at its own position. The index posts every distinct
+fingerprint under the bytes it has at 14 choices of four positions: the quadruples of 0..7 whose
+exclusive or is zero. Any three positions lie in exactly one of them, and so any six positions hold
+exactly 3 of them, any five 1 and any four at most 1. The number of choices in which two fingerprints
+meet is thus a tally of their shared bytes: 3 or more if and only if they share 6 bytes. Pairs are
+tallied, those at the guaranteed minimum are kept and their differing bits counted. (Postings of
+single bytes would hold a 256th of all fingerprints each and grow with the square of the input.)
+
+A posting that holds many fingerprints is posted anew with two of its four other positions added, in
+all six ways: sharing two of them is guaranteed as well, so the pair still meets under that choice.
 """
 
 from itertools import combinations, repeat
@@ -16,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from pagetrove.llm.common import AT, keep_table, located
+from pagetrove.llm.common import AT, join_small, keep_table, located
 from pagetrove.llm.components import components
 
 SEED = 42
@@ -55,31 +60,70 @@ def fingerprints(docs: DataFrame, keep=("doc_id",), shingle=3) -> DataFrame:
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
-def postings(fps: DataFrame, min_shared=6) -> DataFrame:
-    """``place, bytes, fp``: each fingerprint under every choice of ``min_shared`` byte positions."""
-    masks = [sum(255 << 8 * p for p in chosen) for chosen in combinations(range(8), min_shared)]
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    posts = F.array(*[F.struct(F.lit(i).alias("place"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes"))
-                      for i, m in enumerate(masks)])
-    return fps.select("fp", F.explode(posts).alias("post")).select("post.place", "post.bytes", "fp")
+def _mask(positions):
+    mask = sum(255 << 8 * p for p in positions)
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def _shared_bytes(a, b):
-    """Tally of equal positional bytes of two longs."""
-    apart = a.bitwiseXOR(b)
-    masks = [255 << 8 * p for p in range(7)] + [-(1 << 56)]
-    return sum((apart.bitwiseAND(F.lit(m)) == 0).cast("int") for m in masks)
+CHOICES = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
+LEAST_SHARED, LEAST_MET = 6, 3
 
 
-def near_links(fps: DataFrame, max_bits=2) -> DataFrame:
-    """Links ``(a, b)`` between distinct fingerprints with at most ``max_bits`` differing bits."""
-    min_shared = 8 - max_bits
-    posts = postings(fps, min_shared)
-    a, b = posts.alias("a"), posts.alias("b")
-    fa, fb = F.col("a.fp"), F.col("b.fp")
-    met = (F.col("a.place") == F.col("b.place")) & (F.col("a.bytes") == F.col("b.bytes")) & (fa < fb)
-    enough = (_shared_bytes(fa, fb) >= min_shared) & (F.bit_count(fa.bitwiseXOR(fb)) <= max_bits)
-    return a.join(b, met & enough).select(fa.alias("a"), fb.alias("b")).distinct()
+def postings(fps: DataFrame) -> DataFrame:
+    """``key, fp``: each fingerprint under every choice; ``key`` is the choice and the bytes there."""
+    keys = [F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_mask(c))).alias("bytes"))
+            for i, c in enumerate(CHOICES)]
+    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+
+
+def longer_postings(posts: DataFrame) -> DataFrame:
+    """``key, fp`` with two more positions in each key, in all six ways; ``key.more`` tells which."""
+    def ways(i, c):
+        rest = [p for p in range(8) if p not in c]
+        return F.array(*[F.struct(F.lit(i).alias("choice"), F.lit(k).alias("more"),
+                                  F.col("fp").bitwiseAND(F.lit(_mask(c + two))).alias("bytes"))
+                         for k, two in enumerate(combinations(rest, 2))])
+    pick = F.coalesce(*[F.when(F.col("key.choice") == i, ways(i, c)) for i, c in enumerate(CHOICES)])
+    return posts.select(F.explode(pick).alias("key"), "fp")
+
+
+def _meetings(posts, also=None):
+    """``a, b, choice`` for every two fingerprints of a posting, ``a`` below ``b``."""
+    x, y = posts.alias("x"), posts.alias("y")
+    a, b = F.col("x.fp"), F.col("y.fp")
+    on = (F.col("x.key") == F.col("y.key")) & (a < b)
+    return x.join(y, on if also is None else on & also(a, b)).select(a.alias("a"), b.alias("b"), F.col("x.key.choice").alias("choice"))
+
+
+def near_links(fps: DataFrame, max_bits=2, long_posting=200) -> DataFrame:
+    """Links ``(a, b)`` between distinct fingerprints with at most ``max_bits`` (0 to 2) differing bits.
+
+    Postings of more than ``long_posting`` fingerprints get longer keys; no pair is lost by that. In
+    those all six guaranteed bytes are in the key, so the bits are counted where a pair meets.
+    """
+    if not 0 <= max_bits <= 8 - LEAST_SHARED:
+        raise ValueError("the index guarantees six shared bytes for up to two differing bits")
+
+    def near(a, b):
+        return F.bit_count(a.bitwiseXOR(b)) <= max_bits
+    posts = postings(fps)
+    full = keep_table(posts.groupBy("key").count().filter(F.col("count") > long_posting)
+                      .select("key", F.lit(True).alias("full")), "full-postings")
+    if full.isEmpty():
+        met = _meetings(posts)
+    else:
+        marked = keep_table(join_small(posts, full, "key", how="left"), "postings")
+        met = _meetings(marked.filter("full IS NULL").select("key", "fp")).unionByName(
+            _meetings(longer_postings(marked.filter("full")), near))
+    choices = F.bit_count(F.bit_or(F.expr("shiftleft(1, choice)")))
+    tally = met.groupBy("a", "b").agg(choices.alias("met")).filter(F.col("met") >= LEAST_MET)
+    return tally.filter(near(F.col("a"), F.col("b"))).select("a", "b")
+
+
+def _roots(marked, max_bits):
+    """``fp, group_fp`` for every fingerprint that has links."""
+    found = components(near_links(marked.select("fp").distinct(), max_bits))
+    return found.select(F.col("node").alias("fp"), F.col("root").alias("group_fp"))
 
 
 def near_groups(docs: DataFrame, keep=("doc_id",), shingle=3, max_bits=2) -> DataFrame:
@@ -89,20 +133,26 @@ def near_groups(docs: DataFrame, keep=("doc_id",), shingle=3, max_bits=2) -> Dat
     without words have fingerprint zero and are linked like any other.
     """
     marked = keep_table(fingerprints(docs, keep, shingle), "fingerprints")
-    found = components(near_links(marked.select("fp").distinct(), max_bits))
-    roots = found.select(F.col("node").alias("fp"), F.col("root").alias("group_fp"))
-    return marked.join(roots, "fp", "left").withColumn("group_fp", F.coalesce("group_fp", "fp"))
+    roots = keep_table(_roots(marked, max_bits), "roots")
+    return join_small(marked, roots, "fp", how="left").withColumn("group_fp", F.coalesce("group_fp", "fp"))
 
 
 def near_report(docs: DataFrame, shingle=3, max_bits=2) -> DataFrame:
     """``doc_id, fingerprint, component_id`` per document.
 
-    component_id is the smallest id of the group (null only if all its ids are null). Repeated rows
-    are rows of their own, an empty table gives no rows, other columns are ignored.
+    component_id is the smallest id of the group (null only if all its ids are null). Null, empty and
+    blank texts have fingerprint zero, a very long text is hashed piece by piece. Repeated rows are
+    rows of their own, an empty table gives no rows, other columns are ignored. Ids are combined by
+    fingerprint before anything is joined, so a large group of copies is one row until its rows are
+    told their component.
     """
-    groups = keep_table(near_groups(docs, ("doc_id",), shingle, max_bits), "groups")
-    least = groups.groupBy("group_fp").agg(F.min("doc_id").alias("component_id"))
-    return groups.join(least, "group_fp").select(
+    marked = keep_table(fingerprints(docs, ("doc_id",), shingle), "fingerprints")
+    lowest = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    named = keep_table(lowest.join(_roots(marked, max_bits), "fp", "left").withColumn(
+        "group_fp", F.coalesce("group_fp", "fp")), "groups")
+    least = keep_table(named.groupBy("group_fp").agg(F.min("low").alias("component_id")), "components")
+    members = keep_table(join_small(named, least, "group_fp").select("fp", "component_id"), "members")
+    return join_small(marked, members, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

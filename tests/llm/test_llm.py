@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagetrove.llm import (chat, components, exact_dedup, fingerprints, licenses, mixing, pitman_yor, quality, repeats,
+from pagetrove.llm import (chat, common, components, exact_dedup, fingerprints, licenses, mixing, pitman_yor, quality, repeats,
                            segmentation, shingles, simhash)
 from pagetrove.llm.common import located
 
@@ -149,13 +149,36 @@ def test_simhash_groups(spark, odd, none):
     assert simhash.near_report(none).count() == 0 and simhash.drop_near_copies(none).count() == 0
 
 
-def test_near_links_are_all_found(spark):
+def test_choices_tally_shared_bytes():
+    for n, least, most in ((8, 14, 14), (7, 7, 7), (6, 3, 3), (5, 1, 1), (4, 0, 1)):
+        met = {sum(set(c) <= set(shared) for c in simhash.CHOICES) for shared in itertools.combinations(range(8), n)}
+        assert min(met) == least and max(met) == most
+
+
+@pytest.mark.parametrize("long_posting", [0, 4, 200])
+def test_near_links_are_all_found(spark, long_posting):
     r = random.Random(3)
     base = [r.getrandbits(64) for _ in range(30)]
     values = {b ^ sum(1 << k for k in r.sample(range(64), n)) for b in base for n in (0, 1, 2, 2, 3, 4)}
+    # A crowd that shares four to seven of its bytes.
+    values |= {base[0] ^ r.getrandbits(8) << 8 * r.randrange(8) ^ r.getrandbits(2) << 8 * r.randrange(8) for _ in range(300)}
     signed = {v - (1 << 64) if v >> 63 else v for v in values}
-    got = {(x.a, x.b) for x in simhash.near_links(spark.createDataFrame([(v,) for v in signed], "fp BIGINT")).collect()}
-    assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+    fps = spark.createDataFrame([(v,) for v in signed], "fp BIGINT")
+    for bits in (2, 1) if long_posting == 4 else (2,):
+        got = [(x.a, x.b) for x in simhash.near_links(fps, bits, long_posting).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= bits}
+    with pytest.raises(ValueError):
+        simhash.near_links(fps, 3)
+
+
+@pytest.mark.parametrize("bound", [0, 10])
+def test_join_small_keeps_unmatched_rows_of_a_left_join(spark, bound):
+    rows = spark.createDataFrame([(k, i) for i in range(50) for k in (1, 1, 2, 3, None)], "k INT, i INT")
+    small = spark.createDataFrame([(1, "a"), (2, "b")], "k INT, name STRING")
+    for how in ("inner", "left"):
+        got = Counter(map(tuple, common.join_small(rows, small, "k", bound=bound, how=how).select("k", "i", "name").collect()))
+        assert got == Counter(map(tuple, rows.join(small, "k", how).select("k", "i", "name").collect()))
 
 
 def test_similar_texts_are_all_grouped(spark, odd, none, monkeypatch):
