@@ -120,10 +120,23 @@ def near_links(fps: DataFrame, max_bits=2, long_posting=200) -> DataFrame:
     return tally.filter(near(F.col("a"), F.col("b"))).select("a", "b")
 
 
-def _roots(marked, max_bits):
+def _linked(marked, max_bits):
     """``fp, group_fp`` for every fingerprint that has links."""
     found = components(near_links(marked.select("fp").distinct(), max_bits))
-    return found.select(F.col("node").alias("fp"), F.col("root").alias("group_fp"))
+    return keep_table(found.select(F.col("node").alias("fp"), F.col("root").alias("group_fp")), "linked")
+
+
+def _tell(rows, told, many=1000):
+    """``rows`` joined with ``told``: one row per ``fp``, ``n`` is how many rows have it.
+
+    Fingerprints of more than ``many`` rows are joined apart, so that copies are not gathered in one task.
+    """
+    hot = keep_table(told.filter(F.col("n") > many).drop("n"), "hot")
+    rest = told.filter(F.col("n") <= many).drop("n")
+    if hot.isEmpty():
+        return rows.join(rest, "fp")
+    cold = join_small(rows, hot.select("fp", F.lit(True).alias("__hot")), "fp", how="left").filter("__hot IS NULL")
+    return join_small(rows, hot, "fp").unionByName(cold.drop("__hot").join(rest, "fp"))
 
 
 def near_groups(docs: DataFrame, keep=("doc_id",), shingle=3, max_bits=2) -> DataFrame:
@@ -133,8 +146,9 @@ def near_groups(docs: DataFrame, keep=("doc_id",), shingle=3, max_bits=2) -> Dat
     without words have fingerprint zero and are linked like any other.
     """
     marked = keep_table(fingerprints(docs, keep, shingle), "fingerprints")
-    roots = keep_table(_roots(marked, max_bits), "roots")
-    return join_small(marked, roots, "fp", how="left").withColumn("group_fp", F.coalesce("group_fp", "fp"))
+    sizes = marked.groupBy("fp").agg(F.count("*").alias("n"))
+    told = sizes.join(_linked(marked, max_bits), "fp", "left").withColumn("group_fp", F.coalesce("group_fp", "fp"))
+    return _tell(marked, keep_table(told, "told"))
 
 
 def near_report(docs: DataFrame, shingle=3, max_bits=2) -> DataFrame:
@@ -147,12 +161,12 @@ def near_report(docs: DataFrame, shingle=3, max_bits=2) -> DataFrame:
     told their component.
     """
     marked = keep_table(fingerprints(docs, ("doc_id",), shingle), "fingerprints")
-    lowest = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    named = keep_table(lowest.join(_roots(marked, max_bits), "fp", "left").withColumn(
-        "group_fp", F.coalesce("group_fp", "fp")), "groups")
-    least = keep_table(named.groupBy("group_fp").agg(F.min("low").alias("component_id")), "components")
-    members = keep_table(join_small(named, least, "group_fp").select("fp", "component_id"), "members")
-    return join_small(marked, members, "fp").select(
+    lowest = keep_table(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "lowest")
+    linked = keep_table(_linked(marked, max_bits).join(lowest.select("fp", "low"), "fp"), "linked")
+    least = linked.groupBy("group_fp").agg(F.min("low").alias("component_id"))
+    named = linked.select("fp", "group_fp").join(least, "group_fp").select("fp", "component_id")
+    told = lowest.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "low").alias("component_id"))
+    return _tell(marked, keep_table(told, "told")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -149,6 +149,14 @@ def test_simhash_groups(spark, odd, none):
     assert simhash.near_report(none).count() == 0 and simhash.drop_near_copies(none).count() == 0
 
 
+def test_many_copies_are_told_apart_from_the_rest(spark):
+    rows = spark.createDataFrame([(i, i % 3 if i % 3 else i) for i in range(60)], "doc_id BIGINT, fp BIGINT")
+    told = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    want = Counter(map(tuple, rows.join(told.drop("n"), "fp").collect()))
+    for many in (0, 5, 1000):
+        assert Counter(map(tuple, simhash._tell(rows, told, many).select("fp", "doc_id", "low").collect())) == want
+
+
 def test_choices_tally_shared_bytes():
     for n, least, most in ((8, 14, 14), (7, 7, 7), (6, 3, 3), (5, 1, 1), (4, 0, 1)):
         met = {sum(set(c) <= set(shared) for c in simhash.CHOICES) for shared in itertools.combinations(range(8), n)}
