@@ -179,3 +179,21 @@ def live_tag_counts(spark, sf):
     rows = T.tag_rows(spark.sql(notes.format(note_words="{note_words}"), note_words=w))
     out = jobs.run_available(jobs.tag_count_stream(rows), "tags", "update")
     return last_per_key(out.select("tag", "n", "batch_id"), ["tag"], ["batch_id"]).select("tag", "n")
+
+
+@query("z6_refreshed_tags", with_inputs("note_tag_rows") + """
+SELECT tag, count(*) AS n FROM note_tag_rows WHERE note_id % 4 = 3 OR note_id % 10 <> 0 GROUP BY tag""")
+def refreshed_tags(spark, sf):
+    """Four slices of notes land 200 seconds apart; the job is started again for each. Every tenth note
+    is deleted after the second, which the base counted at the third sees; the fourth is added to it."""
+    slot = (F.col("note_id") % 4) * 200 + F.col("note_id") % 100
+    landing = jobs.job_folder(spark, "notes")
+    rows = source(spark, sf, "note_tag_rows").select("note_id", "tag", F.timestamp_seconds(slot).alias("ts"))
+    rows.withColumn("slice", (F.col("note_id") % 4).cast("int")).write.partitionBy("slice").parquet(landing)
+    notes, inbox, folder = spark.read.parquet(landing), jobs.job_folder(spark, "added"), None
+    for i in range(4):
+        notes.filter(F.col("slice") == i).select("tag", "ts").write.mode("append").parquet(inbox)
+        there = notes.filter("note_id % 10 <> 0") if i > 1 else notes
+        folder = jobs.live_tags_job(spark.readStream.schema("tag string, ts timestamp").parquet(inbox),
+                                    lambda t=there: t.select("tag", F.col("ts").alias("saved_at")), folder)
+    return jobs.live_tags(spark, folder)

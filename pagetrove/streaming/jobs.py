@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pagetrove.functions import text as X
 from pagetrove.lineage import shared_folder
 from pagetrove.operators import frontier
+from pagetrove.operators import tags as T
 
 WATERMARK = "10 minutes"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -190,3 +191,60 @@ def tag_count_stream(rows: DataFrame) -> DataFrame:
     """Running notes per tag from (note, tag) rows, in update mode; partial counts per task."""
     tag = F.regexp_replace(X.strip(F.col("tag")), "^#+", "")
     return rows.select(tag.alias("tag")).filter("tag <> ''").groupBy("tag").agg(F.count("*").alias("n"))
+
+
+_COUNTS, _VERSIONS = "tag string, n long", "as_of long, version long"
+
+
+def _tag_version(spark, folder, before=None):
+    """Latest version ``(as_of, version)`` of a live tag index, of those before a batch; None if there is none."""
+    seen = spark.read.schema(_VERSIONS).parquet(f"{folder}/versions")
+    seen = seen if before is None else seen.filter(F.col("version") < before)
+    return seen.agg(F.max_by(F.struct("as_of", "version"), "version").alias("v")).first().v
+
+
+def live_tags_job(added: DataFrame, read_notes, folder=None, ttl_seconds=300, trigger=None) -> str:
+    """Keep a live tag index of a stream of tags as they are given to notes; returns its folder.
+
+    ``added(tag, ts)`` are tags of just written notes, ``read_notes()`` gives all distinct
+    ``(tag, saved_at)`` rows of the notes as they are now. The index is a base, counted from the notes
+    as of a point of event time, plus the tags added since. The first batch and each that has come
+    ``ttl_seconds`` past the base count the notes anew as of the batch's latest time: deleted and edited
+    notes show from then on. A batch writes under its own number and names a new base last, so readers
+    see one base or the other, and a batch run twice counts once. Blank tags do not count; an added tag
+    without time counts until the next base is counted, a note without time always; a tag that comes
+    later than the base it belongs to shows with the next one. Start it again with its folder to go on.
+    """
+    spark = added.sparkSession
+    folder = folder or job_folder(spark, "live-tags")
+    spark.createDataFrame([], "as_of long").write.mode("ignore").parquet(f"{folder}/versions/version=-1")
+
+    def step(batch, number):
+        tag = F.regexp_replace(X.strip(F.col("tag")), "^#+", "")
+        rows = batch.select(tag.alias("tag"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).filter("tag <> ''")
+        latest = rows.agg(F.max("at").alias("at")).first().at
+        base = _tag_version(spark, folder, number)
+        if base is not None and (latest is None or latest - base.as_of < ttl_seconds * 1_000_000):
+            since = rows.filter(F.col("at").isNull() | (F.col("at") > base.as_of))
+            T.tag_counts(since).write.mode("overwrite").parquet(f"{folder}/added/version={base.version}/batch_id={number}")
+            return
+        as_of = latest if latest is not None else 0
+        saved = F.unix_micros(F.col("saved_at").cast("timestamp"))
+        T.tag_counts(read_notes().filter(saved.isNull() | (saved <= as_of))).write.mode("overwrite").parquet(
+            f"{folder}/base/version={number}")
+        spark.createDataFrame([], _COUNTS).write.mode("overwrite").parquet(f"{folder}/added/version={number}/batch_id=-1")
+        spark.createDataFrame([(as_of,)], "as_of long").coalesce(1).write.mode("overwrite").parquet(
+            f"{folder}/versions/version={number}")
+    added.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/progress").trigger(
+        **(trigger or {"availableNow": True})).start().awaitTermination()
+    return folder
+
+
+def live_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """``tag, n`` of a live tag index now: its latest base and what was added since."""
+    base = _tag_version(spark, folder)
+    if base is None:
+        return spark.createDataFrame([], _COUNTS)
+    parts = [spark.read.schema(_COUNTS).parquet(f"{folder}/{part}/version={base.version}").select("tag", "n")
+             for part in ("base", "added")]
+    return parts[0].unionByName(parts[1]).groupBy("tag").agg(F.sum("n").alias("n"))

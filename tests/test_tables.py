@@ -1,5 +1,6 @@
 """Table operators: skewed keys, naming, queue and stream twins, sources and sinks."""
 
+import datetime as dt
 import json
 import random
 
@@ -293,3 +294,40 @@ def test_many_searches_equal_single_ones(spark):
     for t in texts:
         want = [r.tag for r in tags.search_tags(kept, t or "", 3).collect()]
         assert [tag for _, tag in sorted(got.get(t, []))] == want, t
+
+
+def test_live_tags_refresh_and_restart(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1).timestamp()
+    inbox, folder, notes = f"file://{tmp_path}/in", f"file://{tmp_path}/job", []
+
+    def land(added, ttl=300):
+        """Write ``(tag, second)`` rows and run the job on them; counts after that."""
+        rows = [(t, None if k is None else dt.datetime.fromtimestamp(at + k)) for t, k in added]
+        spark.createDataFrame(rows, "tag string, ts timestamp").coalesce(1).write.mode("append").parquet(inbox)
+        there = [(t, None if k is None else dt.datetime.fromtimestamp(at + k)) for t, k in notes]
+        jobs.live_tags_job(spark.readStream.schema("tag string, ts timestamp").parquet(inbox),
+                           lambda: spark.createDataFrame(there, "tag string, saved_at timestamp"), folder, ttl)
+        return {r.tag: r.n for r in jobs.live_tags(spark, folder).collect()}
+
+    notes += [("a", 0), ("b", 5), ("old", None), ("a", 900)]  # the last is saved after the base's time
+    assert land([("a", 0), ("#b", 5), (" ", 5), (None, 5)]) == {"a": 1, "b": 1, "old": 1}
+    notes += [("a", 100), ("c", 200)]
+    assert land([("##a ", 100), ("c", 200)]) == {"a": 2, "b": 1, "c": 1, "old": 1}
+    assert land([("a", 1), (None, None), ("c", None)]) == {"a": 2, "b": 1, "c": 2, "old": 1}  # late; no time
+    notes.remove(("b", 5))  # deleted: seen by the next base only
+    assert land([("c", 304)]) == {"a": 2, "b": 1, "c": 3, "old": 1}
+    notes += [("c", 304), ("d", 305)]
+    assert land([("d", 305)]) == {"a": 2, "c": 2, "d": 1, "old": 1}
+    # The last batch is run again when its commit is lost; it writes the same version again.
+    last = max((f for f in (tmp_path / "job/progress/commits").iterdir() if f.name.isdigit()), key=lambda f: int(f.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    assert land([]) == {"a": 2, "c": 2, "d": 1, "old": 1}
+
+
+def test_live_tags_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "tag string, ts timestamp").write.parquet(f"file://{tmp_path}/in")
+    empty = spark.readStream.schema("tag string, ts timestamp").parquet(f"file://{tmp_path}/in")
+    none = spark.createDataFrame([], "tag string, saved_at timestamp")
+    folder = jobs.live_tags_job(empty, lambda: none, f"file://{tmp_path}/job")
+    assert jobs.live_tags(spark, folder).count() == 0
