@@ -93,3 +93,29 @@ SELECT post_id, CASE WHEN k IN (0, 1) OR (k = 2 AND post_id % 2 = 0) THEN {S.cle
 def offsite_outcome(spark, sf):
     posts, captures, links = _graph(spark, sf)
     return offsite.follow(posts, captures, links).select("post_id", "followed_url", "hint")
+
+
+derive("hub_posts", """
+SELECT page_id AS post_id, page_id % 4 AS k, 'https://hub' || CAST(page_id AS STRING) || '.example/' AS hub,
+  'https://' || CASE page_id % 4 WHEN 1 THEN 'deep' ELSE 'hub' END || CAST(page_id AS STRING) || '.example/pie' AS deep, coalesce(html, '') AS html
+FROM {pages}""", ["pages"])
+
+
+@query("j6_descended_pages", with_inputs("hub_posts") + f"""
+SELECT post_id, {S.clean('target')} AS followed_url, CASE WHEN k < 2 THEN 'Pie' ELSE 'Hub' END AS followed_title,
+  sha256(CASE WHEN k < 2 THEN html ELSE 'Menu, about us' END) AS content_sha256
+FROM (SELECT *, CASE WHEN k < 2 THEN deep ELSE hub END AS target FROM hub_posts) t""")
+def descended_pages(spark, sf):
+    """Captions name a thin front page; its best link is followed to the same host (k = 0) or another (1),
+    and left where it was not captured (2) or is shorter than the front page (3)."""
+    p = source(spark, sf, "hub_posts")
+    posts = p.select("post_id", F.lit("instagram").alias("platform"), F.lit("u").alias("handle"), F.lit("").alias("title"),
+                     F.concat(F.lit("Full pie recipe at "), "hub").alias("body_text"))
+    captures = p.select(F.col("hub").alias("url"), F.lit("Menu, about us").alias("content"), F.lit("Hub").alias("title")).unionByName(
+        p.filter("k <> 2").select(F.col("deep").alias("url"), F.when(F.col("k") == 3, "short").otherwise(F.col("html")).alias("content"),
+                                  F.lit("Pie").alias("title")))
+    edge = [F.struct(F.concat("hub", F.lit("about")).alias("url"), F.lit("about").alias("anchor")),
+            F.struct(F.col("deep").alias("url"), F.lit("Pie recipe").alias("anchor"))]
+    links = p.select(F.col("hub").alias("src_url"), F.posexplode(F.array(*edge)).alias("pos", "to")).select("src_url", "pos", "to.*")
+    return offsite.follow(posts, captures, links).select(
+        "post_id", "followed_url", "followed_title", F.sha2("content", 256).alias("content_sha256"))
