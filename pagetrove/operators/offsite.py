@@ -106,11 +106,14 @@ def follow(posts: DataFrame, captures: DataFrame, links: DataFrame) -> DataFrame
     first_bio = first_per_key(bio.select("post_id", "pos", "url"), ["post_id"], ["pos"]).select(
         "post_id", F.col("url").alias("bio_hint"))
     reached = F.col("n_chars") > 0
-    out = pointing.select("post_id").join(first_bio, "post_id", "left").join(final, "post_id", "left").select(
+    out = settle(pointing.select("post_id").join(first_bio, "post_id", "left").join(final, "post_id", "left").select(
         "post_id", F.when(reached, U.clean_url(F.col("target"))).alias("followed_url"),
         F.when(F.col("target").isNull(), F.col("bio_hint")).when(~reached, F.col("target")).alias("hint"),
-        F.when(reached, U.canonical_url(F.col("target"))).alias("_key"))
-    content = first_per_key(_keyed(captures, "url").select("_key", "url", "content", "title"), ["_key"], ["url"])
+        F.when(reached, U.canonical_url(F.col("target"))).alias("_key")))
+    # Of all captures only those that some post reached send their content.
+    keys = out.select("_key").filter("_key IS NOT NULL").distinct()
+    content = first_per_key(_keyed(captures, "url").select("_key", "url", "content", "title").join(keys, "_key", "left_semi"),
+                            ["_key"], ["url"])
     return out.join(content.select("_key", "content", F.col("title").alias("followed_title")), "_key", "left").drop("_key")
 
 
