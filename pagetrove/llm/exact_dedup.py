@@ -19,6 +19,7 @@ STORE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
+BATCHES = 4  # of the report: later ones meet the state that earlier ones wrote
 STATE = ("digest BINARY, best STRUCT<n_chars: BIGINT, has_id: BOOLEAN, doc_id: BIGINT, "
          f"{FILE}: BIGINT, {ROW}: BIGINT>, n BIGINT")
 
@@ -91,9 +92,11 @@ def _contents(rows, names):
     return rows.select(F.col(FILE).alias(names[0]), F.col(ROW).alias(names[1]), normalised().alias("content"))
 
 
-def exact_groups(docs: DataFrame, digest=lambda sha: sha, files_per_batch=None) -> DataFrame:
+def exact_groups(docs: DataFrame, digest=lambda sha: sha, batches=1) -> DataFrame:
     """``__file, __row, doc_id, keep_id, keep_file, keep_row, group_size, sha`` for every row.
 
+    The files that arrive are taken in ``batches`` micro-batches (fewer where there are fewer files).
+
     Rows are equal when their texts are identical without white space; null counts as empty, so
     empty, blank and null texts form one group. Of equal rows the one with the most code points
     stays, then the smallest id (null ids last), then the first place. Repeated rows are rows of
@@ -105,8 +108,8 @@ def exact_groups(docs: DataFrame, digest=lambda sha: sha, files_per_batch=None)
     arrivals(rows, digest).write.parquet(landed)
     seen = spark.read.parquet(landed)
     source = spark.readStream.schema(seen.schema)
-    if files_per_batch:
-        source = source.option("maxFilesPerTrigger", files_per_batch)
+    if batches > 1:
+        source = source.option("maxFilesPerTrigger", max(1, -(-len(seen.inputFiles()) // batches)))
     updates = new_path(spark, "updates")
     spark.createDataFrame([], STATE).write.parquet(f"{updates}/batch=-1")
     stream = run_stream(source.parquet(landed), new_path(spark, "state"), updates)
@@ -139,8 +142,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     return rows.join(dropped.select(*AT), AT, "left_anti").select(*docs.columns)
 
 
-def dedup_report(docs: DataFrame) -> DataFrame:
+def dedup_report(docs: DataFrame, batches=BATCHES) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``."""
     kept = (F.col(FILE) == F.col("keep_file")) & (F.col(ROW) == F.col("keep_row"))
-    return exact_groups(docs).select("doc_id", "keep_id", "group_size", kept.alias("kept"),
+    return exact_groups(docs, batches=batches).select("doc_id", "keep_id", "group_size", kept.alias("kept"),
                                      F.lower(F.hex("sha")).alias("text_sha256"))
