@@ -343,6 +343,27 @@ def test_peeling_retries_larger(spark, monkeypatch, sizes):
         assert {(p.x, p.n) for p in x.d} == {(v, 1) for v in set(x.a) - set(x.b)} | {(v, -1) for v in set(x.b) - set(x.a)}
 
 
+def test_fingerprints_are_compared_as_they_are(spark, monkeypatch):
+    """Versions of unlike lengths too, by folding; the digests are read for what cannot be peeled only."""
+    r = random.Random(2)
+    shared = [[r.getrandbits(62) for _ in range(n)] for n in (0, 3, 19, 85, 700)]
+    rows = [(s + [r.getrandbits(62) for _ in range(k)], s + [r.getrandbits(62) for _ in range(3)]) for s in shared for k in (0, 1, 2)]
+    df = spark.createDataFrame(rows, "a ARRAY<BIGINT>, b ARRAY<BIGINT>").withColumns(
+        {"of_a": fingerprints.sketches(F.col("a")), "of_b": fingerprints.sketches(F.col("b"))})
+    # Nothing but the fingerprints, where these are enough: folded tables are those of fewer blocks.
+    got = df.select("a", "b", "of_a", "of_b", fingerprints.compared(F.col("of_a"), F.col("of_b")).alias("d"),
+                    fingerprints.fold(F.col("of_b"), F.lit(1)).alias("one"), fingerprints.sketch(F.col("b"), 8).alias("whole")).collect()
+    assert len({len(x.of_a) for x in got}) > 3 and any(len(x.of_a) != len(x.of_b) for x in got)
+    assert all(x.one == [x.whole] for x in got)
+    whole = [x for x in got if None not in x.d]
+    assert len(whole) >= len(got) - 1
+    for x in whole:
+        assert {(p.x, p.n) for d in x.d for p in d} == {(v, 1) for v in set(x.a) - set(x.b)} | {(v, -1) for v in set(x.b) - set(x.a)}
+    texts = spark.createDataFrame([("\n".join(map(str, range(n))),) for n in (0, 9, 200)], "t STRING").select(
+        fingerprints.as_text(fingerprints.sketches(fingerprints.digests(F.col("t")))).alias("f")).collect()
+    assert [len(t.f) for t in texts] == [416, 416, 416 * 32]
+
+
 # -- exact dedup --------------------------------------------------------------------------------
 
 def exact_expected(ids, texts):
@@ -369,6 +390,16 @@ def test_exact_dedup_keeps_one_row(spark, odd, none):
     assert exact_dedup.dedup_report(none).count() == 0
 
 
+def test_exact_groups_over_several_batches(spark, odd, monkeypatch):
+    started = []
+    run = exact_dedup.run_stream
+    monkeypatch.setattr(exact_dedup, "run_stream", lambda *a: started.append(run(*a)) or started[-1])
+    for batches in (2, 3):
+        got = exact_dedup.exact_groups(odd.repartition(6), batches=batches).collect()
+        assert Counter((r.doc_id, r.keep_id, r.group_size, r.sha.hex()) for r in got) == exact_expected(IDS, ODD)
+    assert all(s.lastProgress["batchId"] > 0 for s in started)
+
+
 def test_exact_state_goes_on_after_a_restart(spark, tmp_path):
     landed, state, updates = (str(tmp_path / x) for x in ("landed", "state", "updates"))
     batches = [["a b", "c", "x"], ["ab ", "y"], ["a  b", "a\nb\n\n", "c"]]
